@@ -2,8 +2,8 @@
 
 Rules look at a document's statistics and vote good (1), bad (-1) or abstain (0). Votes are
 counted per distinct pattern (at most 3 ** rules rows, whatever the corpus), and
-expectation-maximisation on that table estimates the share of good documents and, for each rule
-and class, how often it votes good or bad. A document's posterior probability of being good, in
+expectation-maximisation on that table estimates, for each rule and class, how often it votes good
+or bad. A document's posterior probability of being good, in
 which an abstaining rule has no say, then decides, instead of having to pass every rule.
 
 Words are runs of anything but ASCII white space. A word stands in a repeated window if a window
@@ -34,7 +34,7 @@ def statistics(docs: DataFrame, width: int = 5) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     letters = F.regexp_replace("text", SPACE + "+", "")
     split = base.select(
-        "row_key", "doc_id",
+        "row_key", "doc_id", F.xxhash64("text").alias("text_key"),
         F.filter(F.split("text", SPACE + "+", -1), lambda w: w != "").alias("words"),
         lines.alias("lines"),
         F.length(letters).cast("long").alias("word_chars"),
@@ -44,7 +44,7 @@ def statistics(docs: DataFrame, width: int = 5) -> DataFrame:
         F.length(F.regexp_replace("text", "[^!?]+", "")).cast("long").alias("n_shouts"),
     )
     hashed = split.select(
-        "row_key", "doc_id", "word_chars", "n_symbols", "n_upper", "n_digits", "n_shouts",
+        "row_key", "doc_id", "text_key", "word_chars", "n_symbols", "n_upper", "n_digits", "n_shouts",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -73,31 +73,36 @@ def repeated_words(stats: DataFrame, width: int = 5) -> DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote. A ratio below the first bound is good, above the second bad, else it abstains."""
+    """Each rule's vote. Most look for one kind of junk: they vote bad or abstain, as a text without
+    that kind need not be good. Word length and text length also vote good."""
     words = F.greatest("n_words", F.lit(1))
     chars = F.greatest("word_chars", F.lit(1))
-    vote = lambda x, good, bad: F.when(x <= good, 1).when(x > bad, -1).otherwise(0)
+    bad = lambda x, bound: F.when(x > bound, -1).otherwise(0)
     mean = F.col("word_chars") / words
     return {
-        "symbols": vote(F.col("n_symbols") / words, 0.02, 0.10),
-        "repeats": vote(F.col("n_repeat_words") / words, 0.02, 0.20),
-        "lines": vote(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.05, 0.30),
+        "symbols": bad(F.col("n_symbols") / words, 0.10),
+        "repeats": bad(F.col("n_repeat_words") / words, 0.20),
+        "lines": bad(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.30),
+        "capitals": bad(F.col("n_upper") / chars, 0.50),
+        "shouting": bad(F.col("n_shouts") / words, 0.25),
+        "digits": bad(F.col("n_digits") / chars, 0.40),
         "word_length": F.when(mean.between(3, 9), 1).when(~mean.between(2, 12), -1).otherwise(0),
-        "capitals": vote(F.col("n_upper") / chars, 0.10, 0.50),
-        "shouting": vote(F.col("n_shouts") / words, 0.05, 0.25),
-        "digits": vote(F.col("n_digits") / chars, 0.10, 0.40),
         "length": F.when(F.col("n_words") >= 20, 1).when(F.col("n_words") < 5, -1).otherwise(0),
     }
 
 
-def fit(patterns: DataFrame, rules: list[str], rounds: int = 15, smooth: float = 1.0) -> dict:
-    """EM on (one column per rule, n): prior of good, and P(vote | class) of each rule.
+def fit(patterns: DataFrame, rules: list[str], prior: float = 0.8, rounds: int = 15, weight: float = 0.02, better: float = 20.0) -> dict:
+    """EM on (one column per rule, n): P(vote | class) of each rule. The prior share of good
+    documents is a parameter: where rules abstain, votes can't tell it. The starting rates count as
+    `weight` of the corpus, so that a rule that rarely votes isn't fitted to a few rows. What tells the two classes apart
+    is the usual assumption that rules beat chance: a bad vote is at least `better` times as likely
+    for a bad document as for a good one.
 
     Each round is one aggregate of the pattern table; only its sums come back.
     """
     # a bad vote starts as strong evidence, a good one as weak: junk passes most rules
     start = {1: {1: 0.8, -1: 0.01}, 0: {1: 0.7, -1: 0.3}}
-    model = {"prior": 0.8, "p": {r: {c: dict(v) for c, v in start.items()} for r in rules}}
+    model = {"prior": prior, "p": {r: {c: dict(v) for c, v in start.items()} for r in rules}}
     for _ in range(rounds):
         p = posterior(model)
         sums = [F.sum(F.col("n") * p).alias("g"), F.sum("n").alias("n")]
@@ -109,18 +114,19 @@ def fit(patterns: DataFrame, rules: list[str], rounds: int = 15, smooth: float =
         if not s["n"]:
             break
         good, n = float(s["g"]), float(s["n"])
-        new = {"prior": min(0.999, max(0.001, (good + smooth) / (n + 2 * smooth))), "p": {}}
+        smooth = weight * n
+        new = {"prior": prior, "p": {}}
         for r in rules:
             rates = {1: {}, 0: {}}
             for v in (1, -1):
                 g, both = float(s[f"{r}{v}g"]), float(s[f"{r}{v}n"])
-                # smoothing pulls a rule that never fires back to its starting rates
                 rates[1][v] = (g + smooth * start[1][v]) / (good + smooth)
                 rates[0][v] = (both - g + smooth * start[0][v]) / (n - good + smooth)
+            rates[1][-1] = min(rates[1][-1], rates[0][-1] / better)
             new["p"][r] = rates
-        moved = abs(new["prior"] - model["prior"])
+        moved = max(abs(new["p"][r][c][v] - model["p"][r][c][v]) for r in rules for c in (0, 1) for v in (1, -1))
         model = new
-        if moved < 1e-6:
+        if moved < 1e-4:
             break
     return model
 

@@ -368,8 +368,11 @@ def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
     return spread.groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, block: int = 12 << 20) -> DataFrame:
-    """doc_id, n_removed, n_spans, kept (bytes) of the documents that lose bytes; the others aren't listed."""
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, block: int = 12 << 20, as_text: bool = False) -> DataFrame:
+    """doc_id, n_removed, n_spans, kept of the documents that lose bytes; the others aren't listed.
+
+    kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
+    """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {length}")
@@ -394,10 +397,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, block: i
                     upto = max(upto, b)
                 kept.append(raw[upto:])
                 ids.append(i)
-                rows.append((n, runs, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "n_removed", "n_spans", "kept"])
+                rows.append((n, runs, b"".join(kept).decode(errors="ignore") if as_text else b"".join(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string() if as_text else pa.binary())], ["doc_id", "n_removed", "n_spans", "kept"])
 
-    struck = slim.join(gone, "doc_id").mapInArrow(strike, "doc_id long, n_removed long, n_spans long, kept binary")
+    struck = slim.join(gone, "doc_id").mapInArrow(strike, f"doc_id long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return struck.dropDuplicates(["doc_id"])
 
 
