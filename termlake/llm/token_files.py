@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,17 @@ def file_system(uri: str):
 
 
 class WordEncoder:
-    """Ids of whole texts, by way of a cache of words that starts anew beyond `most` words."""
+    """Ids of whole texts, by way of a cache of words, and one of their parts, that start anew beyond `most` entries."""
 
     def __init__(self, path: str, most: int = 400_000):
-        self.library, self.most = tokenizer(path), most
+        self.library, self.most, self.parts = tokenizer(path), most, {}
         self.special = tuple(a.content for a in self.library.get_added_tokens_decoder().values())
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        if len(self.parts) > 2 * self.most:
+            self.parts: dict[str, bytes] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
@@ -67,10 +69,10 @@ class WordEncoder:
         for i in range(0, len(missing), 8192):
             part = missing[i : i + 8192]
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[p] = e.ids
+                self.parts[p] = np.array(e.ids, "<u4").tobytes()
         ids = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -96,6 +98,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One per Python worker, which serves many tasks."""
+    return WordEncoder(path)
+
+
 class Writer:
     def __init__(self, stream):
         import zstandard
@@ -166,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None, folder: st
     def write(batches):
         from pyspark import TaskContext
 
-        encode, shard = WordEncoder(path), TaskContext.get().partitionId()
+        encode, shard = word_encoder(path), TaskContext.get().partitionId()
         uri, writer, n_tokens = f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex[:8]}.zst", None, 0
         end = [] if end_id is None else [end_id]
         for batch in batches:
