@@ -35,7 +35,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
 _STEP, _STEP2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 
 
 class Roller:
@@ -368,13 +368,13 @@ def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
     return spread.groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, block: int = 12 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, block: int = 6 << 20, as_text: bool = False) -> DataFrame:
     """doc_id, n_removed, n_spans, kept of the documents that lose bytes; the others aren't listed.
 
     kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {length}")
     found = suspects(slim, length, buckets, hot, block)
     lists = found.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hots"))
