@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, hasher: WordHasher, width: i
             out.append(np.unique(combined[a : b - width + 1]))
         elif b > a:
             one = np.full(1, b - a, U64)
-            for k, x in enumerate(h[a:b]):
+            for k, x in enumerate(h[a:b].reshape(-1, 1)):
                 one = one * _M[3] + x * (_M[4] + U64(2 * k))
             out.append(mix64(one))
         else:

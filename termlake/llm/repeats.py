@@ -98,9 +98,11 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def _by_bucket(h: np.ndarray, n: int):
     """(bucket, indices) for each bucket of the hashes; indices ascend by hash."""
+    if not len(h):
+        return
     order = np.argsort(h, kind="stable")
     b = _bucket(h[order], n)
-    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     for lo, hi in zip(cut, np.append(cut[1:], len(b)), strict=True):
         yield int(b[lo]), order[lo:hi]
 
