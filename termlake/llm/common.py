@@ -132,3 +132,19 @@ class WordHasher:
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
+
+
+def held(batches, size: int):
+    """Tables of about `size` bytes, from smaller and larger record batches; rows stay whole and in order."""
+    kept, n = [], 0
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step)
+            kept.append(part)
+            n += part.nbytes
+            if n >= size:
+                yield pa.Table.from_batches(kept).combine_chunks()
+                kept, n = [], 0
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, columns, materialize, mix64, utf8
+from .common import U64, chunks, columns, held, materialize, mix64, utf8
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
@@ -111,20 +111,6 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def _held(batches, size: int):
-    """Record batches gathered to about `size` bytes."""
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.nbytes
-        if n >= size:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
 
 
@@ -133,7 +119,7 @@ def suspects(docs: DataFrame, length: int, buckets: int, hot: int, block: int) -
 
     def find(batches):
         roller = Roller(_STEP, 11)
-        for table in _held(batches, block):
+        for table in held(batches, block):
             data, off = utf8(table["text"].combine_chunks())
             ids = np.asarray(table["doc_id"], np.int64)
             hs, ds = [], []
@@ -192,7 +178,7 @@ def snippets(docs: DataFrame, length: int, buckets: int, block: int) -> DataFram
 
     def cut(batches):
         roller, second = Roller(_STEP, 11), Roller(_STEP2, 23)
-        for table in _held(batches, block):
+        for table in held(batches, block):
             data, off = utf8(table["text"].combine_chunks())
             ids = np.asarray(table["doc_id"], np.int64)
             wanted, hots = table["hashes"].to_pylist(), table["hots"].to_pylist()
@@ -370,7 +356,7 @@ def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
     return spread.groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, block: int = 6 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 6 << 20, as_text: bool = False) -> DataFrame:
     """doc_id, n_removed, n_spans, kept of the documents that lose bytes; the others aren't listed.
 
     kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
