@@ -356,7 +356,7 @@ def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
     return spread.groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 6 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 3 << 20, as_text: bool = False) -> DataFrame:
     """doc_id, n_removed, n_spans, kept of the documents that lose bytes; the others aren't listed.
 
     kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
