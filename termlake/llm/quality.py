@@ -25,51 +25,46 @@ from .common import materialize
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def statistics(docs: DataFrame, width: int = 5) -> DataFrame:
-    """row_key, doc_id and the counts for every row of docs(doc_id, text)."""
+    """doc_id, text_key and the counts for every row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    letters = F.regexp_replace("text", SPACE + "+", "")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     split = base.select(
-        "row_key", "doc_id", F.xxhash64("text").alias("text_key"),
-        F.filter(F.split("text", SPACE + "+", -1), lambda w: w != "").alias("words"),
-        lines.alias("lines"),
-        F.length(letters).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("text", "[^0-9]+", "")).cast("long").alias("n_digits"),
-        F.length(F.regexp_replace("text", "[^!?]+", "")).cast("long").alias("n_shouts"),
+        "doc_id", F.xxhash64("text").alias("text_key"),
+        F.array_remove(F.split("text", SPACE + "+", -1), "").alias("words"),
+        F.filter(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "").alias("lines"),
+        # one pass over the text; the counts below look at what is left
+        F.array_join(F.regexp_extract_all("text", F.lit(f"[A-Z0-9!?{SYMBOLS}]+"), F.lit(0)), "").alias("marks"),
     )
-    hashed = split.select(
-        "row_key", "doc_id", "text_key", "word_chars", "n_symbols", "n_upper", "n_digits", "n_shouts",
+    of_marks = lambda kind: (F.size(F.split("marks", f"[{kind}]", -1)) - 1).cast("long")
+    # a window is the struct of its words; only whole windows
+    whole = F.greatest(F.size("words") - (width - 1), F.lit(0))
+    windows = F.arrays_zip(*[F.slice("words", k + 1, whole).alias(f"w{k}") for k in range(width)])
+    counted = split.select(
+        "doc_id", "text_key",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        of_marks(SYMBOLS).alias("n_symbols"), of_marks("A-Z").alias("n_upper"), of_marks("0-9").alias("n_digits"), of_marks("!?").alias("n_shouts"),
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        F.transform(windows, lambda w: F.xxhash64(w)).alias("grams"),
     )
-    # windows by repeated shifting: a window's hash is a nested hash of the words' hashes
-    grams = F.col("h")
-    for k in range(1, width):
-        grams = F.zip_with(grams, F.slice("h", k + 1, F.greatest(F.size("h") - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    usable = F.size("h") >= width
-    grams = F.when(usable, F.slice(grams, 1, F.greatest(F.size("h") - (width - 1), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    return materialize(hashed.withColumn("grams", grams).drop("h").withColumn("grams", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.col("grams"))), "quality")
+    return repeated_words(counted, width)
 
 
-def repeated_words(stats: DataFrame, width: int = 5) -> DataFrame:
-    """row_key, n_repeat_words of the rows that have a repeated window."""
-    from pyspark.sql import Window
-
-    at = stats.filter("grams is not null").select("row_key", F.posexplode("grams").alias("pos", "gram"))
-    # positions of each repeated window, first to last; the gather is per window of one text
-    twice = at.groupBy("row_key", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.collect_list("pos").alias("all")).filter("n > 1")
-    hits = twice.select("row_key", F.explode("all").alias("pos"))
-    order = Window.partitionBy("row_key").orderBy("pos")
-    gap = F.lead("pos").over(order) - F.col("pos")
-    return hits.select("row_key", F.least(F.coalesce(gap, F.lit(width)), F.lit(width)).alias("cover")).groupBy("row_key").agg(F.sum("cover").cast("long").alias("n_repeat_words"))
+def repeated_words(counted: DataFrame, width: int = 5) -> DataFrame:
+    """n_repeat_words in place of grams, the hashes of a text's windows in text order. The windows of a text
+    that has repeated ones are sorted by hash, so that equal ones are neighbours, and back by position."""
+    rest = [c for c in counted.columns if c != "grams"]
+    placed = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    order = counted.select(*rest, F.when(F.size(F.array_distinct("grams")) < F.size("grams"), placed).alias("order"))
+    twice = F.filter("order", lambda x, i: (x["g"] == F.get("order", i - 1)["g"]) | (x["g"] == F.get("order", i + 1)["g"]))
+    hits = order.select(*rest, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("hits"))
+    covers = F.transform("hits", lambda p, i: F.least(F.coalesce(F.get("hits", i + 1) - p, F.lit(width)), F.lit(width)))
+    return hits.select(*rest, F.coalesce(F.aggregate(covers, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def votes() -> dict[str, Column]:
@@ -142,13 +137,8 @@ def posterior(model: dict) -> Column:
 
 def judged(docs: DataFrame, width: int = 5, min_words: int = 10, max_repeat_percent: int = 20, threshold: float = 0.5) -> DataFrame:
     """The statistics, the votes, the posterior and the verdict of every row."""
-    stats = statistics(docs, width)
-    full = (
-        stats.drop("grams").join(repeated_words(stats, width), "row_key", "left")
-        .withColumn("n_repeat_words", F.coalesce("n_repeat_words", F.lit(0).cast("long")))
-    )
     rules = votes()
-    voted = materialize(full.select("*", *[v.alias(f"vote_{r}") for r, v in rules.items()]), "votes")
+    voted = materialize(statistics(docs, width).select("*", *[v.alias(f"vote_{r}") for r, v in rules.items()]), "votes")
     names = [f"vote_{r}" for r in rules]
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
     model = fit(patterns, names)
