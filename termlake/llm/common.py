@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds what Spark sends a Python worker at once by bytes, where the session has no bound: ten thousand long rows would be tens of MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit; works in place."""
     x ^= x >> U64(30)

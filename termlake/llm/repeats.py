@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, columns, held, materialize, mix64, utf8
+from .common import U64, chunks, columns, held, materialize, mix64, small_batches, utf8
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
@@ -362,6 +362,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: i
     kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {length}")
     found = suspects(slim, length, buckets, hot, block)
