@@ -97,11 +97,13 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _by_bucket(h: np.ndarray, n: int):
-    """(bucket, indices) for each bucket of the hashes; indices ascend by hash."""
+    """(bucket, indices) for each bucket of the hashes; indices ascend by hash. Anchors are the smallest of
+    many hashes, so their upper bits are mostly zero: hashes are mixed once more to deal them evenly."""
     if not len(h):
         return
-    order = np.argsort(h, kind="stable")
-    b = _bucket(h[order], n)
+    b = _bucket(mix64(h + U64(0x9E3779B97F4A7C15)), n)
+    order = np.lexsort((h, b))
+    b = b[order]
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     for lo, hi in zip(cut, np.append(cut[1:], len(b)), strict=True):
         yield int(b[lo]), order[lo:hi]
