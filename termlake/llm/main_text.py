@@ -4,8 +4,9 @@ Markup is stripped to lines, one per block element; a line carries its length, o
 stands in a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment,
 or is mostly links. Sums of lengths over windows of `window` lines form the distribution. Text
 starts where it surges above `surge` and ends where it dives to 0; everything between is kept.
-A page that marks its article (<article>, <main>) gives lengths to the lines inside it only, and
-there any text is a surge, so that short paragraphs at its edges stay.
+Where <article> and <main> hold over half of the page's text outside such places, they weigh in:
+lengths inside count `weight` times, so that short paragraphs at its edges stay, links there are
+text, and windows end at its edges, so that lines outside have to surge by themselves.
 
 Defined cases: null, empty or text-less html gives ''; repeated rows repeat; unclosed and cut-off
 tags are tolerated; other columns of the table are ignored.
@@ -115,24 +116,25 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
-def main_text(html: str, window: int = 3, surge: int = 86) -> str:
+def main_text(html: str, window: int = 3, surge: int = 86, weight: int = 4) -> str:
     lines = lines_of(html)
-    marked = any(article and not side for _, side, article, _ in lines)
-    if marked:
-        sizes, surge = [0 if side or not article else len(t) for t, side, article, _ in lines], 0
-    else:
-        sizes = [0 if side or 2 * links > len(t) else len(t) for t, side, _, links in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    marked = sum(len(t) for t, side, article, _ in lines if article and not side)
+    holds = 2 * marked > sum(len(t) for t, side, _, _ in lines if not side)
+    zone = [holds and article for _, _, article, _ in lines]
+    sizes = [0 if side or (2 * links > len(t) and not z) else len(t) for (t, side, _, links), z in zip(lines, zone, strict=True)]
     kept, inside = [], False
-    for i, total in enumerate(sums):
+    for i, z in enumerate(zone):
+        if i and z != zone[i - 1]:
+            inside = False
+        total = sum(sizes[k] for k in range(i, min(i + window, len(lines))) if zone[k] == z) * (weight if z else 1)
         if not inside and sizes[i] and total > surge:
             inside = True
         elif inside and not total:
             inside = False
         if inside and sizes[i]:
             kept.append(lines[i][0])
-    if not kept and not marked:  # no surge: a short page is all there is
-        kept = [lines[i][0] for i, n in enumerate(sizes) if n]
+    if not kept:  # no surge: a short page is all there is
+        kept = [lines[i][0] for i, n in enumerate(sizes) if n and zone[i] == holds]
     return "\n".join(kept)
 
 

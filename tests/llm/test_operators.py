@@ -104,6 +104,18 @@ def test_main_text():
     assert main_text.main_text(f"<ul><li><a href=x>{long}</a></li></ul><div><p>{long}</p><p>x</p></div>") == (long.strip() + "\nx")
 
 
+def test_main_text_windows_decide_with_and_without_articles():
+    prose = [f"Paragraph {k} " + "word " * 30 + "end." for k in range(4)]
+    divs = "".join(f"<div>{p}</div>" for p in prose)
+    card = "<article><h3>Next week</h3><p>A teaser card.</p></article>"
+    assert main_text.main_text(f"<body><div class=promo>Buy</div>{divs}<footer>f</footer>{card}").split("\n")[:4] == prose
+    assert main_text.main_text(f"<body>{divs}<ul>" + "<li><a href=x>Item</a>" * 4 + "</ul><div>Imprint</div>") == "\n".join(prose)  # dives at the links, no surge after
+    article = "<article><h1>T</h1>" + "".join(f"<p>{p}</p>" for p in prose)
+    assert main_text.main_text(f"<div>Log in</div>{article}<p>Last.</p></article><div>Imprint</div>") == "\n".join(["T", *prose, "Last."])
+    assert main_text.main_text(f"{article}</article><div>Imprint</div><div>{prose[0]}</div>") == "\n".join(["T", *prose, "Imprint", prose[0]])  # text outside surges too
+    assert main_text.main_text(article + "<div class=comments>" + "<p>first!</p>" * 3 + "</div><p>a b</p></article>") == "\n".join(["T", *prose])  # dives inside an article
+
+
 def test_quality_counts(docs, empty):
     got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
     for i, t in ODD:
