@@ -1,9 +1,10 @@
 """N-gram language model in sharded Elias-Fano tries, and the scores of whole texts under it.
 
-Tokens are lower-cased (A-Z) words, then one end per text; contexts are the word before, or the
-beginning of the text. P(w | h) = max(c(h w) - d, 0) / c(h) + b(h) * (c(w) + 1) / (N + V + 1) with
-b(h) what the kept pairs leave of 1. Pairs seen fewer than `cutoff` times are not kept (their mass
-is in b), which makes a model's size follow the repeated part of the corpus.
+Tokens are lower-cased (A-Z) words, then one end per text; contexts are the `order` - 1 words
+before, as far as the beginning of the text, which counts as one. From single words, P(w) =
+(c(w) + 1) / (N + V + 1), each longer context h refines the one without its first word, h':
+P(w | h) = max(c(h w) - d, 0) / c(h) + b(h) * P(w | h') with b(h) what the kept entries leave of 1.
+Entries seen fewer than `cutoff` times are not kept (their mass is in b); with 1, all are.
 
 Data moves in packed pieces, never as a row per token:
 
@@ -11,16 +12,18 @@ Data moves in packed pieces, never as a row per token:
    in the shared folder.
 2. Words of all blocks meet in buckets by hash: counts c, dense word ids, N and V. Each block gets
    its own words' counts and ids back. A word is one entry per block, so none is hot.
-3. Pairs whose words both occur often enough go, one entry per block, to the shard of their
+3. Pairs whose words both occur in training go, one entry per block, to the shard of their
    context. The shard sums them, builds its trie and answers for the pairs it was sent. A
    context with over a thousandth of all tokens is split by its successors over `splits` shards;
    the sums of its kept pairs, one number per shard, are added up for all blocks (there are a
    thousand such contexts at most).
-4. Each block is scored from its file and its answers.
+4. Pairs that training texts hold are contexts of triples, which go the same way. A block knows
+   from the answers of step 3 which of its pairs are frequent.
+5. Each block is scored from its file and its answers.
 
-A trie has two levels in one file that readers map into memory: the contexts' pointers into the
-pairs (a monotone Elias-Fano sequence), the pairs' words, made monotone by adding context rank
-times vocabulary (so a search is relative to its context), and an 8-bit code per pair into a
+A level's trie is one file that readers map into memory: the contexts (a word's id, or two in
+one number) and their pointers into the entries (monotone Elias-Fano sequences), the entries' words, made monotone by adding context rank
+times vocabulary (so a search is relative to its context), and an 8-bit code per entry into a
 codebook of log10 probabilities.
 
 Defined cases: null and empty texts are one end token; repeated rows score alike; a null doc_id
@@ -106,16 +109,21 @@ class EliasFano:
         gaps[upper + np.arange(n)] = 1
         lows = np.zeros(0, np.uint8)
         if bits and n:
-            shifts = np.arange(bits, dtype=np.uint64)
+            shifts = np.arange(bits, dtype=np.uint64)[::-1]
             lows = np.concatenate([np.packbits(((v[a : a + 65536, None] >> shifts) & U64(1)).astype(np.uint8).ravel()) for a in range(0, n, 65536)])
         return {"meta": np.array([n, bits], np.int64), "low": lows, "high": np.packbits(gaps)}
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.int64)
         at = i * self.bits
+        if 0 < self.bits <= 57:  # within the eight bytes from the first bit's
+            if not hasattr(self, "eight"):
+                self.eight = np.lib.stride_tricks.sliding_window_view(np.append(self.low, np.zeros(8, np.uint8)), 8)
+            word = self.eight[at >> 3].view(">u8").ravel().astype(U64)
+            return ((word << (at & 7).astype(U64)) >> U64(64 - self.bits)).astype(np.int64)
+        out = np.zeros(len(i), np.int64)
         for k in range(self.bits):
             p = at + k
-            out |= ((self.low[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(np.int64) << k
+            out |= ((self.low[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(np.int64) << (self.bits - 1 - k)
         return out
 
     def _open(self) -> None:
@@ -180,19 +188,49 @@ class Trie:
         t.codes, t.book, t.vocabulary = a["codes"], a["book"], int(a["vocabulary"][0])
         return t
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The pair's index, or -1."""
+    def find(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The entry's index, or -1, for each of the `sizes` words of each context."""
         if not self.pairs.n:
             return np.full(len(words), -1, np.int64)
         rank, value = self.keys.successor(contexts)
         known = value == contexts
-        rank = np.where(known, rank, 0)
+        rank, known = np.repeat(np.where(known, rank, 0), sizes), np.repeat(known, sizes)
         target = rank * (self.vocabulary + 1) + words
         at, value = self.pairs.successor(target)
         return np.where(known & (value == target), at, -1)
 
 
 # --- the passes -------------------------------------------------------------------------------
+def _pack(values: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    import zstandard
+
+    v = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(len(v), -1).T.tobytes()) if len(v) else b""
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    kind = np.dtype(kind)
+    if not raw:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _heard(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's answers in shard order: discounted counts of its entries, kept mass and total of its contexts."""
+    seen, kept, totals = [np.zeros(0)], [np.zeros(0, np.float32)], [np.zeros(0, np.float32)]
+    for f, k, book, m, t, size in zip(*(frame[x] for x in ("found", "codes", "book", "kept", "totals", "n")), strict=True):
+        k, book = _unpack(k, np.uint8), np.frombuffer(book, np.float64)
+        f = np.unpackbits(_unpack(f, np.uint8), count=size).astype(bool)
+        seen.append(np.where(f, 10 ** book[k], 0.0) if len(book) else np.zeros(size))
+        kept.append(_unpack(m, np.float32))
+        totals.append(_unpack(t, np.float32))
+    return np.concatenate(seen), np.concatenate(kept), np.concatenate(totals)
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
 
@@ -235,6 +273,13 @@ def _blocks(docs: DataFrame, folder: str, buckets: int, size: int) -> DataFrame:
     return docs.mapInArrow(write, "block string, bucket int, words binary, counts binary")
 
 
+def _before(word: np.ndarray, lengths: np.ndarray, begin: int) -> np.ndarray:
+    """The word before each, `begin` at the beginning of a text."""
+    out = np.concatenate([[begin], word[:-1]])
+    out[np.cumsum(lengths) - lengths] = begin
+    return out
+
+
 def _count_words(frame: pd.DataFrame) -> pd.DataFrame:
     """For each block's words of a bucket: training counts, and ranks among the words that have one."""
     words = [np.frombuffer(x, U64) for x in frame["words"]]
@@ -247,8 +292,10 @@ def _count_words(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "counts": [x.tobytes() for x in c], "ranks": [x.tobytes() for x in r], "n_words": int((total > 0).sum()), "n_tokens": int(total.sum())})
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, discount: float = 0.75, cutoff: int = 2, splits: int = 16, block: int = 8 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, discount: float = 0.75, cutoff: int = 1, splits: int = 16, block: int = 8 << 20, order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs. order: 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch(spark, "language-model")
@@ -264,64 +311,93 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, discount: floa
     for k in range(buckets):
         starts[k] = v
         v, n = v + sizes.get(k, (0, 0))[0], n + sizes.get(k, (0, 0))[1]
+    if order == 3 and (v + 2) ** 2 >= 1 << 63:
+        raise ValueError("two word ids don't fit 63 bits")
 
     n_train = slim.filter("train").count()
     kind = np.uint32 if v < 1 << 32 else np.int64
 
+    def tell(uri: str, level: int, learns: np.ndarray, context: np.ndarray, names: np.ndarray, frequent: np.ndarray, lonely: np.ndarray, word: np.ndarray, ids: np.ndarray, usable: np.ndarray) -> pd.DataFrame:
+        """A block's entries, and its contexts without any, for the shards of their contexts. names: the contexts' ids."""
+        width = len(ids)
+        entry, where = np.unique(context[usable] * width + word[usable], return_inverse=True)
+        times = np.bincount(where[learns[usable]], minlength=len(entry)).astype(np.uint32)
+        c, w = entry // width, entry % width
+        h = mix64(names.astype(U64) + U64(1))
+        shard = _bucket(np.where(frequent[c], mix64(h[c] + (ids[w] % splits).astype(U64)), h[c]), buckets)
+        by = np.lexsort((ids[w], names[c], shard))
+        place = np.empty(len(entry), np.int32)
+        place[by] = np.arange(len(entry))
+        at = np.full(len(word), -1, np.int32)
+        at[usable] = place[where]
+        # an entry per shard and context, with its number of words
+        run = np.flatnonzero(np.concatenate([[True], (shard[by][1:] != shard[by][:-1]) | (c[by][1:] != c[by][:-1])])) if len(by) else np.zeros(0, np.int64)
+        alone = np.setdiff1d(np.flatnonzero(lonely), c)
+        e_shard = np.concatenate([shard[by][run], _bucket(h[alone], buckets)])
+        e_context = np.concatenate([c[by][run], alone])
+        e_size = np.concatenate([np.diff(np.append(run, len(by))), np.zeros(len(alone), np.int64)])
+        o = np.lexsort((names[e_context], e_shard))
+        e_shard, e_context, e_size = e_shard[o], e_context[o], e_size[o]
+        save(f"{uri}-asked{level}", {"at": at, "entries": e_context.astype(np.int32), "split": frequent.astype(np.uint8), "ids": ids})
+        rows, begin = [], 0
+        for k, i in _cut(np.arange(len(e_shard)), e_shard):
+            end = begin + int(e_size[i].sum())
+            own, begin = by[begin:end], end
+            rows.append((uri, k, _pack(np.diff(names[e_context[i]], prepend=0)), _pack(e_size[i].astype(np.uint32)), _pack(frequent[e_context[i]]), _pack(ids[w[own]].astype(kind)), _pack(times[own])))
+        return pd.DataFrame(rows or [(uri, 0, b"", b"", b"", b"", b"")], columns=["block", "shard", "contexts", "sizes", "frequent", "words", "times"])
+
     def tell_pairs(key, frame: pd.DataFrame) -> pd.DataFrame:
-        """A block's pairs, and its contexts without any, for the shards of their contexts."""
-        uri = key[0]
-        b = load(uri)
-        frame = frame.sort_values("bucket")
+        b, frame = load(key[0]), frame.sort_values("bucket")
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
         ids = np.concatenate([np.frombuffer(x, np.uint32) + starts[k] for k, x in zip(frame["bucket"], frame["ranks"], strict=True)]).astype(np.int64)
         lengths, word = b["lengths"].astype(np.int64), b["tokens"].astype(np.int64)
         d = len(ids)  # stands for the beginning
-        context = np.concatenate([[d], word[:-1]])
-        context[np.cumsum(lengths) - lengths] = d
+        context = _before(word, lengths, d)
         counts, ids = np.append(counts, n_train), np.append(ids, v)
+        save(key[0] + "-counts", {"counts": counts.astype(np.uint32)})
         usable = (counts[word] >= cutoff) & ((context == d) | (counts[context] >= cutoff))
-        pair, where = np.unique(context[usable] * (d + 1) + word[usable], return_inverse=True)
-        learned = np.repeat(b["train"].astype(bool), lengths)[usable]
-        times = np.bincount(where[learned], minlength=len(pair)).astype(np.uint32)
-        c, w = pair // (d + 1), pair % (d + 1)
         frequent = (counts * 1000 > n) | (np.arange(d + 1) == d)
-        h = mix64(ids.astype(U64) + U64(1))
-        shard = _bucket(np.where(frequent[c], mix64(h[c] + (ids[w] % splits).astype(U64)), h[c]), buckets)
-        order = np.lexsort((ids[w], ids[c], shard))
-        place = np.empty(len(pair), np.int32)
-        place[order] = np.arange(len(pair))
-        at = np.full(len(word), -1, np.int32)
-        at[usable] = place[where]
-        # an entry per shard and context, with its number of pairs
-        run = np.flatnonzero(np.concatenate([[True], (shard[order][1:] != shard[order][:-1]) | (c[order][1:] != c[order][:-1])])) if len(order) else np.zeros(0, np.int64)
-        alone = np.setdiff1d(np.unique(context[context < d]), c)
-        alone = alone[(counts[alone] >= cutoff) & ~frequent[alone]]
-        e_shard = np.concatenate([shard[order][run], _bucket(h[alone], buckets)])
-        e_context = np.concatenate([c[order][run], alone])
-        e_size = np.concatenate([np.diff(np.append(run, len(order))), np.zeros(len(alone), np.int64)])
-        by = np.lexsort((ids[e_context], e_shard))
-        e_shard, e_context, e_size = e_shard[by], e_context[by], e_size[by]
-        save(uri + "-asked", {"counts": counts.astype(np.uint32), "at": at, "entries": e_context.astype(np.int32), "entry_ids": ids[e_context]})
-        rows, begin = [], 0
-        for k, i in _cut(np.arange(len(e_shard)), e_shard):
-            end = begin + int(e_size[i].sum())
-            own, begin = order[begin:end], end
-            rows.append((uri, k, ids[e_context[i]].tobytes(), e_size[i].astype(np.uint32).tobytes(), frequent[e_context[i]].tobytes(), ids[w[own]].astype(kind).tobytes(), times[own].tobytes()))
-        return pd.DataFrame(rows or [(uri, 0, b"", b"", b"", b"", b"")], columns=["block", "shard", "contexts", "sizes", "frequent", "pairs", "times"])
+        lonely = (np.bincount(context, minlength=d + 1) > 0) & (counts >= cutoff) & ~frequent
+        return tell(key[0], 2, np.repeat(b["train"].astype(bool), lengths), context, ids, frequent, lonely, word, ids, usable)
+
+    def tell_triples(key, frame: pd.DataFrame) -> pd.DataFrame:
+        """Contexts are the pairs that training texts hold; which ones are frequent, the shards of pairs told every block alike."""
+        b, u, counts = load(key[0]), load(key[0] + "-asked2"), load(key[0] + "-counts")["counts"]
+        seen, _, _ = _heard(frame.sort_values("shard"))
+        lengths, word, ids = b["lengths"].astype(np.int64), b["tokens"].astype(np.int64), u["ids"]
+        d = len(ids) - 1
+        before = _before(word, lengths, d)
+        later = np.ones(len(word), bool)
+        later[np.cumsum(lengths) - lengths] = False  # a text's first word has no pair before it
+        later = np.flatnonzero(later)
+        pair, some, context = np.unique(before[later - 1] * (d + 1) + before[later], return_index=True, return_inverse=True)
+        first, second = pair // (d + 1), pair % (d + 1)
+        at = u["at"][later[some] - 1]
+        value = np.where(at >= 0, seen[np.maximum(at, 0)] if len(seen) else 0.0, 0.0)
+        frequent = value * 1000 > n
+        known = (counts[first] > 0) & (counts[second] > 0)
+        learns = np.repeat(b["train"].astype(bool), lengths)[later]
+        usable = known[context] & (counts[word[later]] > 0)
+        return tell(key[0], 3, learns, context, ids[first] * (v + 2) + ids[second], frequent, known & ~frequent, word[later], ids, usable)
 
     def answer(key, frame: pd.DataFrame) -> pd.DataFrame:
         """Builds a shard's trie and looks up what each block asked; masses of split contexts come as a row of their own."""
-        got = {k: [np.frombuffer(x, t) for x in frame[k]] for k, t in (("contexts", np.int64), ("sizes", np.uint32), ("frequent", bool), ("pairs", kind), ("times", np.uint32))}
-        sent = [np.repeat(c, s) for c, s in zip(got["contexts"], got["sizes"], strict=True)]
-        c, w, t = np.concatenate(sent), np.concatenate(got["pairs"]).astype(np.int64), np.concatenate(got["times"]).astype(np.int64)
-        order = np.lexsort((w, c))
-        c, w, t = c[order], w[order], t[order]
+        got = {k: [_unpack(x, t) for x in frame[k]] for k, t in (("contexts", np.int64), ("sizes", np.uint32), ("frequent", bool), ("words", kind), ("times", np.uint32))}
+        got["contexts"] = [np.cumsum(x) for x in got["contexts"]]
+        c = np.concatenate([np.repeat(c, s) for c, s in zip(got["contexts"], got["sizes"], strict=True)])
+        w, t = np.concatenate(got["words"]).astype(np.int64), np.concatenate(got["times"]).astype(np.int64)
+        live = t > 0  # asked only, else
+        c, w, t = c[live], w[live], t[live]
+        by = np.lexsort((w, c))
+        c, w, t = c[by], w[by], t[by]
         if len(c):
             new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
             t = np.add.reduceat(t, new)
-            keep = t >= cutoff
-            c, w, t = c[new][keep], w[new][keep], t[keep]
+            c, w = c[new], w[new]
+        every = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        all_owners, total = c[every], np.add.reduceat(t, every) if len(every) else np.zeros(0)
+        keep = t >= cutoff
+        c, w, t = c[keep], w[keep], t[keep]
         heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
         uri = f"{folder}/trie-{key[0]:06d}-{uuid.uuid4().hex[:8]}"
         Trie.build(uri, c[heads], np.append(heads, len(c)), w, np.log10(t - discount) if len(t) else np.zeros(0), v)
@@ -329,64 +405,77 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, discount: floa
         owners = c[heads]
         mass = np.add.reduceat(10 ** trie.book[trie.codes], heads) if len(heads) else np.zeros(0)
 
-        def kept(contexts: np.ndarray) -> np.ndarray:
-            if not len(owners):
+        def of(contexts: np.ndarray, known: np.ndarray, value: np.ndarray) -> np.ndarray:
+            if not len(known):
                 return np.zeros(len(contexts), np.float32)
-            r = np.minimum(np.searchsorted(owners, contexts), len(owners) - 1)
-            return np.where(owners[r] == contexts, mass[r], 0).astype(np.float32)
+            r = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
+            return np.where(known[r] == contexts, value[r], 0).astype(np.float32)
 
         out = []
-        for k, (contexts, words_) in enumerate(zip(sent, got["pairs"], strict=True)):
-            i = trie.find(contexts, words_.astype(np.int64))
+        for k, (contexts, sizes, words_) in enumerate(zip(got["contexts"], got["sizes"], got["words"], strict=True)):
+            i = trie.find(contexts, sizes, words_.astype(np.int64))
             codes = np.where(i >= 0, trie.codes[np.maximum(i, 0)], 0).astype(np.uint8) if len(trie.codes) else np.zeros(len(i), np.uint8)
-            out.append((frame["block"].iloc[k], key[0], np.packbits(i >= 0).tobytes(), codes.tobytes(), trie.book.tobytes(), kept(got["contexts"][k]).tobytes(), len(i), b""))
+            out.append((frame["block"].iloc[k], key[0], _pack(np.packbits(i >= 0)), _pack(codes), trie.book.tobytes(), _pack(of(contexts, owners, mass)), _pack(of(contexts, all_owners, total)), len(i), b""))
         split = np.unique(np.concatenate([x[f] for x, f in zip(got["contexts"], got["frequent"], strict=True)]))
-        out.append(("", key[0], b"", b"", b"", kept(split).astype(np.float64).tobytes(), 0, split.tobytes()))
-        return pd.DataFrame(out, columns=["block", "shard", "found", "codes", "book", "kept", "n", "split"])
-
-    pairs = counted.drop("n_words", "n_tokens").groupBy("block").applyInPandas(tell_pairs, "block string, shard int, contexts binary, sizes binary, frequent binary, pairs binary, times binary")
-    answers = materialize(pairs.groupBy("shard").applyInPandas(answer, "block string, shard int, found binary, codes binary, book binary, kept binary, n long, split binary"), "answers")
-    # contexts that make up over a thousandth of the corpus: a thousand at most
-    split_mass: dict[int, float] = {}
-    for r in answers.filter("block = ''").select("kept", "split").toLocalIterator():
-        for c, m in zip(np.frombuffer(r["split"], np.int64).tolist(), np.frombuffer(r["kept"], np.float64).tolist(), strict=True):
-            split_mass[c] = split_mass.get(c, 0.0) + m
-    split_ids = np.array(sorted(split_mass), np.int64)
-    split_sums = np.array([split_mass[c] for c in split_ids.tolist()])
+        out.append(("", key[0], b"", b"", b"", _pack(of(split, owners, mass)), _pack(of(split, all_owners, total)), 0, split.tobytes()))
+        return pd.DataFrame(out, columns=["block", "shard", "found", "codes", "book", "kept", "totals", "n", "split"])
+
+    told = "block string, shard int, contexts binary, sizes binary, frequent binary, words binary, times binary"
+    answered = "block string, shard int, found binary, codes binary, book binary, kept binary, totals binary, n long, split binary"
+    answers, splits_of = {}, {}
+    for level in range(2, order + 1):
+        source, ask = (counted.drop("n_words", "n_tokens"), tell_pairs) if level == 2 else (answers[2].filter("block <> ''"), tell_triples)
+        answers[level] = materialize(source.groupBy("block").applyInPandas(ask, told).groupBy("shard").applyInPandas(answer, answered), f"answers{level}")
+        # contexts that make up over a thousandth of the corpus: a thousand at most
+        found: dict[int, tuple[float, float]] = {}
+        for r in answers[level].filter("block = ''").select("kept", "totals", "split").toLocalIterator():
+            for c, m, t in zip(np.frombuffer(r["split"], np.int64).tolist(), _unpack(r["kept"], np.float32).tolist(), _unpack(r["totals"], np.float32).tolist(), strict=True):
+                a = found.get(c, (0.0, 0.0))
+                found[c] = a[0] + m, a[1] + t
+        splits_of[level] = (np.array(sorted(found), np.int64), np.array([found[c] for c in sorted(found)], np.float64).reshape(-1, 2))
 
     def score(key, frame: pd.DataFrame) -> pd.DataFrame:
-        b, u = load(key[0]), load(key[0] + "-asked")
-        frame = frame.sort_values("shard")
-        lengths, word, at = b["lengths"].astype(np.int64), b["tokens"].astype(np.int64), u["at"]
-        counts, entries = u["counts"].astype(np.float64), u["entries"]
+        b, counts = load(key[0]), load(key[0] + "-counts")["counts"].astype(np.float64)
+        lengths, word = b["lengths"].astype(np.int64), b["tokens"].astype(np.int64)
         d = len(counts) - 1
-        seen, kept = [], []
-        for f, k, book, m, size in zip(*(frame[x] for x in ("found", "codes", "book", "kept", "n")), strict=True):
-            k, book = np.frombuffer(k, np.uint8), np.frombuffer(book, np.float64)
-            f = np.unpackbits(np.frombuffer(f, np.uint8), count=size).astype(bool)
-            seen.append(np.where(f, 10 ** book[k], 0.0) if len(book) else np.zeros(size))
-            kept.append(np.frombuffer(m, np.float32))
-        seen = np.concatenate(seen)
-        hidden = np.zeros(d + 1)
-        hidden[entries] = np.concatenate(kept)
-        # split contexts take their whole mass from all shards
-        ids = np.full(d + 1, -1, np.int64)
-        ids[u["entries"]] = u["entry_ids"]
-        r = np.minimum(np.searchsorted(split_ids, ids), max(0, len(split_ids) - 1))
-        if len(split_ids):
-            hidden = np.where(split_ids[r] == ids, split_sums[r], hidden)
-        context = np.concatenate([[d], word[:-1]])
-        context[np.cumsum(lengths) - lengths] = d
-        total = np.maximum(counts[context], 1)
-        pair = np.where(at >= 0, seen[np.maximum(at, 0)] if len(seen) else 0.0, 0.0) / total
+        before = _before(word, lengths, d)
         single = (counts[word] + 1) / (n + v + 1)
-        share = hidden[context] / total
-        fit = np.minimum(1.0, 0.9999 / np.maximum(share, 0.9999))  # rounded probabilities may add up to more than 1
-        pair, share = pair * fit, share * fit
+        p, at_all = single, np.arange(len(word))
+        for level in range(2, order + 1):
+            u = load(f"{key[0]}-asked{level}")
+            seen, kept, totals = _heard(frame[frame["level"] == level].sort_values("shard"))
+            at, ids, entries = u["at"], u["ids"], u["entries"]
+            if level == 2:
+                context, names, some = before, ids, at_all
+            else:
+                first = np.zeros(len(word), bool)
+                first[np.cumsum(lengths) - lengths] = True
+                some = np.flatnonzero(~first)
+                pair, context = np.unique(before[some - 1] * (d + 1) + before[some], return_inverse=True)
+                names = ids[pair // (d + 1)] * (v + 2) + ids[pair % (d + 1)]
+            hidden, total = np.zeros(len(names)), np.zeros(len(names))
+            hidden[entries], total[entries] = kept, totals
+            # split contexts take their whole mass from all shards
+            split_ids, sums = splits_of[level]
+            if len(split_ids):
+                r = np.minimum(np.searchsorted(split_ids, names), len(split_ids) - 1)
+                whole = (split_ids[r] == names) & u["split"].astype(bool)
+                hidden, total = np.where(whole, sums[r, 0], hidden), np.where(whole, sums[r, 1], total)
+            total = np.maximum(counts if level == 2 else total, 1)[context]
+            entry = np.where(at >= 0, seen[np.maximum(at, 0)] if len(seen) else 0.0, 0.0) / total
+            share = hidden[context] / total
+            fit = np.minimum(1.0, 0.9999 / np.maximum(share, 0.9999))  # rounded probabilities may add up to more than 1
+            longer = p.copy()
+            longer[some] = entry * fit + (1 - share * fit) * p[some]
+            p = longer
         by = np.repeat(np.arange(len(lengths)), lengths)
         add = lambda x: np.bincount(by, x, minlength=len(lengths))
         doc_ids = pd.array(b["doc_ids"], dtype="Int64")
         doc_ids[b["nulls"].astype(bool)] = pd.NA
-        return pd.DataFrame({"doc_id": doc_ids, "held_out": ~b["train"].astype(bool), "n_tokens": lengths, "n_known": add(counts[word] > 0).astype(np.int64), "train_tokens": n, "base_score": add(np.log10(single)), "score": add(np.log10(pair + (1 - share) * single))})
+        return pd.DataFrame({"doc_id": doc_ids, "held_out": ~b["train"].astype(bool), "n_tokens": lengths, "n_known": add(counts[word] > 0).astype(np.int64), "train_tokens": n, "base_score": add(np.log10(single)), "score": add(np.log10(p))})
 
-    return answers.filter("block <> ''").groupBy("block").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    every = None
+    for level, part in answers.items():
+        part = part.filter("block <> ''").drop("split").withColumn("level", F.lit(level))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("block").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -217,6 +217,42 @@ def test_language_model_beats_single_words_on_held_out(spark, empty):
     assert ngram_lm.score_texts(empty).count() == 0
 
 
+def test_language_model_matches_brute_force(spark, docs):
+    rows = [(i, t) for i, t in ODD] + [(20 + k, f"a b c{k % 3} a b d{k} once{k}") for k in range(40)]
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "</s>"] for i, t in rows}
+    train = [i for i, _ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c: dict = {}
+    for i in train:
+        t = ["<s>", *tokens[i]]
+        for k in range(1, len(t)):
+            for size in (1, 2, 3):
+                if k - size >= -1:
+                    g = tuple(t[k - size + 1 : k + 1])
+                    c[g] = c.get(g, 0) + 1
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    follow: dict = {}
+    for g, x in c.items():
+        if len(g) > 1:
+            a = follow.setdefault(g[:-1], [0, 0])
+            a[0], a[1] = a[0] + x, a[1] + 1
+
+    def prob(g):
+        if len(g) == 1:
+            return (c.get(g, 0) + 1) / (n + v + 1)
+        total, kinds = follow.get(g[:-1], (0, 0))
+        low = prob(g[1:])
+        return (max(c.get(g, 0) - 0.75, 0) + 0.75 * kinds * low) / total if total else low
+
+    want = {i: {o: sum(np.log10(prob(tuple(["<s>", *t][max(0, k - o + 1) : k + 1]))) for k in range(1, len(t) + 1)) for o in (2, 3)} for i, t in tokens.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (2, 3):
+        got = {r["doc_id"]: r["score"] for r in ngram_lm.score_texts(table, order=order, block=300).collect()}
+        assert got.keys() == want.keys()
+        for i in got:
+            assert got[i] == pytest.approx(want[i][order], rel=0.01, abs=0.05 + 0.002 * len(tokens[i])), (order, i)
+    assert abs(want[21][3] - want[21][2]) > 0.1
+
+
 def test_classifier_accuracy(spark, docs):
     sf = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
