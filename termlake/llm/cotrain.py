@@ -6,9 +6,11 @@ unlabelled documents it is surest of, and the other learns from these as from re
 end both are calibrated (Platt) on labelled documents that no model learned from, and the two
 log-odds are added, each weighted by how well it does there.
 
-Fitting uses a bounded sample, as documented parameters: `max_labelled` labelled rows and as many
-unlabelled ones, those with the smallest hash of doc_id, as vectors made on the executors. Every
-row of the corpus is scored.
+Labelled rows to fit on are a bounded sample, as a documented parameter: `max_labelled`, those with
+the smallest hash of doc_id, as vectors made on the executors. Unlabelled rows are not bounded: in
+every round the executors score all of them, the surest are those beyond quantiles over the whole
+corpus (`take` of it more in each round), and the executors add up these rows' losses and
+gradients. Every row of the corpus is scored.
 
 Defined cases: null and empty texts are a zero vector; null metadata is a value of its own; a
 null doc_id is scored like any other row but never sampled; without both kinds of labels every
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, WordHasher, chunks, columns, utf8
+from .common import SPACE_WORDS, U64, WordHasher, chunks, columns, materialize, mix64, utf8
 
 META_BINS = 256
 
@@ -83,39 +85,160 @@ def _platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(z[:, None] / 4, y, np.ones(len(y)), 0.01, 400)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int, take: float) -> dict:
-    """Fitted weights of both views, their calibrations and shares. y: 0/1 of the labelled rows."""
-    held = np.arange(len(y)) % 4 == 3
-    learn = ~held
-    views = {"text": (text, more_text), "meta": (meta, more_meta)}
-    extra = {v: (np.zeros(0, np.int64), np.zeros(0)) for v in views}
-    model = {}
-    for r in range(rounds + 1):
-        for v, (x, more) in views.items():
-            at, label = extra[v]
-            model[v] = fit_logistic(np.vstack([x[learn], more[at]]), np.concatenate([y[learn], label]), np.concatenate([np.ones(int(learn.sum())), np.full(len(at), 0.5)]))
-        if r == rounds or not len(more_text):
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss of rows and its gradient; the last weight is the intercept."""
+    z = logit(x, w).astype(np.float64)
+    off = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y).astype(np.float32)
+    return float(np.sum(np.logaddexp(0, z) - y * z)), np.append(x.T @ off, off.sum()).astype(np.float64)
+
+
+def minimise(evaluate, w: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with halved steps; evaluate(w) gives value and gradient."""
+    f, g = evaluate(w)
+    past: list = []
+    for _ in range(rounds):
+        d, alphas = g.copy(), []
+        for s, y in reversed(past):
+            alphas.append((s @ d) / (s @ y))
+            d -= alphas[-1] * y
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(g))
+        for (s, y), a in zip(past, reversed(alphas), strict=True):
+            d += (a - (y @ d) / (s @ y)) * s
+        step, slope = 1.0, float(d @ g)
+        for _ in range(8):
+            new = w - step * d
+            f_new, g_new = evaluate(new)
+            if f_new <= f - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            return w
+        s, y = new - w, g_new - g
+        if s @ y > 1e-10:
+            past = [*past, (s, y)][-memory:]
+        done = f - f_new < 1e-5 * max(1.0, abs(f))
+        w, f, g = new, f_new, g_new
+        if done:
             break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            z = logit(views[v][1], model[v])
-            n = int(take * (r + 1) * len(z))
-            share = float(y[learn].mean())
-            good, bad = np.argsort(-z)[: int(n * share)], np.argsort(z)[: int(n * (1 - share))]
-            good, bad = good[z[good] > 0], bad[z[bad] < 0]
-            extra[other] = (np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))]))
+    return w
+
+
+def pick(z: np.ndarray, ids: np.ndarray, bounds: tuple) -> np.ndarray:
+    """1 and 0 for rows among the surest, by their bin and, in the last bin, by a hash of doc_id; NaN for others."""
+    top, top_part, low, low_part = bounds
+    chance = (mix64(ids.astype(U64) + U64(1)) >> U64(11)).astype(np.float64) / (1 << 53)
+    k = bins_of(z)
+    good = (z > 0) & ((k > top) | ((k == top) & (chance < top_part)))
+    bad = (z < 0) & ((k < low) | ((k == low) & (chance < low_part)))
+    return np.where(good, 1.0, np.where(bad, 0.0, np.nan))
+
+
+def bins_of(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -30, 30) * 64).astype(np.int64)
+
+
+def surest(histogram: dict[int, int], n_good: float, n_bad: float) -> tuple:
+    """For pick(): the bins where the best n_good and the worst n_bad rows end, and the parts of these bins that belong to them."""
+    out = []
+    for keys, n in ((sorted(histogram, reverse=True), n_good), (sorted(histogram), n_bad)):
+        edge, part = keys[0] if keys else 0, 0.0
+        for k in keys:
+            edge, part = k, min(1.0, n / histogram[k])
+            n -= histogram[k]
+            if n <= 0:
+                break
+        out += [edge, part]
+    return tuple(out)
+
+
+def calibrate(model: dict, views: dict, y: np.ndarray) -> dict:
+    """Calibrations and shares of both views on the held labelled rows."""
     out = {"model": model, "platt": {}, "share": {}}
-    base = float(np.clip(y[held].mean(), 1e-3, 1 - 1e-3))
+    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     worst = -(base * np.log(base) + (1 - base) * np.log(1 - base))
-    for v, (x, _) in views.items():
-        z = logit(x[held], model[v])
-        out["platt"][v] = c = _platt(z, y[held])
+    for v, x in views.items():
+        z = logit(x, model[v])
+        out["platt"][v] = c = _platt(z, y)
         p = np.clip(1 / (1 + np.exp(-(z / 4 * c[0] + c[1]))), 1e-6, 1 - 1e-6)
-        loss = -float(np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)))
+        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
         out["share"][v] = max(0.0, 1 - loss / worst)
     out["prior"] = float(np.log(base / (1 - base)))
     return out
 
 
+def exchange(rows: DataFrame, labels: DataFrame, views, model: dict, part: float, share: float) -> tuple[DataFrame, dict]:
+    """Both views of the unlabelled documents that either model is surest of, as vectors, with the labels from the other view.
+
+    Two passes over all rows: the first counts scores by bin, the second keeps what stands beyond the quantiles.
+    """
+
+    def logits(batches):
+        hasher = WordHasher(SPACE_WORDS)
+        for batch in batches:
+            for ids, x, m in views(batch, hasher):
+                yield np.asarray(ids, np.int64), x, m, logit(x, model["text"]), logit(m, model["meta"])
+
+    def binned(batches):
+        for ids, _, _, t, m in logits(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, bins_of(t), bins_of(m))], ["doc_id", "text", "meta"])
+
+    scored = rows.mapInArrow(binned, "doc_id long, text long, meta long").join(labels.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("bin")) for v in ("text", "meta")])).alias("p")
+    counts: dict = {"text": {}, "meta": {}}
+    for r in scored.select(pairs).groupBy("p.view", "p.bin").count().collect():  # 4,000 bins a view at most
+        counts[r["view"]][r["bin"]] = r["count"]
+    bounds = {v: surest(h, part * share * sum(h.values()), part * (1 - share) * sum(h.values())) for v, h in counts.items()}
+
+    def kept(batches):
+        for ids, x, m, t, z in logits(batches):
+            by_text, by_meta = pick(t, ids, bounds["text"]), pick(z, ids, bounds["meta"])
+            i = np.flatnonzero(~np.isnan(by_text) | ~np.isnan(by_meta))
+            vectors = [pa.array([v.astype(np.float16).tobytes() for v in part_[i]], pa.binary()) for part_ in (x, m)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), *vectors, pa.array(by_meta[i]), pa.array(by_text[i])], ["doc_id", "text", "meta", "for_text", "for_meta"])
+
+    found = rows.mapInArrow(kept, "doc_id long, text binary, meta binary, for_text double, for_meta double")
+    chosen = materialize(found.join(labels.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]), "exchange")
+    n = chosen.agg(*[F.count_if(~F.isnan(f"for_{v}")).alias(v) for v in ("text", "meta")]).first()
+    return chosen, n.asDict()
+
+
+def fit_with(chosen: DataFrame, n: dict, learn: dict, y: np.ndarray, model: dict, grid, widths: dict, ridge: float = 0.3, rounds: int = 25) -> dict:
+    """Both models from labelled rows and pseudo-labels, whose losses and gradients the executors add up.
+
+    A pseudo-label weighs half a label, and all of a view's together half of its labels, so that many don't drown these.
+    """
+    weight = {v: min(0.5, 0.5 * len(y) / max(1, n[v])) for v in widths}
+    cut = widths["text"] + 1
+
+    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = {"text": w[:cut], "meta": w[cut:]}
+
+        def sums(batches):
+            total, loss = {v: np.zeros(k + 1) for v, k in widths.items()}, 0.0
+            for batch in batches:
+                for v in widths:
+                    x, label = columns(batch, v, f"for_{v}")
+                    label = np.asarray(label)
+                    i = np.flatnonzero(~np.isnan(label))
+                    f, g = _loss(grid(x.take(pa.array(i)).to_pylist(), widths[v]), label[i], parts[v])
+                    total[v] += weight[v] * g
+                    loss += weight[v] * f
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([np.concatenate([total["text"], total["meta"]]).tobytes()], pa.binary())], ["loss", "gradient"])
+
+        f, g = 0.0, np.zeros(len(w))
+        for r in chosen.mapInArrow(sums, "loss double, gradient binary").collect():  # a row per task
+            f, g = f + r["loss"], g + np.frombuffer(r["gradient"])
+        for v, x in learn.items():
+            own, at = parts[v], slice(0, cut) if v == "text" else slice(cut, None)
+            f_, g_ = _loss(x, y, own)
+            pull = np.append(own[:-1], 0.0)
+            f, g[at] = f + f_ + ridge / 2 * float(pull @ pull), g[at] + g_ + ridge * pull
+        return f, g
+
+    w = minimise(evaluate, np.concatenate([model["text"], model["meta"]]).astype(np.float64), rounds)
+    return {"text": w[:cut], "meta": w[cut:]}
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, bins: int = 1024, rounds: int = 3, take: float = 0.05, max_labelled: int = 4000, threshold: float = 0.5) -> DataFrame:
     """doc_id, text_score, meta_score, score, kept for every row of docs(doc_id, text, lang, source)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
@@ -140,15 +263,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bins: int = 1024, rounds:
     order = F.xxhash64("doc_id", F.lit(4))
     ids = slim.filter("doc_id is not null").select("doc_id").distinct()
     labelled = ids.join(good.filter("good is not null"), "doc_id").orderBy(order, "doc_id").limit(max_labelled)
-    plain = ids.join(good, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_labelled).withColumn("good", F.lit(None).cast("double"))
-    chosen = labelled.unionByName(plain)  # 2 * max_labelled ids at most
-    sample = slim.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(vectors, "doc_id long, good double, text binary, meta binary").orderBy("doc_id").collect()
-    grid = lambda rows, k, n: np.array([np.frombuffer(r[k], np.float16) for r in rows], np.float32).reshape(len(rows), n)
-    known, rest = [r for r in sample if r["good"] is not None], [r for r in sample if r["good"] is None]
-    y = np.array([r["good"] for r in known])
+    sample = slim.join(F.broadcast(labelled), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(vectors, "doc_id long, good double, text binary, meta binary").orderBy("doc_id").collect()
+    grid = lambda column, n: np.frombuffer(b"".join(column), np.float16).astype(np.float32).reshape(len(column), n)
+    widths = {"text": bins + 3, "meta": META_BINS}
+    y = np.array([r["good"] for r in sample])
+    held = np.arange(len(y)) % 4 == 3
     fitted, share = None, float(y.mean()) if len(y) else 0.5
-    if len(y) >= 8 and 0 < share < 1 and 0 < y[np.arange(len(y)) % 4 == 3].mean() < 1 and 0 < y[np.arange(len(y)) % 4 != 3].mean() < 1:
-        fitted = co_train(grid(known, "text", bins + 3), grid(known, "meta", META_BINS), y, grid(rest, "text", bins + 3), grid(rest, "meta", META_BINS), rounds, take)
+    if len(y) >= 8 and 0 < share < 1 and 0 < y[held].mean() < 1 and 0 < y[~held].mean() < 1:
+        known = {v: grid([r[v] for r in sample], n) for v, n in widths.items()}
+        learn = {v: x[~held] for v, x in known.items()}
+        model = {v: fit_logistic(x, y[~held], np.ones(len(x))) for v, x in learn.items()}
+        for r in range(rounds):
+            chosen, n = exchange(slim.filter("doc_id is not null"), good, views, dict(model), take * (r + 1), float(y[~held].mean()))
+            if not sum(n.values()):
+                break
+            model = fit_with(chosen, n, learn, y[~held], model, grid, widths)
+        fitted = calibrate(model, {v: x[held] for v, x in known.items()}, y[held])
 
     def score(batches):
         hasher = WordHasher(SPACE_WORDS)

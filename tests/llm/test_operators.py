@@ -262,6 +262,20 @@ def test_classifier_accuracy(spark, docs):
     assert cotrain.quality_scores(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def test_pseudo_labels_come_from_the_whole_corpus(spark, monkeypatch):
+    rows = [(i, ("good words here " if i % 2 else "bad spam there ") * (1 + i % 3), "en", f"s{i % 2}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    seen, real = [], cotrain.exchange
+    monkeypatch.setattr(cotrain, "exchange", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = cotrain.quality_scores(docs, labels, take=0.1, max_labelled=40).collect()
+    assert all(r["kept"] == (r["doc_id"] % 2 == 1) for r in got) and len(got) == 600
+    for k, (chosen, n) in enumerate(seen):
+        assert all(abs(x - 50 * (k + 1)) < 40 for x in n.values())  # a tenth of 500 more in each round, not of 40
+        assert all(r["doc_id"] >= 100 and {r["for_text"], r["for_meta"]} & {r["doc_id"] % 2} for r in chosen.collect())
+    assert len(seen) == 3
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     table = docs.drop("n_words")
     for name, stage in corpus_pipeline.STAGES[:-1]:
