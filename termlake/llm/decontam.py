@@ -7,7 +7,8 @@ costs one segment. A benchmark window (`width` consecutive words; a shorter item
 is looked up by its rarest term in the segment; that term's posting list, moved by its offset in
 the window, is then intersected with the lists of the next rarest terms. What is left are exact
 phrase matches. With `slack` > 0 a window also matches where its terms stand in order with at
-most `slack` foreign words between neighbours (proximity).
+most `slack` foreign words between neighbours (proximity): all postings in reach are followed, from
+those of the rarest term outwards.
 
 The benchmark is the stated query set: its windows are sent to the tasks in blocks of at most
 `block_windows`, however many there are.
@@ -124,26 +125,46 @@ class Segment:
     def near(self, lengths: np.ndarray, words: np.ndarray, slack: int):
         """(window, start, end) where a window's terms stand in order, neighbours at most slack + 1 apart.
 
-        Chains start at postings of the first term; each next term takes its earliest posting in reach.
+        From each posting of the rarest term all postings in reach are kept, outwards to both ends of
+        the window; what is returned for it spans every chain that runs through it.
         """
-        found = []
+        found, sizes, gap = [], np.diff(self.term_first), slack + 2
+        doc = np.searchsorted(self.firsts, self.positions, side="right") - 1
+        spread = self.positions + doc * gap  # no neighbours across documents
         for w in range(len(lengths)):
-            rank = np.searchsorted(self.terms, words[w, : lengths[w]])
-            if (rank >= len(self.terms)).any() or (self.terms[np.minimum(rank, len(self.terms) - 1)] != words[w, : lengths[w]]).any():
+            rank = np.minimum(np.searchsorted(self.terms, words[w, : lengths[w]]), max(0, len(self.terms) - 1))
+            if not len(self.terms) or not len(rank) or (self.terms[rank] != words[w, : lengths[w]]).any():
                 continue
-            lists = [self.positions[self.term_first[r] : self.term_first[r + 1]] for r in rank]
-            start = last = lists[0].astype(np.int64)
-            for nxt in lists[1:]:
-                i = np.searchsorted(nxt, last, side="right")
-                ok = i < len(nxt)
-                step = nxt[np.minimum(i, len(nxt) - 1)]
-                ok &= (step - last <= slack + 1) & (step < self.doc_end[last])
-                start, last = start[ok], step[ok].astype(np.int64)
-            found += [(w, s, e + 1) for s, e in zip(start, last, strict=True)]
-        a = np.array(found, np.int64).reshape(-1, 3)
+            lists = [spread[self.term_first[r] : self.term_first[r + 1]] for r in rank]
+            k = int(np.argmin(sizes[rank]))
+            end, ahead = _farthest(lists[k:], slack + 1)
+            start, behind = (x[::-1] for x in _farthest([-x[::-1] for x in lists[k::-1]], slack + 1))
+            ok = ahead & behind
+            back = doc[self.term_first[rank[k]] : self.term_first[rank[k] + 1]][ok] * gap
+            found.append(np.stack([np.full(int(ok.sum()), w), -start[ok] - back, end[ok] - back + 1], axis=1))
+        a = np.concatenate([np.zeros((0, 3), np.int64), *found]).astype(np.int64)
         return a[:, 0], a[:, 1], a[:, 2]
 
 
+def _farthest(lists: list[np.ndarray], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of lists[0]: the farthest end of chains that take one value of each list, each at most `reach` above the one before; whether there is any."""
+    kept = [lists[0].astype(np.int64)]
+    for nxt in lists[1:]:
+        lo, hi = np.searchsorted(nxt, kept[-1], side="right"), np.searchsorted(nxt, kept[-1] + reach, side="right")
+        n = hi - lo
+        kept.append(nxt[np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))].astype(np.int64))
+    far, ok = kept[-1], np.ones(len(kept[-1]), bool)
+    for cur, nxt in zip(kept[-2::-1], kept[:0:-1], strict=True):
+        if not len(nxt):
+            return np.zeros(len(kept[0]), np.int64), np.zeros(len(kept[0]), bool)
+        # of the values in reach that lead to an end, the last leads farthest
+        last = np.maximum.accumulate(np.where(ok, np.arange(len(nxt)), -1))
+        lo, hi = np.searchsorted(nxt, cur, side="right"), np.searchsorted(nxt, cur + reach, side="right")
+        j = np.where(hi > 0, last[np.maximum(hi - 1, 0)], -1)
+        ok, far = j >= lo, far[np.maximum(j, 0)]
+    return far, ok
+
+
 def _merge(starts, ends):
     """Union of intervals as sorted disjoint ones."""
     order = np.argsort(starts, kind="stable")

@@ -160,6 +160,26 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, items).count() == 0
 
 
+def test_proximity_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = ["a b x b x x c", "c a", "b c", ""] + [" ".join(rng.choice(list("aabbcdx"), int(rng.integers(1, 25)))) for _ in range(60)]
+    phrases = ["a b c", "a a b", "b", "d a b a", "c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string")
+    for slack in (1, 2):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.contamination(docs, items, slack=slack).collect()}
+        for i, t in enumerate(texts):
+            w, hit, found = t.split(), set(), []
+            for k, p in enumerate(phrases):
+                terms = p.split()
+                chains = [(x, x) for x, y in enumerate(w) if y == terms[0]]
+                for term in terms[1:]:
+                    chains = list({(s, x) for s, e in chains for x in range(e + 1, min(len(w), e + slack + 2)) if w[x] == term})
+                found += [str(k)] if chains else []
+                hit |= {x for s, e in chains for x in range(s, e + 1)}
+            assert got[i] == (len(hit), found), (slack, t)
+
+
 def test_token_counts(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
