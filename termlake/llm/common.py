@@ -20,10 +20,13 @@ CHUNK_BYTES = 1 << 20
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one that the session names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests) is a local temporary folder used.
+    Where that setting is absent, a temporary folder is used if the driver and all tasks are one
+    machine's; on a cluster it is an error, as executors couldn't read each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="termlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/termlake-{name}-{uuid.uuid4().hex}"
@@ -37,6 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df, once nothing will read it again."""
+    from pyarrow import fs as pfs
+
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        fs, path = pfs.FileSystem.from_uri(folder.replace("file:///", "file:/").replace("file:/", "file:///", 1))
+        fs.delete_dir(path)
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bounds what Spark sends a Python worker at once by bytes, where the session has no bound: ten thousand long rows would be tens of MB."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
