@@ -96,20 +96,18 @@ def load(uri: str, compress: bool = True) -> dict[str, np.ndarray]:
 
 
 # --- Elias-Fano -------------------------------------------------------------------------------
-_GROUP = 8
-_ONES = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 #: Place of the k-th one of each byte.
 _PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
 
 class EliasFano:
     """A non-decreasing sequence: low bits packed; high bits as unary gaps in 64-bit words, with the number of ones
-    before every eighth word as a directory. All arrays are used where they are, mapped or not."""
+    before each word as a directory. All arrays are used where they are, mapped or not."""
 
     def __init__(self, meta: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.bits, self.top = (int(x) for x in meta)
         self.low, self.high, self.ones = low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * (64 * _GROUP) - ones
+        self.zeros = np.arange(len(ones), dtype=ones.dtype) * ones.dtype.type(64) - ones
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -118,15 +116,15 @@ class EliasFano:
         v = values.astype(np.uint64)
         upper = (v >> U64(bits)).astype(np.int64)
         top = int(upper[-1]) if n else 0
-        gaps = np.zeros(-(-(top + n + 1) // (64 * _GROUP)) * 64 * _GROUP, np.uint8)
+        gaps = np.zeros(-(-(top + n + 1) // 64) * 64, np.uint8)
         gaps[upper + np.arange(n)] = 1
         high = np.packbits(gaps, bitorder="little").view("<u8")
-        ones = np.bitwise_count(high).reshape(-1, _GROUP).sum(1, dtype=np.int64)
+        ones = np.bitwise_count(high).astype(np.uint32 if len(gaps) < 1 << 32 else np.uint64)
         lows = [np.zeros(0, np.uint8)]
         if bits and n:
             shifts = np.arange(bits, dtype=np.uint64)[::-1]
             lows = [np.packbits(((v[a : a + 65536, None] >> shifts) & U64(1)).astype(np.uint8).ravel()) for a in range(0, n, 65536)]
-        return {"meta": np.array([n, bits, top], np.int64), "low": np.concatenate([*lows, np.zeros(8, np.uint8)]), "high": high, "ones": np.cumsum(ones) - ones}
+        return {"meta": np.array([n, bits, top], np.int64), "low": np.concatenate([*lows, np.zeros(8, np.uint8)]), "high": high, "ones": np.cumsum(ones, dtype=ones.dtype) - ones}
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -139,20 +137,18 @@ class EliasFano:
         """Position of the i-th one, or zero, of the high bits."""
         before, out = self.zeros if zero else self.ones, np.empty(len(i), np.int64)
         for a in range(0, len(i), 1 << 15):
-            left = i[a : a + (1 << 15)]
-            group = np.searchsorted(before, left, side="right") - 1
-            left = left - before[group]
-            row = np.arange(len(left))
-            words = self.high[(group * _GROUP)[:, None] + np.arange(_GROUP)]
-            words = ~words if zero else words
-            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-            k = (upto <= left[:, None]).sum(1)
-            left -= np.where(k > 0, upto[row, k - 1], 0)
-            word = words[row, k].view(np.uint8).reshape(-1, 8)
-            upto = np.cumsum(_ONES[word], axis=1, dtype=np.int64)
-            j = (upto <= left[:, None]).sum(1)
-            left -= np.where(j > 0, upto[row, j - 1], 0)
-            out[a : a + (1 << 15)] = ((group * _GROUP + k) << 6) + (j << 3) + _PLACE[word[row, j], left]
+            left = i[a : a + (1 << 15)].astype(before.dtype)
+            at = np.searchsorted(before, left, side="right") - 1
+            left -= before[at]
+            word, place, left = ~self.high[at] if zero else self.high[at], at << 6, left.astype(np.uint8)
+            for half in (32, 16, 8):
+                low = word & U64((1 << half) - 1)
+                n = np.bitwise_count(low)
+                up = left >= n
+                left = np.where(up, left - n, left)
+                word = np.where(up, word >> U64(half), low)
+                place += up * half
+            out[a : a + (1 << 15)] = place + _PLACE[word.astype(np.int64), left]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -400,43 +396,41 @@ def _answer(frame: pd.DataFrame, uri: str, kind, v: int) -> pd.DataFrame:
     count = np.bincount(where, all_of("times"), minlength=len(pair)).astype(np.int64)
     word, rank = np.unique(pair // (v + 2), return_inverse=True)
     below = np.repeat(where, all_of("kids")) * (v + 2) + all_of("thirds")
-    del key, where
-    live = all_of("third_times") > 0
-    triple, at = np.unique(below[live], return_inverse=True)
-    third = np.bincount(at, all_of("third_times")[live], minlength=len(triple)).astype(np.int64)
-    del below, at, live
-    # what training never had is asked only; a pair without a count stays where triples stand below it
+    triple, at = np.unique(below, return_inverse=True)
+    third = np.bincount(at, all_of("third_times"), minlength=len(triple)).astype(np.int64)
+    del key, below
     up = triple // (v + 2)
-    has = count > 0
-    has[up] = True
+    # what training never had is asked only; a pair without a count stays where triples stand below it
+    real, has = third > 0, count > 0
+    has[up[real]] = True
     place = np.cumsum(has) - 1
-    kept_words, rank = np.unique(rank[has], return_inverse=True)
-    Trie.build(uri, word[kept_words], (rank, pair[has] % (v + 2), count[has]), (place[up], triple % (v + 2), third), v)
-    del pair, triple, third, up, place
+    heads, of = np.unique(rank[has], return_inverse=True)
+    Trie.build(uri, word[heads], (of, pair[has] % (v + 2), count[has]), (place[up[real]], triple[real] % (v + 2), third[real]), v)
     trie = Trie.open(uri)
+    # each distinct entry is looked up once, whatever the number of blocks that ask for it
+    words = np.unique(all_of("contexts"))
+    w = trie.find_words(words)
+    i = trie.find("pairs", w[np.searchsorted(words, word)][rank], pair % (v + 2))
+    j = trie.find("triples", i[up], triple % (v + 2))
     counted = np.concatenate([[0], np.cumsum(trie.pairs_codes > 0)])
-    at = trie.pairs_from
-
-    def successors(words: np.ndarray) -> np.ndarray:
-        """Pairs with a count below each word."""
-        r = trie.find_words(words)
-        out, known = np.zeros(len(words), np.int64), r >= 0
-        out[known] = counted[at.get(r[known] + 1)] - counted[at.get(r[known])]
-        return out
+    n2 = np.zeros(len(words), np.int64)
+    n2[w >= 0] = counted[trie.pairs_from.get(w[w >= 0] + 1)] - counted[trie.pairs_from.get(w[w >= 0])]
+    n3 = trie.kinds("triples", i)
 
     def code(codes: np.ndarray, i: np.ndarray) -> np.ndarray:
         return np.where(i >= 0, codes[np.maximum(i, 0)], 0).astype(np.uint8) if len(codes) else np.zeros(len(i), np.uint8)
 
-    out, split = [], {}
+    code2, code3 = code(trie.pairs_codes, i), code(trie.triples_codes, j)
+    out, split, p, t = [], {}, 0, 0
     for block, g in zip(frame["block"], got, strict=True):
-        i = trie.find("pairs", np.repeat(trie.find_words(g["contexts"]), g["sizes"]), g["words"])
-        j = trie.find("triples", np.repeat(i, g["kids"]), g["thirds"])
-        n2, n3 = successors(g["contexts"]), trie.kinds("triples", i)
-        out.append((block, int(frame["shard"].iloc[0]), _pack(code(trie.pairs_codes, i)), _pack(n2.astype(np.uint32)), _pack(code(trie.triples_codes, j)), _pack(n3.astype(np.uint32)), [], [], []))
+        mine, below = where[p : p + len(g["words"])], at[t : t + len(g["thirds"])]
+        p, t = p + len(mine), t + len(below)
+        own = np.searchsorted(words, g["contexts"])
+        out.append((block, int(frame["shard"].iloc[0]), _pack(code2[mine]), _pack(n2[own].astype(np.uint32)), _pack(code3[below]), _pack(n3[mine].astype(np.uint32)), [], [], []))
         f = np.flatnonzero(g["frequent"])
-        split |= zip(zip(g["contexts"][f].tolist(), [-1] * len(f), strict=True), n2[f].tolist(), strict=True)
+        split |= zip(zip(g["contexts"][f].tolist(), [-1] * len(f), strict=True), n2[own[f]].tolist(), strict=True)
         f = np.flatnonzero(g["double"])
-        split |= zip(zip(g["first"][f].tolist(), g["words"][f].tolist(), strict=True), n3[f].tolist(), strict=True)
+        split |= zip(zip(g["first"][f].tolist(), g["words"][f].tolist(), strict=True), n3[mine[f]].tolist(), strict=True)
     out.append(("", int(frame["shard"].iloc[0]), b"", b"", b"", b"", [k[0] for k in split], [k[1] for k in split], list(split.values())))
     return pd.DataFrame(out, columns=["block", "shard", "codes2", "kinds2", "codes3", "kinds3", "a", "b", "kinds"])
 
