@@ -11,13 +11,18 @@ occurrences of such a string meet in one shard, and only text that may repeat ge
    snippet; snippets go, packed, to the shard of their anchor.
 3. A shard joins its distinct snippets, builds their suffix array by induced sorting, and takes
    common prefixes of `length` bytes from the permuted prefix array: suffixes that share one are
-   occurrences of one window. All but the first are removed.
+   occurrences of one window. All but the first are removed. Snippets of one anchor stay together;
+   a bucket is sorted in parts of some anchors each.
 4. An anchor with more than `hot` occurrences could make a shard too large. Its windows are dealt
    one by one, by the hash of the window, after each task has removed all but its own first one;
    so a passage that a third of the corpus shares costs one entry per task.
 
+There is a bucket for every `bucket` bytes of text, whatever the session's settings, and a block
+of documents sends a bucket one row for its snippets and one for its hot windows: at most as many
+rows as it has anchors or hot windows, so the exchange grows with the text.
+
 Anchor and window hashes only decide where text goes; on the hot path windows are compared by two
-64-bit hashes. Rows that repeat a doc_id are one document: a text isn't earlier than itself.
+64-bit hashes (that any two of 10^14 different windows share both has a chance under 2e-11). Rows that repeat a doc_id are one document: a text isn't earlier than itself.
 Defined cases: null counts as empty; texts shorter than `length` keep everything; a row with null
 doc_id is kept whole and repeats nothing; columns beyond doc_id and text are ignored.
 """
@@ -36,6 +41,7 @@ from .suffix_array import common_prefixes, suffix_array
 GRAM = 32
 _STEP, _STEP2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SHARD_BYTES = 1 << 18
+PART_BYTES = 4 << 20
 
 
 class Roller:
@@ -150,7 +156,7 @@ def suspects(docs: DataFrame, length: int, buckets: int, hot: int, block: int) -
         return pd.DataFrame({"doc_id": d[new], "hash": h[new].view(np.int64), "hot": times[new] > hot})
 
     packed = docs.mapInArrow(find, "bucket int, hashes binary, docs binary")
-    return packed.groupBy("bucket").applyInPandas(count, "doc_id long, hash long, hot boolean")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, "doc_id long, hash long, hot boolean")
 
 
 _SNIPPETS = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("more", pa.binary())])
@@ -246,28 +252,21 @@ def _hot_spans(rows: pd.DataFrame, length: int):
 
 
 def _shard_spans(rows: pd.DataFrame, length: int):
-    """Spans of the windows of a bucket's snippets that also start earlier."""
+    """Spans of the windows of a bucket's snippets that also start earlier, part by part."""
+    h, doc, start, n = (np.concatenate([np.frombuffer(x, t) for x in rows[k]]) for k, t in (("keys", U64), ("docs", np.int64), ("starts", np.int64), ("sizes", np.int32)))
+    text, n = b"".join(rows["more"]), n.astype(np.int64)
+    end = np.cumsum(n + (length - 1))
+    begin = end - n - (length - 1)
+    for _, i in _by_bucket(mix64(h.copy()), max(1, len(text) // PART_BYTES)):
+        yield _part_spans(h[i], doc[i], start[i], n[i], [text[a:b] for a, b in zip(begin[i].tolist(), end[i].tolist(), strict=True)], length)
+
+
+def _part_spans(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: list[bytes], length: int):
     first: dict[bytes, int] = {}
-    keys, kind, doc, start, n = [], [], [], [], []
-    distinct: list[bytes] = []
-    anchor: list[int] = []
-    for h, d, s, m, text in zip(rows["keys"], rows["docs"], rows["starts"], rows["sizes"], rows["more"], strict=True):
-        h, d, s, m = np.frombuffer(h, U64), np.frombuffer(d, np.int64), np.frombuffer(s, np.int64), np.frombuffer(m, np.int32)
-        upto = np.cumsum(m + (length - 1)).tolist()
-        begin = 0
-        for x, end in zip(h.tolist(), upto, strict=True):
-            piece = text[begin:end]
-            begin = end
-            k = first.setdefault(piece, len(distinct))
-            if k == len(distinct):
-                distinct.append(piece)
-                anchor.append(x)
-            kind.append(k)
-        doc.append(d)
-        start.append(s)
-        n.append(m)
-    kind, doc, start, n = np.array(kind, np.int64), np.concatenate(doc), np.concatenate(start), np.concatenate(n).astype(np.int64)
-    anchors_ = np.array(anchor, U64)
+    kind = np.fromiter((first.setdefault(x, len(first)) for x in pieces), np.int64, len(pieces))
+    distinct = list(first)
+    anchors_ = np.empty(len(distinct), U64)
+    anchors_[kind] = h
     times = np.bincount(kind, minlength=len(distinct))
     # earliest occurrence of each distinct snippet
     order = np.lexsort((start, doc, kind))
@@ -276,7 +275,6 @@ def _shard_spans(rows: pd.DataFrame, length: int):
     by_anchor = np.argsort(anchors_, kind="stable")
     ranked = anchors_[by_anchor]
     cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    first_doc: dict[int, np.ndarray] = {}
     sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
     out_doc = [None] * len(distinct)
     out_start = [None] * len(distinct)
@@ -315,18 +313,15 @@ def _shard_spans(rows: pd.DataFrame, length: int):
 
     for lo, hi in zip(cut, np.append(cut[1:], len(ranked)), strict=True):
         own = by_anchor[lo:hi]
-        if hi - lo == 1:  # nothing to sort: all its windows have the occurrences of the one snippet
-            k = own[0]
-            if times[k] > 1:
-                m = sizes[k] - (length - 1)
-                out_doc[k], out_start[k] = np.full(m, lead_doc[k]), lead_start[k] + np.arange(m)
+        if times[own].sum() < 2:  # its other place was a window of a hot anchor, or a hash of another gram
             continue
         shard += own.tolist()
         held += int(sizes[own].sum())
         if held >= SHARD_BYTES:
             close()
     close()
-    use = np.flatnonzero(np.array([out_doc[k] is not None for k in kind], bool)) if len(kind) else np.zeros(0, np.int64)
+    sorted_ = np.array([x is not None for x in out_doc], bool)
+    use = np.flatnonzero(sorted_[kind])
     if not len(use):
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     m = n[use]
@@ -339,7 +334,7 @@ def _shard_spans(rows: pd.DataFrame, length: int):
     return _runs(d[order], s[order], length)
 
 
-def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
+def repeated_spans(packed: DataFrame, length: int, buckets: int) -> DataFrame:
     """doc_id, start, end: spans of removed bytes, which may touch or overlap."""
 
     def find(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -351,25 +346,25 @@ def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
         if len(hot := rest[rest["hot"]]):
             out.append(_hot_spans(hot, length))
         if len(cold := rest[~rest["hot"]]):
-            out.append(_shard_spans(cold, length))
+            out += _shard_spans(cold, length)
         return pd.DataFrame({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("doc_id", "start", "end"))})
 
     spread = packed.withColumn("deal", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("docs", "starts")))
-    return spread.groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
+    return spread.repartition(buckets, "deal").groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 3 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 3 << 20, bucket: int = 24 << 20, as_text: bool = False) -> DataFrame:
     """doc_id, n_removed, n_spans, kept of the documents that lose bytes; the others aren't listed.
 
     kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(f"doc_id is not null and octet_length(text) >= {length}")
+    buckets = max(1, -(-(slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // bucket))
     found = suspects(slim, length, buckets, hot, block)
     lists = found.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hots"))
-    spans = repeated_spans(snippets(slim.join(materialize(lists, "anchors"), "doc_id"), length, buckets, block), length)
+    spans = repeated_spans(snippets(slim.join(materialize(lists, "anchors"), "doc_id"), length, buckets, block), length, buckets)
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def strike(batches):
