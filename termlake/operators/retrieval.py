@@ -1,55 +1,293 @@
-"""Ranking of chunks for queries: BM25, dense scores, reciprocal rank fusion, budgets."""
+"""Ranking of chunks for queries: BM25, dense scores, reciprocal rank fusion, budgets.
+
+Queries are the small side. They are dealt in blocks whose size is set, sent to the tasks that hold the chunks,
+and a task keeps no more than the best few chunks of each query; no pair of a query and a chunk is shuffled.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import chunk_text, words
+
+
+def okapi_idf(df, n):
+    """Raw inverse frequency; what is negative becomes a quarter of the mean over the vocabulary."""
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
 def bm25(queries: DataFrame, pool: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score for every pair that shares a word. queries(query_id, text), pool(chunk_id, text).
+    """corpus, query_id, chunk_id, score for every pair of a corpus that shares a word, each corpus with statistics of its own.
 
-    Term frequencies are one shuffle on (chunk, word); the join is on the word, so only pairs that
-    share one meet. Negative weights of very common words become a quarter of the mean weight.
+    queries(corpus, query_id, text), pool(corpus, chunk_id, text), for many small corpora such as the chunks of one
+    document each: everything is keyed by the corpus. For one large pool see Ranker.
     """
-    tokens = pool.select("chunk_id", F.explode(words(F.col("text"))).alias("word"))
-    tf = tokens.groupBy("chunk_id", "word").agg(F.count("*").alias("tf"))
-    sizes = pool.select("chunk_id", F.size(words(F.col("text"))).alias("len"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    raw = tf.groupBy("word").agg(F.count("*").alias("df")).crossJoin(stats).select("word", "n", "mean_len", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(mean).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    hit = asked.join(idf, "word").join(tf, "word").join(sizes, "chunk_id")
+    cut = pool.select("corpus", "chunk_id", words(F.col("text")).alias("w"))
+    tf = cut.select("corpus", "chunk_id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("corpus", "chunk_id", "len", "word").agg(F.count("*").alias("tf"))
+    stats = cut.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_len"))
+    raw = tf.groupBy("corpus", "word").agg(F.count("*").alias("df")).join(stats, "corpus").withColumn("raw", okapi_idf(F.col("df"), F.col("n")))
+    raw = raw.withColumn("mean_idf", F.avg("raw").over(Window.partitionBy("corpus")))
+    idf = raw.select("corpus", "word", "mean_len", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    asked = queries.select("corpus", "query_id", F.explode(words(F.col("text"))).alias("word")).groupBy("corpus", "query_id", "word").agg(F.count("*").alias("times"))
+    hit = asked.join(idf, ["corpus", "word"]).join(tf, ["corpus", "word"])
     one = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return hit.groupBy("query_id", "chunk_id").agg(F.sum(one).alias("score"))
+    return hit.groupBy("corpus", "query_id", "chunk_id").agg(F.sum(one).alias("score"))
 
 
 def l2_normalize(v):
+    """Unit vector; null for one of zeros."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
 def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    """Scalar product; 0 where a vector is missing or their sizes differ."""
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
 
 
-def ranks(scores: DataFrame) -> DataFrame:
+def ranks(scores: DataFrame, within: tuple = ("query_id",)) -> DataFrame:
     """Adds rank: 1 is best, ties by id."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("score"), "chunk_id")))
 
 
-def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
+def rrf(rankings: list[DataFrame], k: int = 60, within: tuple = ("query_id",)) -> DataFrame:
     """Reciprocal rank fusion of (query_id, chunk_id, rank) tables."""
-    both = rankings[0].select("query_id", "chunk_id", "rank")
+    both = rankings[0].select(*within, "chunk_id", "rank")
     for r in rankings[1:]:
-        both = both.unionByName(r.select("query_id", "chunk_id", "rank"))
-    return both.groupBy("query_id", "chunk_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
+        both = both.unionByName(r.select(*within, "chunk_id", "rank"))
+    return both.groupBy(*within, "chunk_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
-def budget(ranked: DataFrame, size: str, most: int) -> DataFrame:
+def budget(ranked: DataFrame, size: str, most: int, within: tuple = ("query_id",)) -> DataFrame:
     """Chunks in rank order until the next would pass the budget."""
-    upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*within).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("upto", F.sum(size).over(upto)).filter(F.col("upto") <= most)
+
+
+def reassemble(chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, text: chosen(key, start, chunk) in document order, with a mark between."""
+    return chosen.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "chunk"))), lambda x: x["chunk"]), "\n...\n").alias("text"))
+
+
+def pools(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(pool, code) of queries(query_id, codes): codes whose chunks a query looks at; no row for a pool that is everything.
+
+    A query without codes, or whose codes no chunk has, looks at all chunks. The codes of the chunks are few.
+    """
+    wanted = queries.select(pool_key().alias("pool"), F.explode("codes").alias("code")).select("pool", F.lower("code").alias("code")).distinct()
+    have = chunks.select(F.lower("jurisdiction").alias("code")).distinct()
+    return wanted.join(have, "code", "left_semi").select("pool", "code")
+
+
+def pool_key():
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce("codes", F.array().cast("array<string>")), F.lower))), ",")
+
+
+class Scorer:
+    """What a task needs to score chunks: the block's queries, their pools and weights; no reference to Spark."""
+
+    def __init__(self, ids, pool, codes, names, vectors, k1, b, digits):
+        self.ids, self.pool, self.codes, self.names, self.vectors, self.k1, self.b, self.digits = ids, pool, codes, names, vectors, k1, b, digits
+        self.mean, self.vocabulary, self.weights = np.ones(len(names)), [], np.zeros((0, len(ids)))
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, whether a chunk is in each query's pool, BM25 and dense scores (chunk x query)."""
+        ids = np.asarray(batch.column("chunk_id"))
+        lists = batch.column("words")
+        lengths = np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
+        word = np.asarray(pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())).fill_null(-1), np.int64)
+        wide = max(1, len(self.vocabulary))
+        cell, tf = np.unique(np.repeat(np.arange(len(ids)), lengths)[word >= 0] * wide + word[word >= 0], return_counts=True)
+        row, word = np.divmod(cell, wide)
+        sparse = np.zeros((len(ids), len(self.ids)))
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+        for k in range(len(self.names)):  # a pool has one mean length
+            q = np.flatnonzero(self.pool == k)
+            part = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[row] / self.mean[k]))
+            if len(row) and len(q):
+                sparse[np.ix_(row[first], q)] = np.add.reduceat(part[:, None] * self.weights[word][:, q], first, axis=0)
+        allowed = [[not self.codes[p] or c in self.codes[p] for p in self.names] for c in batch.column("code").to_pylist()]
+        member = np.array(allowed, bool).reshape(len(ids), len(self.names))[:, self.pool]
+        size, vec = self.vectors.shape[1], batch.column("vector").to_pylist()
+        dense = np.zeros((len(ids), len(self.ids)))
+        fine = [k for k, v in enumerate(vec) if v is not None and len(v) == size and size]
+        if fine:
+            dense[fine] = np.array([vec[k] for k in fine]) @ self.vectors.T
+        return ids, member, np.round(sparse, self.digits), np.round(dense, self.digits)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+_BEST = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("way", pa.string()), ("score", pa.float64())])
+_OWN = pa.schema([("q", pa.int32()), ("chunk_id", pa.int64()), ("bm25", pa.float64()), ("dense", pa.float64())])
+_BEFORE = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("way", pa.string()), ("before", pa.int64())])
+
+
+class Ranker:
+    """Exact scores of all chunks for a block of queries, chunk by chunk inside the tasks.
+
+    chunks(chunk_id, text, jurisdiction, vector), queries(query_id, text, codes, vector). Both scores of a chunk count only
+    within the query's pool, whose own statistics BM25 takes.
+    """
+
+    def __init__(self, chunks: DataFrame, queries: DataFrame, most_queries: int = 1000, k1: float = 1.5, b: float = 0.75, digits: int = 6):
+        spark = chunks.sparkSession
+        asked = queries.select("query_id", "text", "codes", "vector", pool_key().alias("pool")).limit(most_queries + 1).collect()
+        if len(asked) > most_queries:
+            raise ValueError(f"a block holds {most_queries} queries at most; deal them first")
+        codes: dict = {r["pool"]: set() for r in asked}
+        for r in pools(chunks, queries).collect():
+            codes[r["pool"]].add(r["code"])
+        names = sorted(codes)
+        size = max((len(r["vector"]) for r in asked if r["vector"]), default=0)
+        vectors = np.array([r["vector"] if r["vector"] is not None and len(r["vector"]) == size else [0.0] * size for r in asked], np.float64).reshape(len(asked), size)
+        self.scorer = s = Scorer([r["query_id"] for r in asked], np.array([names.index(r["pool"]) for r in asked], np.int64), codes, names, vectors, k1, b, digits)
+        self.chunks = chunks.select("chunk_id", F.lower("jurisdiction").alias("code"), words(F.coalesce("text", F.lit(""))).alias("words"), F.col("vector").cast("array<double>").alias("vector"))
+        # pools of everything, and those of the codes that chunks have
+        every = F.array(*[F.lit(k) for k, p in enumerate(names) if not codes[p]] or [F.lit(None).cast("int")])
+        own = spark.createDataFrame([(c, k) for k, p in enumerate(names) for c in codes[p]], "code string, pool int").groupBy("code").agg(F.collect_list("pool").alias("own"))
+        member = F.filter(F.concat(every, F.coalesce("own", F.array().cast("array<int>"))), lambda x: x.isNotNull())
+        cut = self.chunks.join(F.broadcast(own), "code", "left").select("words", F.explode(member).alias("pool"))  # codes of at most a block of queries
+        stats = {r["pool"]: (r["n"], r["mean"]) for r in cut.groupBy("pool").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).collect()}
+        s.mean = np.array([stats.get(k, (0, 1.0))[1] or 1.0 for k in range(len(names))])
+        # the queries' own words: as many as they are long
+        q = spark.createDataFrame([(k, int(p), r["text"] or "") for k, (p, r) in enumerate(zip(s.pool, asked, strict=True))], "q int, pool int, text string")
+        q = q.select("q", "pool", F.explode(words(F.col("text"))).alias("word")).groupBy("q", "pool", "word").agg(F.count("*").alias("times"))
+        if not stats or not q.head(1):
+            return
+        count = F.create_map(*[x for k, (n, _) in stats.items() for x in (F.lit(k), F.lit(n))])
+        df = cut.select("pool", F.explode(F.array_distinct("words")).alias("word")).groupBy("pool", "word").agg(F.count("*").alias("df")).withColumn("raw", okapi_idf(F.col("df"), F.element_at(count, F.col("pool"))))
+        mean_idf = {r["pool"]: r["m"] for r in df.groupBy("pool").agg(F.avg("raw").alias("m")).collect()}
+        found = q.join(df, ["pool", "word"]).select("q", "pool", "word", "times", "raw").collect()
+        s.vocabulary = sorted({r["word"] for r in found})
+        at = {w: k for k, w in enumerate(s.vocabulary)}
+        s.weights = np.zeros((len(s.vocabulary), len(asked)))
+        for r in found:
+            s.weights[at[r["word"]], r["q"]] += r["times"] * (r["raw"] if r["raw"] >= 0 else 0.25 * mean_idf[r["pool"]])
+
+    def best(self, k: int, which: tuple = ("bm25", "dense"), shared: bool = True) -> DataFrame:
+        """query_id, chunk_id, way, score: the best k chunks of each query by each score (ties by id); shared: chunks without a word of the query don't count for BM25."""
+        scorer = self.scorer
+
+        def find(batches):
+            kept: dict = {}
+            for batch in batches:
+                ids, member, sparse, dense = scorer(batch)
+                for way, score in (("bm25", sparse), ("dense", dense)):
+                    if way not in which:
+                        continue
+                    ok = member & (score != 0) if way == "bm25" and shared else member
+                    for q in range(len(scorer.ids)):
+                        i = np.flatnonzero(ok[:, q])
+                        old = kept.get((way, q), (np.zeros(0, ids.dtype), np.zeros(0)))
+                        a, x = np.concatenate([old[0], ids[i]]), np.concatenate([old[1], score[i, q]])
+                        top = np.lexsort((a, -x))[:k]
+                        kept[way, q] = a[top], x[top]
+            yield _batch([(scorer.ids[q], int(i), way, float(x)) for (way, q), (a, s) in kept.items() for i, x in zip(a, s, strict=True)], _BEST)
+
+        found = self.chunks.mapInArrow(find, "query_id long, chunk_id long, way string, score double")
+        w = Window.partitionBy("query_id", "way").orderBy(F.desc("score"), "chunk_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def exact_ranks(self, candidates: DataFrame) -> DataFrame:
+        """query_id, chunk_id, way, rank of candidates(query_id, chunk_id) by both scores among all chunks of the pool.
+
+        Passes over the chunks find the candidates' scores and count what stands before each; there are a few of them a query.
+        """
+        scorer, place = self.scorer, {q: k for k, q in enumerate(self.scorer.ids)}
+        wanted: dict[int, set] = {}
+        for r in candidates.select("query_id", "chunk_id").distinct().collect():
+            wanted.setdefault(place[r["query_id"]], set()).add(r["chunk_id"])
+        every = sorted(set().union(*wanted.values()))
+
+        def own(batches):
+            for batch in batches:
+                ids, _, sparse, dense = scorer(batch)
+                yield _batch([(q, int(ids[k]), float(sparse[k, q]), float(dense[k, q])) for k in np.flatnonzero(np.isin(ids, every)) for q, w in wanted.items() if int(ids[k]) in w], _OWN)
+
+        have: dict[int, list] = {}
+        for r in self.chunks.mapInArrow(own, "q int, chunk_id long, bm25 double, dense double").collect():
+            have.setdefault(r["q"], []).append((r["chunk_id"], r["bm25"], r["dense"]))
+
+        def count(batches):
+            total = {q: np.zeros((2, len(x)), np.int64) for q, x in have.items()}
+            for batch in batches:
+                ids, member, sparse, dense = scorer(batch)
+                for q, x in have.items():
+                    i = member[:, q]
+                    for way, score in enumerate((sparse, dense)):
+                        order = np.lexsort((ids[i], -score[i, q]))
+                        s, a = -score[i, q][order], ids[i][order]
+                        for k, c in enumerate(x):
+                            lo, hi = np.searchsorted(s, -c[1 + way], side="left"), np.searchsorted(s, -c[1 + way], side="right")
+                            total[q][way, k] += lo + np.searchsorted(a[lo:hi], c[0])
+            yield _batch([(scorer.ids[q], x[k][0], way, int(total[q][w, k])) for q, x in have.items() for w, way in enumerate(("bm25", "dense")) for k in range(len(x))], _BEFORE)
+
+        counted = self.chunks.mapInArrow(count, "query_id long, chunk_id long, way string, before long")
+        return counted.groupBy("query_id", "chunk_id", "way").agg((F.sum("before") + 1).alias("rank"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank: the best k chunks of each query's pool by fused ranks.
+
+    A chunk that is in neither score's best 2 * (rrf_k + k) has a fused score below that of the k-th chunk of either
+    list, so these lists hold every answer; their chunks' exact ranks are then counted. A query without a usable vector has no rows.
+    """
+    usable = queries.withColumn("vector", l2_normalize(F.col("vector"))).filter("vector is not null")
+    ranker = Ranker(chunks, usable)
+    ranked = ranker.exact_ranks(ranker.best(2 * (rrf_k + k), shared=False))
+    return ranks(rrf([ranked], rrf_k).withColumn("score", F.round("score", 6))).filter(F.col("rank") <= k)
+
+
+def select_relevant_chunks(docs: DataFrame, query: str, vectors: DataFrame | None = None, query_vectors: dict[str, list[float]] | None = None, max_chars: int = 20_000, rrf_k: int = 60) -> DataFrame:
+    """doc_id, text: whole texts of at most max_chars, else the chunks of best fused rank within that budget, in document order.
+
+    vectors(doc_id, n, world, eu) are of the chunks, query_vectors of the query; without a world vector a text's beginning
+    is taken, without an eu vector that ranking is by place.
+    """
+    short = docs.filter(F.length("text") <= max_chars).select("doc_id", "text")
+    long = docs.filter(F.length("text") > max_chars)
+    q = query_vectors or {}
+    if q.get("world") is None or vectors is None:
+        return short.unionByName(long.select("doc_id", F.substring("text", 1, max_chars).alias("text")))
+    chunks = chunk_text(long.select("doc_id", "text")).withColumnRenamed("n", "chunk_id").join(vectors.withColumnRenamed("n", "chunk_id"), ["doc_id", "chunk_id"], "left")
+    asked = long.select(F.col("doc_id").alias("corpus"), F.lit(0).alias("query_id"), F.lit(query).alias("text"))
+    sparse = bm25(asked, chunks.select(F.col("doc_id").alias("corpus"), "chunk_id", F.col("chunk").alias("text"))).select(F.col("corpus").alias("doc_id"), "chunk_id", F.col("score").alias("bm25"))
+    fixed = lambda v: F.array(*[F.lit(float(x)) for x in v]) if v else F.array().cast("array<double>")
+    j = chunks.join(sparse, ["doc_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    for way in ("world", "eu"):
+        j = j.withColumn(f"{way}_score", F.coalesce(dot(F.col(way), fixed(q.get(way))), F.lit(0.0)))
+    place = lambda c: F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round(c, 6)), "chunk_id"))
+    j = j.withColumn("score", F.round(sum(1 / (rrf_k + place(c)) for c in ("bm25", "world_score", "eu_score")), 9)).withColumn("len", F.length("chunk"))
+    chosen = budget(ranks(j, ("doc_id",)), "len", max_chars, ("doc_id",))
+    return short.unionByName(reassemble(chosen))
+
+
+def quality_flags(chunks: DataFrame) -> DataFrame:
+    """Adds placeholder: the chunk's law has that status."""
+    return chunks.withColumn("placeholder", F.coalesce(F.lower("status") == "placeholder", F.lit(False)))
+
+
+def build_corpus_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with unit vectors of float; what has no vector, or one of zeros, is dropped. Write with .write.parquet()."""
+    return chunks.join(vectors.select("chunk_id", l2_normalize(F.col("vector")).cast("array<float>").alias("vector")), "chunk_id").filter("vector is not null")
+
+
+def bundle_guard(chunks: DataFrame, vectors: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row (ok, reason): whether chunks, vectors and the one row of manifest(version, chunks_version, vectors_version, n_chunks, size) belong together."""
+    c, v = chunks.agg(F.count("*").alias("n_c")), vectors.agg(F.count("*").alias("n_v"), F.coalesce(F.min(F.size("vector")), F.lit(0)).alias("least"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("most"))
+    lost = chunks.select("chunk_id").join(vectors.select("chunk_id"), "chunk_id", "left_anti").agg(F.count("*").alias("lost"))
+    j = manifest.crossJoin(c).crossJoin(v).crossJoin(lost)  # one row each
+    reason = (
+        F.when((F.col("version") != F.col("chunks_version")) | (F.col("version") != F.col("vectors_version")), "versions differ").when((F.col("n_c") != F.col("n_chunks")) | (F.col("n_v") != F.col("n_c")), "counts differ")
+        .when((F.col("least") != F.col("size")) | (F.col("most") != F.col("size")), "vector sizes differ").when(F.col("lost") > 0, "chunks without vectors")
+    )
+    if dict(vectors.dtypes)["vector"] != "array<float>":
+        reason = F.coalesce(reason, F.lit("vectors aren't float"))
+    return j.select(reason.isNull().alias("ok"), reason.alias("reason"))

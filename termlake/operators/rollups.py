@@ -18,8 +18,19 @@ def heatmap(rollups: DataFrame) -> DataFrame:
     return axes.join(cells, ["industry", "jurisdiction"], "left").select("industry", "jurisdiction", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def kpis(rollups: DataFrame) -> DataFrame:
-    return rollups.agg(F.count("*").alias("n"), F.avg("crs").alias("mean"), (100.0 * F.count_if(F.col("crs") >= 0.7) / F.count("*")).alias("percent_red"), F.count_if("minors").alias("n_minors"))
+def kpis(rollups: DataFrame, category: str = "category") -> DataFrame:
+    """n, mean, percent_red (0.70 and more), percent_high (0.75 and more), n_minors and the commonest category, ties by name; one row."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    s = rollups.agg(
+        F.count("*").alias("n"), F.coalesce(F.avg("crs"), F.lit(0.0)).alias("mean"), (100.0 * F.count_if(F.col("crs") >= 0.7) / n).alias("percent_red"), (100.0 * F.count_if(F.col("crs") >= 0.75) / n).alias("percent_high"), F.count_if("minors").alias("n_minors")
+    )
+    top = rollups.groupBy(category).agg(F.count("*").alias("times")).agg(F.min_by(category, F.struct((-F.col("times")).alias("n"), F.col(category).alias("c"))).alias("top_category"))
+    return s.crossJoin(top)  # one row each
+
+
+def contribute_rollups(rows: DataFrame) -> DataFrame:
+    """The rows of those who opted in; write with append."""
+    return rows.filter(F.coalesce("optin", F.lit(False))).drop("optin")
 
 
 def keyword_frequency(docs: DataFrame) -> DataFrame:
@@ -58,3 +69,39 @@ def scores(confusion_: DataFrame) -> DataFrame:
     expected = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
     kappa = F.when(expected >= 1, 0.0).otherwise(((tp + tn) / n - expected) / (1 - expected))
     return confusion_.select("*", p.alias("precision"), r.alias("recall"), div(2 * p * r, p + r).alias("f1"), kappa.alias("kappa"))
+
+
+def macro(scores_: DataFrame) -> DataFrame:
+    """Means over all categories: macro_precision, macro_recall, macro_f1, macro_kappa."""
+    return scores_.agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1", "kappa")])
+
+
+def kappa_pooled(confusion_: DataFrame) -> DataFrame:
+    """Cohen's kappa over all pairs of document and category; 1 where agreement by chance is total, 0 without documents."""
+    s = confusion_.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("tp", "fp", "fn", "tn")])
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    gold, said = (tp + fn) / n, (tp + fp) / n
+    expected = gold * said + (1 - gold) * (1 - said)
+    return s.select(F.when(n == 0, 0.0).when(expected == 1, 1.0).otherwise(((tp + tn) / n - expected) / (1 - expected)).alias("kappa"))
+
+
+def multiclass(pairs: DataFrame, labels: tuple = ("R", "Y", "G")) -> DataFrame:
+    """category, n, macro_f1, kappa of pairs(category, gold, predicted) over the labels; agreement by chance of 1 counts as 0 in the divisor."""
+    m = pairs.groupBy("category").agg(F.count("*").alias("n"), *[F.count_if((F.col("gold") == g) & (F.col("predicted") == p)).cast("double").alias(f"{g}{p}") for g in labels for p in labels])
+    row = {x: sum(F.col(f"{x}{p}") for p in labels) for x in labels}
+    col = {x: sum(F.col(f"{g}{x}") for g in labels) for x in labels}
+    f1 = lambda x: F.when(row[x] + col[x] > 0, 2 * F.col(f"{x}{x}") / (row[x] + col[x])).otherwise(0.0)
+    seen = sum(F.col(f"{x}{x}") for x in labels) / F.col("n")
+    chance = sum(row[x] * col[x] for x in labels) / (F.col("n") * F.col("n"))
+    return m.select("category", "n", (sum(map(f1, labels)) / len(labels)).alias("macro_f1"), ((seen - chance) / F.when(chance == 1, 1.0).otherwise(1 - chance)).alias("kappa"))
+
+
+def vendor_compare(analyses: DataFrame, findings: DataFrame, vendors: list[str]) -> DataFrame:
+    """metric, a column for each vendor, best: mean risk and findings by category, lower is better, ties by name."""
+    risk = analyses.filter(F.col("vendor").isin(vendors)).groupBy("vendor").agg(F.bround(F.avg("risk_score"), 6).alias("value")).select("vendor", F.lit("risk").alias("metric"), "value")
+    counts = findings.join(analyses.select("doc_id", "vendor"), "doc_id").filter(F.col("vendor").isin(vendors)).groupBy("vendor", "category").agg(F.count("*").cast("double").alias("value"))
+    every = risk.unionByName(counts.select("vendor", F.concat(F.lit("findings: "), "category").alias("metric"), "value"))
+    wide = every.groupBy("metric").pivot("vendor", vendors).agg(F.first("value")).fillna(0.0, [v for v in vendors])
+    order = F.array_min(F.array(*[F.struct(F.col(f"`{v}`").alias("value"), F.lit(v).alias("vendor")) for v in vendors]))
+    return wide.withColumn("best", order["vendor"])

@@ -1,4 +1,4 @@
-"""Merging findings, scores, verdicts and orders."""
+"""Model findings, merging, scores, confidence, verdicts and orders."""
 
 from __future__ import annotations
 
@@ -24,10 +24,15 @@ def grade(score: Column) -> Column:
     return out.otherwise("A")
 
 
+def mean_value() -> Column:
+    """Mean of the findings' scores; the sum is of decimals, so that it doesn't depend on the order of rows."""
+    value = F.coalesce("irp_score", lookup(catalog.SEVERITY_SCORE, F.col("severity"), 0.5))
+    return F.sum(value.cast("decimal(10,6)")).cast("double") / F.count(value)
+
+
 def risk_scores(findings: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, risk_score (0 to 10, 0 without findings), grade."""
-    value = F.coalesce("irp_score", lookup(catalog.SEVERITY_SCORE, F.col("severity"), 0.5))
-    mean = findings.groupBy("doc_id").agg(F.avg(value).alias("mean"))
+    mean = findings.groupBy("doc_id").agg(mean_value().alias("mean"))
     score = F.coalesce(F.bround(F.col("mean") * 10, 2), F.lit(0.0))
     return docs.select("doc_id").join(mean, "doc_id", "left").select("doc_id", score.alias("risk_score"), grade(score).alias("grade"))
 
@@ -36,16 +41,22 @@ def action_readiness(risk: Column, confidence: Column, completeness: Column) ->
     return F.when((risk >= 7) | (completeness < 0.375), "Stop").when((risk < 4) & (confidence >= 0.65) & (completeness >= 0.625), "Go").otherwise("Review")
 
 
+def review_status(confidence: Column, threshold: float = 0.8) -> Column:
+    """needs_review below the threshold."""
+    return F.when(confidence < threshold, "needs_review").otherwise("completed")
+
+
 def resolve_context(contexts: Column) -> Column:
     return F.coalesce(*[F.when(F.array_contains(contexts, c), F.lit(c)) for c in catalog.CONTEXT_PRIORITY], F.lit("want_understand"))
 
 
-def verdict_label(contexts: Column, readiness: Column) -> Column:
+def verdict(contexts: Column, readiness: Column, wording: dict = catalog.VERDICTS) -> Column:
+    """Struct (label, headline) for the strongest context; an unknown readiness reads as Review."""
     chip, out = resolve_context(contexts), None
-    for c, labels in catalog.VERDICT_LABEL.items():
-        for r, label in labels.items():
-            hit = (chip == c) & (readiness == r)
-            out = F.when(hit, label) if out is None else out.when(hit, label)
+    for c, by_readiness in wording.items():
+        pair = {r: F.struct(F.lit(w[0]).alias("label"), F.lit(w[1]).alias("headline")) for r, w in by_readiness.items()}
+        own = F.when(readiness == "Go", pair["Go"]).when(readiness == "Stop", pair["Stop"]).otherwise(pair["Review"])
+        out = F.when(chip == c, own) if out is None else out.when(chip == c, own)
     return out
 
 
@@ -60,6 +71,12 @@ def bump_severity(severity: Column, category: Column, group: Column, boosts: dic
     return F.element_at(F.array(*map(F.lit, catalog.SEVERITIES)), F.least(F.lit(4), level + F.coalesce(up, F.lit(False)).cast("int")).cast("int"))
 
 
+def weighted_severity(doc_type: Column, industry: Column) -> Column:
+    """The severity after the boosts of the document's type, then of its industry."""
+    once = bump_severity(F.col("severity"), F.col("category"), doc_type, catalog.DOC_TYPE_BOOSTS)
+    return bump_severity(once, F.col("category"), industry, catalog.INDUSTRY_BOOSTS)
+
+
 def context_weight(category: Column, contexts: Column) -> Column:
     """Sum over the contexts (a repeated one counts twice), at most 3; 1 where none weighs the category."""
     total = F.aggregate(
@@ -83,32 +100,124 @@ def top_by_domain(ordered: DataFrame, per_domain: int = 2) -> DataFrame:
     return ordered.withColumn("domain", domain).filter("domain is not null").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_domain)
 
 
+def top_risks(scores: DataFrame, k: int = 3) -> DataFrame:
+    """The k highest scores of each document, ties by name."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("irp"), "category")
+    return scores.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
+
+
+FINDING = (
+    "array<struct<category:string,severity:string,confidence:double,excerpt:string,explanation:string,jurisdictions:array<string>,"
+    "evidence:struct<line_start:int,line_end:int,legal_basis:array<string>>,impact:int,likelihood:int,safeguard_score:int,irp_score:double>>"
+)
+
+
+def parse_model_findings(answers: DataFrame) -> DataFrame:
+    """Findings of answers(doc_id, body): body is JSON with `findings`, `summary` and `overall_confidence`.
+
+    One row per well-formed finding, in order; the others are skipped: unknown severity, a number out of its range or
+    a missing field. Without a score the impact, likelihood and safeguard give it.
+    """
+    body = F.from_json("body", f"findings {FINDING}")
+    each = answers.select("doc_id", F.posexplode(body["findings"]).alias("ord", "f")).select("doc_id", "ord", "f.*")
+    impact, likelihood, safeguard = F.coalesce("impact", F.lit(2)), F.coalesce("likelihood", F.lit(3)), F.coalesce("safeguard_score", F.lit(0))
+    fine = (
+        F.col("severity").isin(catalog.SEVERITIES) & F.col("confidence").between(0, 1) & impact.between(1, 5) & likelihood.between(1, 5) & safeguard.between(0, 5)
+        & F.coalesce(F.col("irp_score").between(0, 1), F.lit(True)) & F.col("category").isNotNull() & F.col("excerpt").isNotNull() & (F.col("evidence.line_start") >= 1) & (F.col("evidence.line_end") >= 1)
+    )
+    none = F.array().cast("array<string>")
+    return each.filter(fine).select(
+        "doc_id", "ord", "category", "severity", "confidence", "excerpt", F.coalesce("explanation", F.lit("")).alias("explanation"), F.coalesce("jurisdictions", none).alias("jurisdictions"),
+        F.coalesce("evidence.legal_basis", none).alias("legal_basis"), F.col("evidence.line_start").alias("line_start"), F.col("evidence.line_end").alias("line_end"), (F.col("confidence") < 0.6).alias("needs_review"),
+        impact.alias("impact"), likelihood.alias("likelihood"), safeguard.alias("safeguard_score"), F.coalesce("irp_score", irp(impact, likelihood, safeguard)).alias("irp_score"),
+    )
+
+
+def model_finding_filter(model: DataFrame, codes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept findings, (doc_id, dropped)): what has no legal basis goes and counts, what has no jurisdiction or none of `codes` goes."""
+    based = F.coalesce(F.size("legal_basis"), F.lit(0)) > 0
+    claims = F.coalesce(F.size("jurisdictions"), F.lit(0)) > 0
+    wanted = F.arrays_overlap("jurisdictions", F.array(*map(F.lit, codes))) if codes else F.lit(True)
+    return model.filter(based & claims & wanted), model.filter(~based).groupBy("doc_id").agg(F.count("*").alias("dropped"))
+
+
 def merge_findings(rules: DataFrame, model: DataFrame) -> DataFrame:
-    """Rule and model findings of a document by category and the excerpt's first 120 characters."""
+    """Rule and model findings of a document by category and the excerpt's first 120 characters.
+
+    Of rule findings with one key the first stays, of model findings the last, at the first one's place. What both
+    have keeps the rule's fields with a mixed confidence and the better safeguard. ord counts rules first.
+    """
     keys = [F.lower("category").alias("k1"), F.lower(F.substring(F.trim("excerpt"), 1, 120)).alias("k2")]
-    first = Window.partitionBy("doc_id", "k1", "k2").orderBy("ord")
-    last = Window.partitionBy("doc_id", "k1", "k2").orderBy(F.desc("ord"))
-    r = rules.select("*", *keys).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n").alias("r")
-    m = model.select("*", *keys).withColumn("n", F.row_number().over(last)).withColumn("ord", F.min("ord").over(Window.partitionBy("doc_id", "k1", "k2"))).filter("n = 1").drop("n").alias("m")
+    key = Window.partitionBy("doc_id", "k1", "k2")
+    r = rules.select("*", *keys).withColumn("n", F.row_number().over(key.orderBy("ord"))).filter("n = 1").drop("n").alias("r")
+    m = model.select("*", *keys).withColumn("n", F.row_number().over(key.orderBy(F.desc("ord")))).withColumn("ord", F.min("ord").over(key)).filter("n = 1").drop("n").alias("m")
     both = r.join(m, ["doc_id", "k1", "k2"], "full")
     confidence = F.when(F.col("r.confidence").isNull(), F.col("m.confidence")).when(F.col("m.confidence").isNull(), F.col("r.confidence")).otherwise(0.6 * F.col("r.confidence") + 0.4 * F.col("m.confidence"))
     safeguard = F.greatest("r.safeguard_score", "m.safeguard_score")
-    impact, likelihood = F.coalesce("r.impact", "m.impact"), F.coalesce("r.likelihood", "m.likelihood")
+    matched = F.col("r.ord").isNotNull() & F.col("m.ord").isNotNull()
+    score = F.when(matched, irp(F.col("r.impact"), F.col("r.likelihood"), safeguard)).otherwise(F.coalesce("r.irp_score", "m.irp_score"))
+    review = F.when(F.col("m.ord").isNull(), F.lit(False)).otherwise(confidence < 0.6)
+    made = ("doc_id", "confidence", "needs_review", "irp_score", "ord", "safeguard_score")
+    either = [F.coalesce(f"r.{c}", f"m.{c}").alias(c) for c in rules.columns if c in model.columns and c not in made]
     return both.select(
-        "doc_id", F.coalesce("r.category", "m.category").alias("category"), F.coalesce("r.severity", "m.severity").alias("severity"),
-        confidence.alias("confidence"), (confidence < 0.6).alias("needs_review"), irp(impact, likelihood, safeguard).alias("irp_score"),
+        "doc_id", *either, confidence.alias("confidence"), review.alias("needs_review"), safeguard.alias("safeguard_score"), score.alias("irp_score"),
         F.col("r.ord").isNull().alias("from_model"), F.coalesce("r.ord", "m.ord").alias("ord"),
     )
 
 
-def validation(findings: DataFrame) -> DataFrame:
-    """Confidence of a document's findings after penalties. findings carry `covered`: the excerpt is in the text."""
-    bad_lines = (F.col("line_start") < 1) | (F.col("line_end") < 1) | (F.col("line_start") > F.col("line_end"))
-    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-    missing = flag(F.coalesce(F.col("excerpt"), F.lit("")) == "")
-    halluc = missing + flag(bad_lines) + flag(~F.col("covered") & (missing == 0))
-    uncited = flag(F.coalesce(F.size("legal_basis"), F.lit(0)) <= 0)
-    issues = halluc + uncited + flag(F.coalesce(F.size("jurisdictions"), F.lit(0)) <= 0)
-    s = findings.groupBy("doc_id").agg(F.avg("confidence").alias("mean"), F.sum(issues).alias("issues"), F.sum(uncited).alias("uncited"), F.sum(halluc).alias("flags"), F.avg(flag(F.col("covered"))).alias("coverage"))
-    penalty = 0.03 * F.col("issues") + 0.07 * F.col("uncited") + 0.08 * F.col("flags") + F.when(F.col("coverage") < 0.7, 0.2 * (0.7 - F.col("coverage"))).otherwise(0.0)
-    return s.select("doc_id", (F.col("issues") + (F.col("coverage") < 0.7).cast("int")).alias("n_issues"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mean") - penalty)).alias("validation"))
+def _squash(c) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", ""))
+
+
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a text, ended by any of the usual line ends; a last empty line doesn't count."""
+    return F.when(F.length(text) > 0, F.size(F.split(F.regexp_replace(text, f"({_BREAKS})$", ""), _BREAKS, -1))).otherwise(0)
+
+
+def validation(findings: DataFrame, docs: DataFrame, place: str = "ord") -> DataFrame:
+    """doc_id, n_issues, issues, validation for every document: what confidence its findings leave after penalties.
+
+    findings(doc_id, excerpt, line_start, line_end, jurisdictions, legal_basis, confidence, place); docs(doc_id, text).
+    Issues name the finding's number in the order of `place`. A document without findings has confidence 0 and one issue.
+    """
+    numbered = findings.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy(place)))
+    text = docs.select("doc_id", _squash("text").alias("_text"), line_count(F.col("text")).alias("_lines"))
+    f = numbered.join(text, "doc_id")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    none = flag(F.coalesce("excerpt", F.lit("")) == "")
+    has_text = flag(F.length("_text") > 0)
+    covered = has_text & ~none & flag(F.contains("_text", _squash("excerpt")))
+    problems = [  # (is one, its words, flags a hallucination)
+        (none, "missing excerpt", True),
+        (flag((F.col("line_start") < 1) | (F.col("line_end") < 1) | (F.col("line_start") > F.col("line_end"))), "has invalid line numbers", True),
+        (flag((F.col("_lines") > 0) & ((F.col("line_start") > F.col("_lines")) | (F.col("line_end") > F.col("_lines")))), "line numbers out of range", True),
+        (F.coalesce(F.size("jurisdictions"), F.lit(0)) <= 0, "missing jurisdictions", False),
+        (F.coalesce(F.size("legal_basis"), F.lit(0)) <= 0, "missing legal basis", False),
+        (has_text & ~none & ~covered, "excerpt not found in document", True),
+    ]
+    issues = F.filter(F.array(*[F.when(c, F.format_string(f"finding %d: {w}", "number")) for c, w, _ in problems]), lambda x: x.isNotNull())
+    checked = f.select("doc_id", "number", "confidence", issues.alias("issues"), problems[4][0].cast("int").alias("uncited"), sum((c.cast("int") for c, _, h in problems if h), F.lit(0)).alias("flags"), covered.cast("int").alias("covered"), has_text.alias("has_text"))
+    s = checked.groupBy("doc_id").agg(
+        F.avg("confidence").alias("mean"), F.sum(F.size("issues")).alias("n"), F.sum("uncited").alias("uncited"), F.sum("flags").alias("flags"), F.avg("covered").alias("coverage"), F.any_value("has_text").alias("has_text"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("number", "issues"))), lambda x: x["issues"])).alias("issues"),
+    )
+    low = F.col("has_text") & (F.col("coverage") < 0.7)
+    left = F.col("mean") - (0.03 * F.col("n") + 0.07 * F.col("uncited") + 0.08 * F.col("flags") + F.when(low, 0.2 * (0.7 - F.col("coverage"))).otherwise(0.0))
+    s = s.select("doc_id", (F.col("n") + low.cast("int")).alias("n_issues"), F.when(low, F.array_append("issues", F.format_string("low coverage of citations (%.2f)", "coverage"))).otherwise(F.col("issues")).alias("issues"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)).alias("validation"))
+    return docs.select("doc_id").join(s, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_issues", F.lit(1)).cast("long").alias("n_issues"), F.coalesce("issues", F.array(F.lit("no findings"))).alias("issues"), F.coalesce("validation", F.lit(0.0)).alias("validation")
+    )
+
+
+def document_confidence(validation: Column, overall: Column, quick: bool, has_summary: Column, n_model: Column, dropped: Column) -> Column:
+    """Mean of what validation left and of the model's own confidence (if any), less for a quick scan, a missing summary or model, and dropped findings."""
+    mean = F.when(overall.isNull(), validation).otherwise((validation + F.greatest(F.lit(0.0), F.least(F.lit(1.0), overall))) / 2)
+    if quick:
+        less = mean * 0.85
+    else:
+        less = mean * F.when(~F.coalesce(has_summary, F.lit(False)), 0.8).when(F.coalesce(n_model, F.lit(0)) == 0, 0.85).otherwise(1.0)
+        less = less * F.when(F.coalesce(dropped, F.lit(0)) > 0, F.greatest(F.lit(0.5), 1 - 0.1 * dropped)).otherwise(1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), less))
