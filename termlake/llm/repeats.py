@@ -41,7 +41,7 @@ from .suffix_array import common_prefixes, suffix_array
 GRAM = 32
 _STEP, _STEP2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SHARD_BYTES = 1 << 18
-PART_BYTES = 4 << 20
+PART_BYTES = 3 << 20
 
 
 class Roller:
@@ -159,8 +159,9 @@ def suspects(docs: DataFrame, length: int, buckets: int, hot: int, block: int) -
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, "doc_id long, hash long, hot boolean")
 
 
-_SNIPPETS = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("more", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_SNIPPETS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("more", pa.binary())])
+#: Kinds of packed rows: snippets, hot windows one by one, spans that a task has told already.
+_COLD, _HOT, _TOLD = 0, 1, 2
 
 
 def _runs(docs: np.ndarray, at: np.ndarray, length: int):
@@ -215,7 +216,7 @@ def snippets(docs: DataFrame, length: int, buckets: int, block: int) -> DataFram
             size = n + (length - 1)
             begin = np.cumsum(size) - size
             rows = [
-                (k, False, h[i].tobytes(), doc[i].tobytes(), start[i].tobytes(), n[i].astype(np.int32).tobytes(), _take(text, begin[i], size[i]).tobytes())
+                (k, _COLD, h[i].tobytes(), doc[i].tobytes(), start[i].tobytes(), n[i].astype(np.int32).tobytes(), _take(text, begin[i], size[i]).tobytes())
                 for k, i in _by_bucket(h, buckets)
             ]
             if windows:
@@ -229,13 +230,13 @@ def snippets(docs: DataFrame, length: int, buckets: int, block: int) -> DataFram
                 gone = np.lexsort((start[again], doc[again]))
                 d1, s1, e1 = _runs(doc[again][gone], start[again][gone], length)
                 if len(d1):
-                    rows.append((-1, True, b"", d1.tobytes(), s1.tobytes(), e1.tobytes(), b""))
+                    rows.append((int(d1[0] + s1[0]) % buckets, _TOLD, b"", d1.tobytes(), s1.tobytes(), e1.tobytes(), b""))
                 h, h2, doc, start = h[first], h2[first], doc[first], start[first]
-                rows += [(k, True, h[i].tobytes(), doc[i].tobytes(), start[i].tobytes(), b"", h2[i].tobytes()) for k, i in _by_bucket(h, buckets)]
+                rows += [(k, _HOT, h[i].tobytes(), doc[i].tobytes(), start[i].tobytes(), b"", h2[i].tobytes()) for k, i in _by_bucket(h, buckets)]
             if rows:
                 yield _rows(rows, _SNIPPETS)
 
-    return docs.mapInArrow(cut, "bucket int, hot boolean, keys binary, docs binary, starts binary, sizes binary, more binary")
+    return docs.mapInArrow(cut, "bucket int, kind int, keys binary, docs binary, starts binary, sizes binary, more binary")
 
 
 def _hot_spans(rows: pd.DataFrame, length: int):
@@ -338,22 +339,18 @@ def repeated_spans(packed: DataFrame, length: int, buckets: int) -> DataFrame:
     """doc_id, start, end: spans of removed bytes, which may touch or overlap."""
 
     def find(key, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        done = frame[frame["bucket"] < 0]
-        for d, s, e in zip(done["docs"], done["starts"], done["sizes"], strict=True):
-            out.append(tuple(np.frombuffer(x, np.int64) for x in (d, s, e)))
-        rest = frame[frame["bucket"] >= 0]
-        if len(hot := rest[rest["hot"]]):
-            out.append(_hot_spans(hot, length))
-        if len(cold := rest[~rest["hot"]]):
-            out += _shard_spans(cold, length)
+        of = {k: frame[frame["kind"] == k] for k in (_COLD, _HOT, _TOLD)}
+        out = [tuple(np.frombuffer(x, np.int64) for x in t) for t in zip(of[_TOLD]["docs"], of[_TOLD]["starts"], of[_TOLD]["sizes"], strict=True)]
+        if len(of[_HOT]):
+            out.append(_hot_spans(of[_HOT], length))
+        if len(of[_COLD]):
+            out += _shard_spans(of[_COLD], length)
         return pd.DataFrame({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("doc_id", "start", "end"))})
 
-    spread = packed.withColumn("deal", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("docs", "starts")))
-    return spread.repartition(buckets, "deal").groupBy("deal").applyInPandas(find, "doc_id long, start long, end long")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(find, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 3 << 20, bucket: int = 24 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 4000, block: int = 3 << 20, bucket: int = 10 << 20, as_text: bool = False) -> DataFrame:
     """doc_id, n_removed, n_spans, kept of the documents that lose bytes; the others aren't listed.
 
     kept holds the remaining bytes, or with `as_text` the text they spell, without characters that lost a part.
