@@ -435,7 +435,7 @@ def _answer(frame: pd.DataFrame, uri: str, kind, v: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "shard", "codes2", "kinds2", "codes3", "kinds3", "a", "b", "kinds"])
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, discount: float = 0.75, block: int = 8 << 20, shard: int = 16 << 20, order: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, discount: float = 0.75, block: int = 6 << 20, shard: int = 12 << 20, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs. order: 2 or 3."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
