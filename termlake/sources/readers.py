@@ -21,6 +21,10 @@ def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """jurisdiction, law, meta, section, n, text of <folder>/<jurisdiction>/<law>.txt; what precedes the first section is dropped."""
     files = spark.read.text(f"{folder}/*/*.txt", wholetext=True).withColumn("path", F.input_file_name())
@@ -28,7 +32,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     meta = F.map_from_entries(F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^# ([^:\n]+:[^\n]*)$"), F.lit(1)), lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))), F.trim(F.regexp_replace(x, "^[^:]*:", "")))))
     body = F.regexp_replace("value", r"(?m)^# [^:\n]+:[^\n]*\n?", "")
     pieces = F.split(body, r"(?m)^## ", -1)
-    blocks = F.when(F.size(pieces) > 1, F.transform(F.slice(pieces, 2, F.size(pieces) - 1), lambda x: F.struct(F.trim(F.split_part(x, F.lit("\n"), F.lit(1))).alias("section"), F.trim(F.regexp_replace(x, r"^[^\n]*\n?", "")).alias("text")))).otherwise(F.array(F.struct(F.lit("").alias("section"), F.trim(body).alias("text"))))
+    blocks = F.when(F.size(pieces) > 1, F.transform(F.slice(pieces, 2, F.size(pieces) - 1), lambda x: F.struct(F.trim(F.split_part(x, F.lit("\n"), F.lit(1))).alias("section"), _strip(F.regexp_replace(x, r"^[^\n]*\n?", "")).alias("text")))).otherwise(F.array(F.struct(F.lit("").alias("section"), _strip(body).alias("text"))))
     return files.select(F.element_at(part, -2).alias("jurisdiction"), F.regexp_replace(F.element_at(part, -1), r"\.txt$", "").alias("law"), meta.alias("meta"), F.posexplode(blocks).alias("n", "b")).select("jurisdiction", "law", "meta", "b.section", "n", "b.text")
 
 
