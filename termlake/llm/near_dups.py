@@ -4,12 +4,16 @@
    hash universe scatters the set, a second one is shifted circularly by k to give signature
    coordinate k: sig[k] = min over the set of pi(sigma(x) + k mod 2^32).
 2. Texts with equal sets are one class, led by its smallest doc_id (a partial aggregate, so a
-   hot class costs one row per task). Only leaders go on.
+   hot class costs one row per task). Rows learn their leader by a join on the set's digest; digests
+   of over a 100,000th of all rows, of which there are 100,000 at most, are broadcast instead, so that
+   no task gets all copies of a text. Only leaders go on.
 3. `bands` bands of `rows` coordinates make buckets. With 20 x 5 a pair at similarity 0.85 is
    missed with probability 8e-6. Buckets with the same members are one bucket.
-4. A bucket's texts are dealt, in blocks of at most `block` texts or `block_shingles` shingles,
-   to tasks that each hold two blocks; the task compares full sets and returns a spanning forest
-   of the confirmed links, never all pairs.
+4. A bucket's texts go to one task, which compares full sets and returns a spanning forest of the
+   confirmed links, never all pairs. A bucket of more than `block` texts or `block_shingles` shingles
+   is first held, part by part, against its smallest text id: what links with it is one component
+   already. Only the others, which a group of near copies has few of, are then compared in pairs of
+   parts with each other and with those that did link; two parts that did are not.
 5. Large-star/small-star passes join the links to components.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing; a text
@@ -162,28 +166,52 @@ def confirmed(sets: list[np.ndarray], percent: int) -> _Forest:
     return forest
 
 
+def _sets(frame: pd.DataFrame, width: int) -> tuple[list[int], list[np.ndarray]]:
+    """Ids in ascending order, each once, and their sets."""
+    texts: dict[int, str] = {}
+    for i, t in zip(frame["doc_id"], frame["text"], strict=True):
+        texts.setdefault(int(i), t)
+    hasher, ids = WordHasher(SPACE_WORDS), sorted(texts)
+    sets: list[np.ndarray] = []
+    data, off = utf8(pa.array([texts[i] for i in ids], pa.large_string()))
+    for a, b in chunks(off):
+        sets += shingle_sets(data, off[a : b + 1], hasher, width)
+    return ids, sets
+
+
 def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Spanning links (src, dst) of the confirmed links within each pair of blocks."""
 
-    def compare(key, frames):
-        texts: dict[int, str] = {}
-        for f in frames:
-            for i, t in zip(f["doc_id"], f["text"], strict=True):
-                texts.setdefault(int(i), t)
-        hasher, ids = WordHasher(SPACE_WORDS), sorted(texts)
-        sets: list[np.ndarray] = []
-        data, off = utf8(pa.array([texts[i] for i in ids], pa.large_string()))
-        for a, b in chunks(off):
-            sets += shingle_sets(data, off[a : b + 1], hasher, width)
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, sets = _sets(frame, width)
         forest = confirmed(sets, percent)
-        pairs = [(ids[r], ids[i]) for i in range(len(ids)) if (r := forest.root(i)) != i]
-        yield pd.DataFrame(pairs, columns=["src", "dst"], dtype="int64")
+        return pd.DataFrame([(ids[r], ids[i]) for i in range(len(ids)) if (r := forest.root(i)) != i], columns=["src", "dst"], dtype="int64")
 
     held = members.join(docs, "doc_id").select("key", "i", "j", "doc_id", "text")
-    return held.groupBy("key", "i", "j").applyInPandas(lambda key, frame: next(compare(key, [frame])), "src long, dst long")
+    return held.groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
+
+
+def _stars(docs: DataFrame, big: DataFrame, banded: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, src, dst: links of the texts of big(key, least, parts) buckets with the bucket's text of the smallest id."""
 
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        least = int(frame["least"].iloc[0])
+        ids, sets = _sets(frame, width)
+        own, found = sets[ids.index(least)], []
+        for i, s in zip(ids, sets, strict=True):
+            if i != least and 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
+                common = len(np.intersect1d(s, own, assume_unique=True))
+                if 100 * common >= percent * (len(s) + len(own) - common):
+                    found.append((frame["key"].iloc[0], least, i))
+        return pd.DataFrame(found, columns=["key", "src", "dst"], dtype="int64")
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    dealt = banded.join(big, "key").select("key", "least", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts")).cast("int").alias("part"))
+    first = big.select("key", "least", F.col("least").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = dealt.unionByName(first).distinct().join(docs, "doc_id")
+    return held.groupBy("key", "part").applyInPandas(compare, "key long, src long, dst long")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of an edge; component_id is the smallest id reachable.
 
     Large-star and small-star passes in turn; each is a partial aggregate for the smallest
@@ -192,7 +220,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = materialize(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
-    for _ in range(rounds):
+    while True:  # passes shorten every path, so this ends; a chain of n takes about log n of them
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -213,10 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = materialize(sketches(slim, width, bands, rows), "sketches")
-    leaders = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("leader"))
-    led = sketch.select("doc_id", "n_shingles", "d1", "d2").join(leaders, ["d1", "d2"], "left").select("doc_id", "n_shingles", "leader")
-    led = materialize(led, "leaders")
-    heads = led.filter("doc_id = leader").select("doc_id").distinct()
+    leaders = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n"))
+    leaders = materialize(leaders, "leaders")
+    heads = leaders.select(F.col("leader").alias("doc_id")).distinct()
     banded = (
         sketch.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         .select("doc_id", "n_shingles", F.explode("keys").alias("key"))
@@ -228,17 +255,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         .filter("n > 1")
         .groupBy("n", "least", "who").agg(F.min("key").alias("key"), F.max("total").alias("total"))
     )
-    parts = F.ceil(F.greatest(F.col("n") / (block / 2), F.col("total") / (block_shingles / 2)) - 1e-9)
-    buckets = buckets.select("key", F.when((F.col("n") <= block) & (F.col("total") <= block_shingles), 1).otherwise(parts).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")
-    members = (
-        banded.join(buckets, "key")
-        .select("key", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("key", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    links = _links(slim, members, width, percent)
+    whole = (F.col("n") <= block) & (F.col("total") <= block_shingles)
+    n_parts = lambda n, total: F.ceil(F.greatest(n / (block / 2), total / (block_shingles / 2)) - 1e-9).cast("int")
+    buckets = materialize(buckets.select("key", "least", F.when(whole, 1).otherwise(n_parts(F.col("n"), F.col("total"))).alias("parts")), "buckets")
+    big = buckets.filter("parts > 1")
+    stars = materialize(_stars(slim, big, banded, width, percent), "stars")
+    # parts of a big bucket: first those of texts that link with its smallest id, then those of the others
+    inside = banded.join(big, "key").join(stars.select("key", F.col("dst").alias("doc_id"), F.lit(True).alias("star")), ["key", "doc_id"], "left")
+    inside = inside.withColumn("star", F.coalesce("star", F.col("doc_id") == F.col("least")))
+    of = lambda star: F.when(F.col("star") == star, F.col("n_shingles"))
+    counts = inside.groupBy("key").agg(*[f(of(s)).alias(f"{k}_{name}") for s, name in ((True, "star"), (False, "rest")) for k, f in (("n", F.count), ("total", F.sum))])
+    ps, pr = n_parts(F.col("n_star"), F.col("total_star")), F.coalesce(n_parts(F.col("n_rest"), F.col("total_rest")), F.lit(0))
+    dealt = inside.join(counts.filter("n_rest > 0").select("key", ps.alias("ps"), pr.alias("pr")), "key")
+    h = F.xxhash64("doc_id", F.lit(1))
+    own = F.when(F.col("star"), F.pmod(h, F.col("ps"))).otherwise(F.col("ps") + F.pmod(h, F.col("pr"))).cast("int")
+    dealt = dealt.select("key", "doc_id", own.alias("own"), F.explode(F.sequence(F.when(F.col("star"), F.col("ps")).otherwise(0), F.col("ps") + F.col("pr") - 1)).alias("other"))
+    pairs = dealt.select("key", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = banded.join(buckets.filter("parts = 1"), "key").select("key", "doc_id", F.lit(0).alias("i"), F.lit(0).alias("j")).unionByName(pairs)
+    links = _links(slim, members, width, percent).unionByName(stars.select("src", "dst"))
     comps = components(links).withColumnRenamed("doc_id", "leader")
-    component = F.coalesce("component_id", "leader", "doc_id")
-    return led.join(comps, "leader", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    classes = materialize(leaders.join(comps, "leader", "left").select("d1", "d2", "n", F.coalesce("component_id", "leader").alias("component")), "classes")
+    many = F.col("n") > max(1000, sketch.count() // 100_000)
+    known = sketch.select("doc_id", "n_shingles", "d1", "d2")
+    lone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)  # these have no class
+    hot = known.filter(~lone).join(F.broadcast(classes.filter(many).drop("n")), ["d1", "d2"], "left")  # 100,000 rows at most
+    cold = hot.filter("component is null").drop("component").join(classes.filter(~many).drop("n"), ["d1", "d2"], "left")
+    every = hot.filter("component is not null").unionByName(cold).unionByName(known.filter(lone).withColumn("component", F.col("doc_id")))
+    return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
