@@ -6,10 +6,13 @@ or is mostly links. Sums of lengths over windows of `window` lines form the dist
 starts where it surges above `surge` and ends where it dives to 0; everything between is kept.
 Where <article> and <main> hold over half of the page's text outside such places, they weigh in:
 lengths inside count `weight` times, so that short paragraphs at its edges stay, links there are
-text, and windows end at its edges, so that lines outside have to surge by themselves.
+text, and windows end at its edges, so that lines outside have to surge by themselves. Names of
+classes are a hint only: where those that aren't about comments would take the length from over
+half of the text that is left without them, they are not heeded.
 
 Defined cases: null, empty or text-less html gives ''; repeated rows repeat; unclosed and cut-off
-tags are tolerated; other columns of the table are ignored.
+tags are tolerated, and a drawing, frame, template or list of options that is never closed takes
+nothing with it; other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .common import columns
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
@@ -38,27 +41,37 @@ _NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)
 _SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Of the words above, those that mark reader comments.
+_COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+#: Elements whose content isn't text of the page.
+_EMBEDDED = frozenset("noscript template iframe svg select object".split())
 _SPACE = re.compile(r"\s+")
+_NO, _BY_NAME, _SURE = 0, 1, 2
 
 
-def _aside(tag: str, attrs: str, in_article: bool) -> bool:
+def _aside(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is surely beside the main flow, may be by its name, or isn't."""
     if tag in _ASIDE or (tag == "header" and not in_article) or re.search(r"\bhidden\b(?!\s*=\s*[\"']?until)", attrs):
-        return True
+        return _SURE
     if tag in ("body", "html", "article", "main") and "comment" not in attrs:
-        return False
+        return _NO
+    found = _NO
     for m in _NAMES.finditer(attrs):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if not _SIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
-
-
-def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, outside the main flow, inside an article, characters in links) of each block."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, article
+        words = re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())
+        if not _COMMENT_WORDS.isdisjoint(words):
+            return _SURE
+        if not _SIDE_WORDS.isdisjoint(words):
+            found = _BY_NAME
+    return found
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, beside the main flow or not, inside an article, characters in links) of each block."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, aside, article
     parts: list[str] = []
-    linked, in_link, aside, article, at = 0, False, False, False, 0
+    linked, in_link, aside, article, at = 0, False, _NO, False, 0
+    unclosed: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -78,6 +91,8 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
                 linked += len(raw)
 
     for m in _TOKEN.finditer(html):
+        if m.start() < at:  # inside an element that was passed over
+            continue
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
@@ -87,6 +102,14 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
                 text(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if tag in _EMBEDDED:
+            if not m["close"] and not m["attrs"].endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
+            continue
         if tag in ("br", "td", "th"):
             parts.append(" ")
         if tag == "a":
@@ -109,7 +132,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
                 if side and tag not in _BLOCK:
                     flush()
                 stack.append((tag, side, tag in ("article", "main")))
-            aside = any(s[1] for s in stack)
+            aside = max((s[1] for s in stack), default=_NO)
             article = any(s[2] for s in stack)
     text(html[at:])
     flush()
@@ -118,6 +141,9 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
 
 def main_text(html: str, window: int = 3, surge: int = 86, weight: int = 4) -> str:
     lines = lines_of(html)
+    named = sum(len(t) for t, side, _, _ in lines if side == _BY_NAME)
+    heeded = _BY_NAME if 2 * named <= sum(len(t) for t, side, _, _ in lines if side < _SURE) else _SURE
+    lines = [(t, side >= heeded, article, links) for t, side, article, links in lines]
     marked = sum(len(t) for t, side, article, _ in lines if article and not side)
     holds = 2 * marked > sum(len(t) for t, side, _, _ in lines if not side)
     zone = [holds and article for _, _, article, _ in lines]
