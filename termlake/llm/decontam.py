@@ -10,8 +10,9 @@ phrase matches. With `slack` > 0 a window also matches where its terms stand in
 most `slack` foreign words between neighbours (proximity): all postings in reach are followed, from
 those of the rarest term outwards.
 
-The benchmark is the stated query set: its windows are sent to the tasks in blocks of at most
-`block_windows`, however many there are.
+The benchmark is the stated query set: its distinct windows are written in blocks of about
+`block_windows` to the shared folder, and a task that holds a segment reads one block after the
+other; neither the driver nor a task ever holds all of them, and the index is read once.
 Defined cases: null text has no words; an item without words has no window; null doc_id stays
 null; repeated rows give repeated results; an empty benchmark leaves every document clean.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PLAIN_WORDS, WordHasher, chunks, columns, materialize, utf8
+from .token_files import file_system
 
 _INDEX = "segment long, doc_ids binary, null_ids binary, firsts binary, terms binary, term_first binary, positions binary"
 
@@ -174,77 +176,67 @@ def _merge(starts, ends):
     return s[new], e[last]
 
 
-def _search(index: DataFrame, block: list[tuple[list[str], bytes]], slack: int) -> DataFrame:
-    lengths = np.array([len(w) // 8 for _, w in block], np.int64)
+def _block(uri: str) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Lengths, words (a row of hashes per window, padded with 0) and items of a block of windows."""
+    import pyarrow.parquet as pq
+
+    fs, path = file_system(uri)
+    t = pq.read_table(path, filesystem=fs, columns=["words", "items"])
+    block = [np.frombuffer(w, np.uint64) for w in t["words"].to_pylist()]
+    lengths = np.array([len(w) for w in block], np.int64)
     words = np.zeros((len(block), max(lengths, default=1)), np.uint64)
-    for i, (_, w) in enumerate(block):
-        words[i, : lengths[i]] = np.frombuffer(w, np.uint64)
-    items = [sorted(x) for x, _ in block]
+    for i, w in enumerate(block):
+        words[i, : len(w)] = w
+    return lengths, words, [sorted(x) for x in t["items"].to_pylist()]
+
 
+def _search(index: DataFrame, blocks: list[str], slack: int) -> DataFrame:
     def search(batches):
+        kept = _block(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
-                if slack:
-                    w, s, e = seg.near(lengths, words, slack)
-                else:
-                    w, s = seg.phrases(lengths, words)
-                    e = s + lengths[w]
+                hits: list[set] = [set() for _ in seg.ids]
+                starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for uri in blocks:
+                    lengths, words, items = kept or _block(uri)
+                    if slack:
+                        w, s, e = seg.near(lengths, words, slack)
+                    else:
+                        w, s = seg.phrases(lengths, words)
+                        e = s + lengths[w]
+                    starts.append(s)
+                    ends.append(e)
+                    doc = np.searchsorted(seg.firsts, s, side="right") - 1
+                    for i, k in np.unique(np.stack([doc, w], axis=1), axis=0).tolist() if len(w) else ():
+                        hits[i].update(items[k])
+                s, e = np.concatenate(starts), np.concatenate(ends)
                 doc = np.searchsorted(seg.firsts, s, side="right") - 1
                 order = np.argsort(doc, kind="stable")
-                w, s, e, doc = w[order], s[order], e[order], doc[order]
-                cut = np.searchsorted(doc, np.arange(len(seg.ids) + 1))
-                spans, hits = [], []
+                s, e = s[order], e[order]
+                cut = np.searchsorted(doc[order], np.arange(len(seg.ids) + 1))
+                spans, n_hit = [], []
                 for i in range(len(seg.ids)):
                     a, b = cut[i], cut[i + 1]
-                    if a == b:
-                        spans.append([])
-                        hits.append([])
-                        continue
-                    s1, e1 = _merge(s[a:b] - seg.firsts[i], e[a:b] - seg.firsts[i])
+                    s1, e1 = _merge(s[a:b] - seg.firsts[i], e[a:b] - seg.firsts[i]) if a < b else (s[:0], e[:0])
                     spans.append([{"a": int(x), "b": int(y)} for x, y in zip(s1, e1, strict=True)])
-                    hits.append(sorted({item for k in set(w[a:b].tolist()) for item in items[k]}))
+                    n_hit.append(int((e1 - s1).sum()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{row['segment']}:{i}" for i in range(len(seg.ids))], pa.string()),
-                        pa.array(seg.ids, pa.int64(), mask=seg.nulls),
-                        pa.array(np.diff(seg.firsts), pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                        pa.array(hits, pa.list_(pa.string())),
+                        pa.array(seg.ids, pa.int64(), mask=seg.nulls), pa.array(np.diff(seg.firsts), pa.int64()), pa.array(n_hit, pa.int64()),
+                        pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([sorted(h) for h in hits], pa.list_(pa.string())),
                     ],
-                    ["row_key", "doc_id", "n_words", "spans", "items"],
+                    ["doc_id", "n_words", "n_hit", "spans", "items"],
                 )
 
-    return index.mapInArrow(search, "row_key string, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
+    return index.mapInArrow(search, "doc_id long, n_words long, n_hit long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20, slack: int = 0, block_windows: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_hit, spans (word positions), items (sorted item ids), contaminated."""
     index = materialize(build_index(docs), "postings")
-    grouped = windows_of(benchmark, width).groupBy("words").agg(F.collect_set("item_id").alias("items"))
-    windows = materialize(grouped.withColumn("block", F.lit(0)), "windows")
-    n_blocks = -(-windows.count() // block_windows)
-    blocks = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, n_blocks))))
-    found = None
-    for k in range(max(1, n_blocks)):
-        rows = [(r["items"], bytes(r["words"])) for r in blocks.filter(F.col("block") == k).select("items", "words").collect()]
-        part = _search(index, rows, slack)
-        found = part if found is None else found.unionByName(part)
-    if n_blocks > 1:
-        found = found.groupBy("row_key", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        # union of the blocks' spans: walk them in order, keeping the covered count's end
-        joined = F.aggregate(
-            F.array_sort("spans"),
-            F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-            lambda acc, x: F.struct(
-                F.greatest(acc["end"], x["b"]).alias("end"),
-                (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).cast("long").alias("n"),
-            ),
-        )
-        found = found.withColumn("n_hit", joined["n"])
-    else:
-        found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"]))
-    return found.select(
-        "doc_id", "n_words", "n_hit", "spans", "items",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))).alias("contaminated"),
-    )
+    windows = materialize(windows_of(benchmark, width).groupBy("words").agg(F.collect_set("item_id").alias("items")), "windows")
+    n = max(1, -(-windows.count() // block_windows))
+    blocks = materialize(windows.repartition(n, "words"), "blocks") if n > 1 else materialize(windows.coalesce(1), "blocks")
+    found = _search(index, sorted(blocks.inputFiles()), slack)
+    return found.select("doc_id", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))).alias("contaminated"))
