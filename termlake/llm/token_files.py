@@ -166,8 +166,11 @@ class Reader:
             yield (None if i == _NULL_ID else i), self.raw(k)
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int | None, folder: str | None = None, block: int = 8 << 20) -> DataFrame:
-    """Encode docs(doc_id, text) and write the files; returns their manifest (shard, file, n_docs, n_tokens)."""
+def write_token_files(docs: DataFrame, path: str, end_id: int | None, folder: str | None = None, block: int = 8 << 20, file_bytes: int = 256 << 20) -> DataFrame:
+    """Encode docs(doc_id, text) and write the files; returns their manifest (shard, part, file, n_docs, n_tokens).
+
+    A shard begins another part once the ids of a file take `file_bytes`; shards and parts follow each other in the order of doc_id.
+    """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
 
@@ -175,8 +178,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None, folder: st
         from pyspark import TaskContext
 
         encode, shard = word_encoder(path), TaskContext.get().partitionId()
-        uri, writer, n_tokens = f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex[:8]}.zst", None, 0
+        run, part, writer, uri, n_tokens = uuid.uuid4().hex[:8], 0, None, "", 0
         end = [] if end_id is None else [end_id]
+
+        def entry():
+            writer.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "file": [uri], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+
         for batch in batches:
             ids, texts = (c.to_pylist() for c in columns(batch, "doc_id", "text"))
             a = 0
@@ -187,26 +195,29 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None, folder: st
                     b += 1
                 for i, x in zip(ids[a:b], encode([t or "" for t in texts[a:b]]), strict=True):
                     if writer is None:
+                        uri, n_tokens = f"{folder}/tokens-{shard:06d}-{part:05d}-{run}.zst", 0
                         fs, p = file_system(uri)
                         fs.create_dir(p.rpartition("/")[0], recursive=True)
                         writer = Writer(fs.open_output_stream(p, compression=None))
                     x = np.append(x, end).astype("<u4")
                     n_tokens += len(x)
                     writer.add(i, x.tobytes())
+                    if 4 * n_tokens >= file_bytes:
+                        yield entry()
+                        part, writer = part + 1, None
                 a = b
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [uri], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+            yield entry()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long"), "manifest")
+    return materialize(ordered.mapInArrow(write, "shard int, part int, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files themselves."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
     def read(batches):
@@ -219,4 +230,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return based.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(n, "shard", "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
