@@ -291,3 +291,17 @@ def encode(docs: DataFrame, path: str, theta: float = 1.0, shift: float = 10.0,
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids binary, ids_crc32 long, lossless boolean")
+
+
+def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
+    """Adds text, what the ids (little-endian 32-bit) of each row spell; the inverse of encode(). Null ids give null."""
+
+    def run(batches):
+        p = pieces(path, 1.0, 10.0)
+        for batch in batches:
+            texts = [None if x is None else decode(np.frombuffer(x, "<u4").tolist(), p).decode() for x in columns(batch, "ids")[0].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+    from pyspark.sql.types import StringType, StructType
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("text", StringType()))
