@@ -2,7 +2,8 @@
 
 Every stage takes what the one before kept, written and read again in between. All but the last
 return the columns of documents. Rows without a doc_id can't be told apart: they pass stages 2 to
-4 untouched. Rows that repeat a doc_id are one document, of which stage 2 keeps one row.
+4 untouched. Rows that repeat a doc_id are one document, of which stage 2 keeps one row. Null and
+empty texts fail the first stage. Extra columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays."""
     gone = near_dups.near_duplicates(docs, width=5, percent=80, bands=25, rows=5).filter("not kept").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
+    # of rows that repeat a doc_id with another text, the one with the smallest hash of its values stays, on every run
+    mark = F.xxhash64(*docs.columns)
+    least = kept.groupBy("doc_id").agg(F.min(mark).alias("_least"))
+    known = kept.join(least, "doc_id").filter(mark == F.col("_least")).dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
