@@ -120,6 +120,13 @@ class Scorer:
         return ids, member, np.round(sparse, self.digits), np.round(dense, self.digits)
 
 
+def _parts(batches, rows: int = 256):
+    """Smaller batches: the products of a part's words and the queries are held at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -177,7 +184,7 @@ class Ranker:
 
         def find(batches):
             kept: dict = {}
-            for batch in batches:
+            for batch in _parts(batches):
                 ids, member, sparse, dense = scorer(batch)
                 for way, score in (("bm25", sparse), ("dense", dense)):
                     if way not in which:
@@ -207,7 +214,7 @@ class Ranker:
         every = sorted(set().union(*wanted.values()))
 
         def own(batches):
-            for batch in batches:
+            for batch in _parts(batches):
                 ids, _, sparse, dense = scorer(batch)
                 yield _batch([(q, int(ids[k]), float(sparse[k, q]), float(dense[k, q])) for k in np.flatnonzero(np.isin(ids, every)) for q, w in wanted.items() if int(ids[k]) in w], _OWN)
 
@@ -215,18 +222,22 @@ class Ranker:
         for r in self.chunks.mapInArrow(own, "q int, chunk_id long, bm25 double, dense double").collect():
             have.setdefault(r["q"], []).append((r["chunk_id"], r["bm25"], r["dense"]))
 
+        asked = {q: (np.array([c[0] for c in x]), [-np.array([c[1 + way] for c in x]) for way in (0, 1)]) for q, x in have.items()}
+
         def count(batches):
             total = {q: np.zeros((2, len(x)), np.int64) for q, x in have.items()}
-            for batch in batches:
+            for batch in _parts(batches):
                 ids, member, sparse, dense = scorer(batch)
-                for q, x in have.items():
+                for q in have:
                     i = member[:, q]
                     for way, score in enumerate((sparse, dense)):
                         order = np.lexsort((ids[i], -score[i, q]))
                         s, a = -score[i, q][order], ids[i][order]
-                        for k, c in enumerate(x):
-                            lo, hi = np.searchsorted(s, -c[1 + way], side="left"), np.searchsorted(s, -c[1 + way], side="right")
-                            total[q][way, k] += lo + np.searchsorted(a[lo:hi], c[0])
+                        c, want = asked[q][0], asked[q][1][way]
+                        lo, hi = np.searchsorted(s, want, side="left"), np.searchsorted(s, want, side="right")
+                        total[q][way] += lo
+                        for k in np.flatnonzero(hi > lo):  # among equal scores smaller ids come first
+                            total[q][way, k] += np.searchsorted(a[lo[k] : hi[k]], c[k])
             yield _batch([(scorer.ids[q], x[k][0], way, int(total[q][w, k])) for q, x in have.items() for w, way in enumerate(("bm25", "dense")) for k in range(len(x))], _BEFORE)
 
         counted = self.chunks.mapInArrow(count, "query_id long, chunk_id long, way string, before long")

@@ -354,7 +354,7 @@ def _chunks(spark, d):
     v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
     n = v.count()
     i = F.col("doc_id")
-    return views.table(spark, d, "documents").select(i.alias("chunk_id"), "text", views.pick(views.JURISDICTIONS, i).alias("jurisdiction"), (i % n).alias("v")).join(v, "v")
+    return rules.spread(views.table(spark, d, "documents")).select(i.alias("chunk_id"), "text", views.pick(views.JURISDICTIONS, i).alias("jurisdiction"), (i % n).alias("v")).join(v, "v")
 
 
 def _asked(spark, d):
@@ -366,7 +366,7 @@ def _asked(spark, d):
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 4) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, chunk_id) <= 5")
 def r1_bm25(spark, d):
-    chunks = views.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.lit("").alias("jurisdiction"), F.lit(None).cast("array<double>").alias("vector"))
+    chunks = rules.spread(views.table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), "text", F.lit("").alias("jurisdiction"), F.lit(None).cast("array<double>").alias("vector"))
     asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array().cast("array<string>").alias("codes"), F.lit(None).cast("array<double>").alias("vector"))
     return retrieval.Ranker(chunks, asked, digits=4).best(5, ("bm25",)).select("query_id", "chunk_id", "score")
 
