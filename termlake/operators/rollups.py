@@ -86,6 +86,12 @@ def kappa_pooled(confusion_: DataFrame) -> DataFrame:
     return s.select(F.when(n == 0, 0.0).when(expected == 1, 1.0).otherwise(((tp + tn) / n - expected) / (1 - expected)).alias("kappa"))
 
 
+def evaluate(gold: DataFrame, predicted: DataFrame, docs: DataFrame, categories: list[str]) -> DataFrame:
+    """One row: macro precision, recall, F1 and kappa over the categories, and the pooled kappa."""
+    c = confusion(gold, predicted, docs, categories)
+    return macro(scores(c)).crossJoin(kappa_pooled(c).withColumnRenamed("kappa", "pooled_kappa"))  # one row each
+
+
 def multiclass(pairs: DataFrame, labels: tuple = ("R", "Y", "G")) -> DataFrame:
     """category, n, macro_f1, kappa of pairs(category, gold, predicted) over the labels; agreement by chance of 1 counts as 0 in the divisor."""
     m = pairs.groupBy("category").agg(F.count("*").alias("n"), *[F.count_if((F.col("gold") == g) & (F.col("predicted") == p)).cast("double").alias(f"{g}{p}") for g in labels for p in labels])

@@ -33,8 +33,10 @@ def dedup_snapshots(new: DataFrame, store: DataFrame) -> DataFrame:
     return fresh.join(store.select("url", "content_hash"), ["url", "content_hash"], "left_anti")
 
 
-def snapshot_history(snapshots: DataFrame, url: str) -> DataFrame:
-    return snapshots.filter(F.col("url") == url).orderBy(F.desc("captured_at"), F.desc("version"))
+def snapshot_history(snapshots: DataFrame, url: str | None = None) -> DataFrame:
+    """The snapshots of a url, or of every one, with their place: 1 is the newest."""
+    chosen = snapshots if url is None else snapshots.filter(F.col("url") == url)
+    return chosen.withColumn("place", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("captured_at"), F.desc("version"))))
 
 
 TOKEN = r"""\b\w+\b|[.,:;!?"']"""

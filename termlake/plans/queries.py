@@ -270,10 +270,11 @@ def i9_i10_type_industry(spark, d):
     return inference.infer_all(views.policies(spark, d)).select("doc_id", "doc_type", "industry")
 
 
-@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1)) AS path, true AS valid FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1)) AS path, page_id % 7 <> 0 AS valid FROM pages""")
 def i1_url_parts(spark, d):
     u = F.col("url")
-    return views.table(spark, d, "pages").select("page_id", inference.url_host(u).alias("host"), inference.url_path(u).alias("path"), text.valid_url(u).alias("valid"))
+    odd = F.when(F.col("page_id") % 14 == 0, F.regexp_replace(u, "^https?:", "ftp:")).when(F.col("page_id") % 7 == 0, F.regexp_replace(u, "^https?://", "")).otherwise(u)
+    return views.table(spark, d, "pages").select("page_id", inference.url_host(u).alias("host"), inference.url_path(u).alias("path"), text.valid_url(odd).alias("valid"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash, length(text)::BIGINT AS n FROM documents")

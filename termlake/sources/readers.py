@@ -115,3 +115,14 @@ def findings_csv_rows(findings: DataFrame, names: DataFrame, ids: list | None =
         F.col("doc_id").alias("analysis_id"), F.coalesce("name", F.lit("")).alias("document_name"), F.concat_ws("-", "doc_id", "k").alias("finding_id"), "category", "severity", F.format_string("%.2f", "confidence").alias("confidence"),
         F.regexp_replace(F.coalesce("excerpt", F.lit("")), "\n", " ").alias("excerpt"), "line_start", "line_end",
     )
+
+
+def write_rows(rows: DataFrame, path: str, kind: str = "csv", mode: str = "errorifexists") -> None:
+    """Writes an export: csv with a header and quoted line ends, json with a row a line, or parquet; mode "append" adds to a table."""
+    if kind not in ("csv", "json", "parquet"):
+        raise ValueError(f"no writer for {kind}")
+    writer = rows.write.mode(mode)
+    if kind == "csv":
+        writer.option("header", True).option("escape", '"').csv(path)
+    else:
+        writer.format(kind).save(path)

@@ -372,3 +372,15 @@ def test_places_models_and_batches(spark):
     assert [r[0] for r in d.select(reports.location_to_jurisdictions(F.col("c"), F.col("s"))).collect()] == [["US-TX", "US-FED"], ["US-FED"], ["GDPR"], [], []]
     b = spark.createDataFrame([(1, 0, " B "), (1, 1, "A"), (1, 2, "B"), (2, 0, " "), (3, 0, None)], "batch int, idx int, jurisdiction string")
     assert {r["batch"]: r["codes"] for r in reports.batch_jurisdictions(b).collect()} == {1: ["B", "A"], 2: [], 3: []}
+
+
+def test_exports_read_back(spark, tmp_path):
+    d = docs(spark, 'a "quoted", cell', "two").withColumn("name", F.lit("n"))
+    for kind in ("csv", "json", "parquet"):
+        readers.write_rows(d, str(tmp_path / kind), kind)
+        readers.write_rows(d, str(tmp_path / kind), kind, "append")
+        back = spark.read.option("header", True).option("escape", '"').format(kind).load(str(tmp_path / kind))
+        assert sorted(r["text"] for r in back.collect()) == sorted(2 * ['a "quoted", cell', "two"])
+    assert readers.read_documents(spark, str(tmp_path / "parquet")).count() == 4
+    with pytest.raises(ValueError, match="no writer"):
+        readers.write_rows(d, str(tmp_path / "x"), "pdf")
