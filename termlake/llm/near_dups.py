@@ -191,8 +191,11 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
     return held.groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
 
 
-def _stars(docs: DataFrame, big: DataFrame, banded: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, src, dst: links of the texts of big(key, least, parts) buckets with the bucket's text of the smallest id."""
+def _stars(docs: DataFrame, big: DataFrame, banded: DataFrame, width: int, percent: int, few: bool) -> DataFrame:
+    """key, src, dst: links of the texts of big(key, least, parts) buckets with the bucket's text of the smallest id.
+
+    few: the buckets have so few rows that these can be sent to the texts.
+    """
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         least = int(frame["least"].iloc[0])
@@ -207,10 +210,28 @@ def _stars(docs: DataFrame, big: DataFrame, banded: DataFrame, width: int, perce
 
     dealt = banded.join(big, "key").select("key", "least", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts")).cast("int").alias("part"))
     first = big.select("key", "least", F.col("least").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    held = dealt.unionByName(first).distinct().join(docs, "doc_id")
+    held = dealt.unionByName(first).distinct()
+    held = docs.join(F.broadcast(held) if few else held, "doc_id")
     return held.groupBy("key", "part").applyInPandas(compare, "key long, src long, dst long")
 
 
+def _across(inside: DataFrame, stars: DataFrame, n_parts) -> DataFrame:
+    """key, doc_id, i, j: the pairs of parts of big buckets that are still to be compared. inside: the buckets' rows.
+
+    First come the parts of texts that link with the smallest id, then those of the others.
+    """
+    inside = inside.join(stars.select("key", F.col("dst").alias("doc_id"), F.lit(True).alias("star")), ["key", "doc_id"], "left")
+    inside = inside.withColumn("star", F.coalesce("star", F.col("doc_id") == F.col("least")))
+    of = lambda star: F.when(F.col("star") == star, F.col("n_shingles"))
+    counts = inside.groupBy("key").agg(*[f(of(s)).alias(f"{k}_{name}") for s, name in ((True, "star"), (False, "rest")) for k, f in (("n", F.count), ("total", F.sum))])
+    ps, pr = n_parts(F.col("n_star"), F.col("total_star")), n_parts(F.col("n_rest"), F.col("total_rest"))
+    dealt = inside.join(counts.filter("n_rest > 0").select("key", ps.alias("ps"), pr.alias("pr")), "key")
+    h = F.xxhash64("doc_id", F.lit(1))
+    own = F.when(F.col("star"), F.pmod(h, F.col("ps"))).otherwise(F.col("ps") + F.pmod(h, F.col("pr"))).cast("int")
+    dealt = dealt.select("key", "doc_id", own.alias("own"), F.explode(F.sequence(F.when(F.col("star"), F.col("ps")).otherwise(0), F.col("ps") + F.col("pr") - 1)).alias("other"))
+    return dealt.select("key", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of an edge; component_id is the smallest id reachable.
 
@@ -257,22 +278,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     )
     whole = (F.col("n") <= block) & (F.col("total") <= block_shingles)
     n_parts = lambda n, total: F.ceil(F.greatest(n / (block / 2), total / (block_shingles / 2)) - 1e-9).cast("int")
-    buckets = materialize(buckets.select("key", "least", F.when(whole, 1).otherwise(n_parts(F.col("n"), F.col("total"))).alias("parts")), "buckets")
-    big = buckets.filter("parts > 1")
-    stars = materialize(_stars(slim, big, banded, width, percent), "stars")
-    # parts of a big bucket: first those of texts that link with its smallest id, then those of the others
-    inside = banded.join(big, "key").join(stars.select("key", F.col("dst").alias("doc_id"), F.lit(True).alias("star")), ["key", "doc_id"], "left")
-    inside = inside.withColumn("star", F.coalesce("star", F.col("doc_id") == F.col("least")))
-    of = lambda star: F.when(F.col("star") == star, F.col("n_shingles"))
-    counts = inside.groupBy("key").agg(*[f(of(s)).alias(f"{k}_{name}") for s, name in ((True, "star"), (False, "rest")) for k, f in (("n", F.count), ("total", F.sum))])
-    ps, pr = n_parts(F.col("n_star"), F.col("total_star")), F.coalesce(n_parts(F.col("n_rest"), F.col("total_rest")), F.lit(0))
-    dealt = inside.join(counts.filter("n_rest > 0").select("key", ps.alias("ps"), pr.alias("pr")), "key")
-    h = F.xxhash64("doc_id", F.lit(1))
-    own = F.when(F.col("star"), F.pmod(h, F.col("ps"))).otherwise(F.col("ps") + F.pmod(h, F.col("pr"))).cast("int")
-    dealt = dealt.select("key", "doc_id", own.alias("own"), F.explode(F.sequence(F.when(F.col("star"), F.col("ps")).otherwise(0), F.col("ps") + F.col("pr") - 1)).alias("other"))
-    pairs = dealt.select("key", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    members = banded.join(buckets.filter("parts = 1"), "key").select("key", "doc_id", F.lit(0).alias("i"), F.lit(0).alias("j")).unionByName(pairs)
-    links = _links(slim, members, width, percent).unionByName(stars.select("src", "dst"))
+    buckets = materialize(buckets.select("key", "least", "n", F.when(whole, 1).otherwise(n_parts(F.col("n"), F.col("total"))).alias("parts")), "buckets")
+    members = banded.join(buckets.filter("parts = 1"), "key").select("key", "doc_id", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    n_big = buckets.filter("parts > 1").agg(F.sum("n")).first()[0] or 0
+    links = None
+    if n_big:
+        big = buckets.filter("parts > 1").drop("n")
+        stars = materialize(_stars(slim, big, banded, width, percent, n_big <= 100_000), "stars")
+        links = stars.select("src", "dst")
+        members = members.unionByName(_across(banded.join(big, "key"), stars, n_parts))
+    found = _links(slim, members, width, percent)
+    links = found if links is None else found.unionByName(links)
     comps = components(links).withColumnRenamed("doc_id", "leader")
     classes = materialize(leaders.join(comps, "leader", "left").select("d1", "d2", "n", F.coalesce("component_id", "leader").alias("component")), "classes")
     many = F.col("n") > max(1000, sketch.count() // 100_000)

@@ -320,3 +320,23 @@ def test_digests_are_of_whole_texts(odd):
     rows = {r["doc_id"]: r for r in repeats.struck_documents(odd).collect()}
     assert rows[2]["kept_sha256"] == hashlib.sha256(LONG.encode()).hexdigest()
     assert odd.filter(F.col("doc_id") == 3).count() == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from termlake.llm.common import scratch
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = self
+            self.values = conf
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    with pytest.raises(ValueError, match="share"):
+        scratch(Session(**{"spark.master": "spark://host:7077"}), "x")
+    assert scratch(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://h/c/"}), "x").startswith("hdfs://h/c/termlake-x-")
+    assert "termlake-" in scratch(Session(**{"spark.master": "local[2]"}), "x")
