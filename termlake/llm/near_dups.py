@@ -232,21 +232,32 @@ def _across(inside: DataFrame, stars: DataFrame, n_parts) -> DataFrame:
     return dealt.select("key", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
+def _look_up(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """left with the columns of right(keys, n, ...), which has one row a key and in n how many of the `rows` of left have it.
+
+    Keys of over a 100,000th of all rows, 100,000 at most, are broadcast, so that no task gets all rows of one key.
+    """
+    many = F.col("n") > max(1000, rows // 100_000)
+    hot = F.broadcast(right.filter(many).drop("n"))
+    rest = left.join(F.broadcast(right.filter(many).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.filter(~many).drop("n"), keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of an edge; component_id is the smallest id reachable.
 
     Large-star and small-star passes in turn; each is a partial aggregate for the smallest
-    neighbour and a join back, so that a hub's neighbours are never gathered.
+    neighbour and a join back; a hub's neighbours are never gathered, in neither of the two.
     """
     edges = materialize(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while True:  # passes shorten every path, so this ends; a chain of n takes about log n of them
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = materialize(_look_up(both, least, ["u"], 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _look_up(large, least, ["u"], 2 * before[0])
         edges = materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges"
         )
@@ -291,10 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     links = found if links is None else found.unionByName(links)
     comps = components(links).withColumnRenamed("doc_id", "leader")
     classes = materialize(leaders.join(comps, "leader", "left").select("d1", "d2", "n", F.coalesce("component_id", "leader").alias("component")), "classes")
-    many = F.col("n") > max(1000, sketch.count() // 100_000)
     known = sketch.select("doc_id", "n_shingles", "d1", "d2")
     lone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)  # these have no class
-    hot = known.filter(~lone).join(F.broadcast(classes.filter(many).drop("n")), ["d1", "d2"], "left")  # 100,000 rows at most
-    cold = hot.filter("component is null").drop("component").join(classes.filter(~many).drop("n"), ["d1", "d2"], "left")
-    every = hot.filter("component is not null").unionByName(cold).unionByName(known.filter(lone).withColumn("component", F.col("doc_id")))
+    every = _look_up(known.filter(~lone), classes, ["d1", "d2"], sketch.count()).unionByName(known.filter(lone).withColumn("component", F.col("doc_id")))
     return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
