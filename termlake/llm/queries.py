@@ -35,10 +35,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled ids of every text, and the hash of what decoding them gives."""
-    model = _tokenizer("piece_bpe_32k.model")
-    decoded = pieces.decode_ids(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
-    return decoded.select("doc_id", "n_bytes", "n_pieces", "ids_crc32", "lossless", F.sha2("text", 256).alias("decoded_sha256"))
+    """Sampled ids of every text; each task decodes what it encoded and compares the bytes (lossless)."""
+    return pieces.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")).drop("ids")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
