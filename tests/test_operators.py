@@ -384,3 +384,11 @@ def test_exports_read_back(spark, tmp_path):
     assert readers.read_documents(spark, str(tmp_path / "parquet")).count() == 4
     with pytest.raises(ValueError, match="no writer"):
         readers.write_rows(d, str(tmp_path / "x"), "pdf")
+
+
+def test_prompts_hold_findings_passages_and_numbered_text(spark):
+    f = spark.createDataFrame([(0, 1, "ADM", "High", "second"), (0, 0, "Sale", "Low", "first")], "doc_id long, ord int, category string, severity string, excerpt string")
+    p = spark.createDataFrame([(0, 2, "Law", "2", "b", True), (0, 1, "Act", "1", "a", False)], "doc_id long, rank int, law string, section string, text string, placeholder boolean")
+    got = {r["doc_id"]: r["prompt"] for r in reports.prompt_rows(docs(spark, "x\ny", None), f, p).collect()}
+    assert got[0] == "Findings:\n- Sale (Low): first\n- ADM (High): second\nLaw:\n[Act, 1] a\n[UNVERIFIED Law, 2] b\nText:\n0001| x\n0002| y"
+    assert got[1].startswith("Findings:\nnone\nLaw:\nnone\n")
