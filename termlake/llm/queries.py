@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, main_text, near_dups, ngram_lm, pieces, quality, repeats, token_counts, token_files
+from . import cotrain, decontam, language_id, main_text, near_dups, ngram_lm, pieces, prefix_trie, quality, ranked_search, repeats, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_main_text, op4_quality_classifier, op5_sentencepiece, op6_quality_rules, op7_language_model, op8_repeats, op9_decontamination, op10_token_counts)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("enter", "leave")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_near_duplicates, op3_main_text, op4_quality_classifier, op5_sentencepiece, op6_quality_rules, op7_language_model,
+        op8_repeats, op9_decontamination, op10_token_counts, op11_prefix_trie, op12_language_id, op13_ranked_search,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -126,5 +144,64 @@ item AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY it
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN seen USING (doc_id) LEFT JOIN item USING (doc_id)
+""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+  SELECT conv_id, list(x ORDER BY pos) AS turns,
+    list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::BIGINT, 1))::BIGINT) AS bytes
+  FROM t GROUP BY conv_id
+),
+cut AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 6 AS h
+  FROM own
+),
+made AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM cut c LEFT JOIN cut b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+member AS (SELECT conv_id, len(turns) AS n, d AS depth, turns[1:d] AS node FROM made, unnest(range(0, len(turns) + 1)) AS u(d)),
+node AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(any_value(node[depth].text)), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM member GROUP BY node, depth
+),
+kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids USING (node)),
+below AS (
+  SELECT node[1:d] AS node, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM full_node, unnest(range(0, depth + 1)) AS u(d) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM full_node n JOIN below b ON b.node = n.node LEFT JOIN node p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+),
+b AS (
+  SELECT item_id, row_number() OVER () AS item,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+asked AS (SELECT DISTINCT item, item_id, unnest(w) AS t FROM b),
+total AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+cell AS (
+  SELECT doc_id, k, n, t, count(*) AS tf FROM (SELECT doc_id, row_number() OVER () AS k, len(w) AS n, w FROM d), unnest(w) AS u(t)
+  WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+),
+weight AS (SELECT t, floor(1000 * ln((2 * any_value(total.n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM cell, total GROUP BY t),
+score AS (
+  SELECT item, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * cell.n * total.n) // total.l)))))::BIGINT AS score
+  FROM asked JOIN cell USING (t) JOIN weight USING (t), total GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 50
 """,
 }
