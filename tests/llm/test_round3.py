@@ -237,4 +237,4 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     for q, s in enumerate(full):
         want = sorted((-v, i) for i, v in enumerate(s.tolist()) if v > 0)[:10]
         assert [(-v, i) for i, v in zip(*(y.tolist() for y in searcher.best.kept[q]))] == want
-    assert 0 < searcher.read < 0.5 * searcher.told
+    assert 0 < searcher.read < 0.6 * searcher.told
