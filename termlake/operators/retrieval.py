@@ -2,6 +2,7 @@
 
 Queries are the small side. They are dealt in blocks whose size is set, sent to the tasks that hold the chunks,
 and a task keeps no more than the best few chunks of each query; no pair of a query and a chunk is shuffled.
+Chunks are tokenised once, into a written index (see search_index.py), and every pass reads that.
 """
 
 from __future__ import annotations
@@ -13,11 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_text, words
-
-
-def okapi_idf(df, n):
-    """Raw inverse frequency; what is negative becomes a quarter of the mean over the vocabulary."""
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
+from ..sources.store import scratch
+from .search_index import Search, SearchIndex, okapi_idf, write_index
 
 
 def bm25(queries: DataFrame, pool: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -73,50 +71,40 @@ def reassemble(chosen: DataFrame, key: str = "doc_id") -> DataFrame:
     return chosen.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "chunk"))), lambda x: x["chunk"]), "\n...\n").alias("text"))
 
 
-def pools(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(pool, code) of queries(query_id, codes): codes whose chunks a query looks at; no row for a pool that is everything.
-
-    A query without codes, or whose codes no chunk has, looks at all chunks. The codes of the chunks are few.
-    """
-    wanted = queries.select(pool_key().alias("pool"), F.explode("codes").alias("code")).select("pool", F.lower("code").alias("code")).distinct()
-    have = chunks.select(F.lower("jurisdiction").alias("code")).distinct()
-    return wanted.join(have, "code", "left_semi").select("pool", "code")
-
-
-def pool_key():
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce("codes", F.array().cast("array<string>")), F.lower))), ",")
-
-
 class Scorer:
     """What a task needs to score chunks: the block's queries, their pools and weights; no reference to Spark."""
 
-    def __init__(self, ids, pool, codes, names, vectors, k1, b, digits):
-        self.ids, self.pool, self.codes, self.names, self.vectors, self.k1, self.b, self.digits = ids, pool, codes, names, vectors, k1, b, digits
-        self.mean, self.vocabulary, self.weights = np.ones(len(names)), [], np.zeros((0, len(ids)))
+    def __init__(self, search: Search, vectors: np.ndarray, digits: int):
+        self.ids, self.pool, self.codes, self.mean = search.ids, np.array(search.pool, np.int64), search.pools, search.mean
+        self.k1, self.b, self.vectors, self.digits = search.index.k1, search.index.b, vectors, digits
+        self.vocabulary = sorted({w for _, w in search.weight})
+        at = {w: k for k, w in enumerate(self.vocabulary)}
+        self.weights = np.zeros((len(self.vocabulary), len(self.ids)))
+        for (q, w), x in search.weight.items():
+            self.weights[at[w], q] = x
 
     def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, whether a chunk is in each query's pool, BM25 and dense scores (chunk x query)."""
-        ids = np.asarray(batch.column("chunk_id"))
+        ids, lengths = np.asarray(batch.column("chunk_id")), np.asarray(batch.column("len"), np.int64)
         lists = batch.column("words")
-        lengths = np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
         word = np.asarray(pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())).fill_null(-1), np.int64)
-        wide = max(1, len(self.vocabulary))
-        cell, tf = np.unique(np.repeat(np.arange(len(ids)), lengths)[word >= 0] * wide + word[word >= 0], return_counts=True)
-        row, word = np.divmod(cell, wide)
+        row = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))[word >= 0]
+        tf = np.asarray(batch.column("tfs").flatten(), np.int64)[word >= 0]
+        word = word[word >= 0]
         sparse = np.zeros((len(ids), len(self.ids)))
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
-        for k in range(len(self.names)):  # a pool has one mean length
+        for k in range(len(self.codes)):  # a pool has one mean length
             q = np.flatnonzero(self.pool == k)
             part = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[row] / self.mean[k]))
             if len(row) and len(q):
                 sparse[np.ix_(row[first], q)] = np.add.reduceat(part[:, None] * self.weights[word][:, q], first, axis=0)
-        allowed = [[not self.codes[p] or c in self.codes[p] for p in self.names] for c in batch.column("code").to_pylist()]
-        member = np.array(allowed, bool).reshape(len(ids), len(self.names))[:, self.pool]
-        size, vec = self.vectors.shape[1], batch.column("vector").to_pylist()
+        allowed = [[not p or c in p for p in self.codes] for c in batch.column("code").to_pylist()]
+        member = np.array(allowed, bool).reshape(len(ids), len(self.codes))[:, self.pool]
+        size, vectors = self.vectors.shape[1], batch.column("vector")
         dense = np.zeros((len(ids), len(self.ids)))
-        fine = [k for k, v in enumerate(vec) if v is not None and len(v) == size and size]
-        if fine:
-            dense[fine] = np.array([vec[k] for k in fine]) @ self.vectors.T
+        fine = np.flatnonzero(np.asarray(pc.list_value_length(vectors).fill_null(-1)) == size)
+        if len(fine) and size:
+            dense[fine] = np.asarray(vectors.take(pa.array(fine)).flatten(), np.float64).reshape(len(fine), size) @ self.vectors.T
         return ids, member, np.round(sparse, self.digits), np.round(dense, self.digits)
 
 
@@ -139,64 +127,43 @@ _BEFORE = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("way",
 class Ranker:
     """Exact scores of all chunks for a block of queries, chunk by chunk inside the tasks.
 
-    chunks(chunk_id, text, jurisdiction, vector), queries(query_id, text, codes, vector). Both scores of a chunk count only
-    within the query's pool, whose own statistics BM25 takes.
+    chunks(chunk_id, text, jurisdiction, vector) or their index, queries(query_id, text, codes, vector). Both scores of a
+    chunk count only within the query's pool, whose own statistics BM25 takes.
     """
 
-    def __init__(self, chunks: DataFrame, queries: DataFrame, most_queries: int = 1000, k1: float = 1.5, b: float = 0.75, digits: int = 6):
-        spark = chunks.sparkSession
-        asked = queries.select("query_id", "text", "codes", "vector", pool_key().alias("pool")).limit(most_queries + 1).collect()
-        if len(asked) > most_queries:
-            raise ValueError(f"a block holds {most_queries} queries at most; deal them first")
-        codes: dict = {r["pool"]: set() for r in asked}
-        for r in pools(chunks, queries).collect():
-            codes[r["pool"]].add(r["code"])
-        names = sorted(codes)
-        size = max((len(r["vector"]) for r in asked if r["vector"]), default=0)
-        vectors = np.array([r["vector"] if r["vector"] is not None and len(r["vector"]) == size else [0.0] * size for r in asked], np.float64).reshape(len(asked), size)
-        self.scorer = s = Scorer([r["query_id"] for r in asked], np.array([names.index(r["pool"]) for r in asked], np.int64), codes, names, vectors, k1, b, digits)
-        self.chunks = chunks.select("chunk_id", F.lower("jurisdiction").alias("code"), words(F.coalesce("text", F.lit(""))).alias("words"), F.col("vector").cast("array<double>").alias("vector"))
-        # pools of everything, and those of the codes that chunks have
-        every = F.array(*[F.lit(k) for k, p in enumerate(names) if not codes[p]] or [F.lit(None).cast("int")])
-        own = spark.createDataFrame([(c, k) for k, p in enumerate(names) for c in codes[p]], "code string, pool int").groupBy("code").agg(F.collect_list("pool").alias("own"))
-        member = F.filter(F.concat(every, F.coalesce("own", F.array().cast("array<int>"))), lambda x: x.isNotNull())
-        cut = self.chunks.join(F.broadcast(own), "code", "left").select("words", F.explode(member).alias("pool"))  # codes of at most a block of queries
-        stats = {r["pool"]: (r["n"], r["mean"]) for r in cut.groupBy("pool").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).collect()}
-        s.mean = np.array([stats.get(k, (0, 1.0))[1] or 1.0 for k in range(len(names))])
-        # the queries' own words: as many as they are long
-        q = spark.createDataFrame([(k, int(p), r["text"] or "") for k, (p, r) in enumerate(zip(s.pool, asked, strict=True))], "q int, pool int, text string")
-        q = q.select("q", "pool", F.explode(words(F.col("text"))).alias("word")).groupBy("q", "pool", "word").agg(F.count("*").alias("times"))
-        if not stats or not q.head(1):
-            return
-        count = F.create_map(*[x for k, (n, _) in stats.items() for x in (F.lit(k), F.lit(n))])
-        df = cut.select("pool", F.explode(F.array_distinct("words")).alias("word")).groupBy("pool", "word").agg(F.count("*").alias("df")).withColumn("raw", okapi_idf(F.col("df"), F.element_at(count, F.col("pool"))))
-        mean_idf = {r["pool"]: r["m"] for r in df.groupBy("pool").agg(F.avg("raw").alias("m")).collect()}
-        found = q.join(df, ["pool", "word"]).select("q", "pool", "word", "times", "raw").collect()
-        s.vocabulary = sorted({r["word"] for r in found})
-        at = {w: k for k, w in enumerate(s.vocabulary)}
-        s.weights = np.zeros((len(s.vocabulary), len(asked)))
-        for r in found:
-            s.weights[at[r["word"]], r["q"]] += r["times"] * (r["raw"] if r["raw"] >= 0 else 0.25 * mean_idf[r["pool"]])
+    def __init__(self, chunks: DataFrame | SearchIndex, queries: DataFrame, most_queries: int = 1000, digits: int = 6):
+        self.index = chunks if isinstance(chunks, SearchIndex) else write_index(chunks, scratch(chunks.sparkSession, "index"))
+        search = Search(self.index, queries, most_queries)
+        asked = {r["query_id"]: r["vector"] for r in queries.select("query_id", "vector").collect()}  # as many as Search allows
+        size = max((len(v) for v in asked.values() if v), default=0)
+        vectors = np.array([v if (v := asked[i]) is not None and len(v) == size else [0.0] * size for i in search.ids], np.float64).reshape(len(search.ids), size)
+        self.scorer, self.chunks = Scorer(search, vectors, digits), self.index.chunks
 
     def best(self, k: int, which: tuple = ("bm25", "dense"), shared: bool = True) -> DataFrame:
         """query_id, chunk_id, way, score: the best k chunks of each query by each score (ties by id); shared: chunks without a word of the query don't count for BM25."""
         scorer = self.scorer
 
         def find(batches):
-            kept: dict = {}
+            n = len(scorer.ids)
+            kept = {way: [(np.zeros(0, np.int64), np.zeros(0))] * n for way in which}
+            least = {way: np.full(n, -np.inf) for way in which}
             for batch in _parts(batches):
                 ids, member, sparse, dense = scorer(batch)
                 for way, score in (("bm25", sparse), ("dense", dense)):
                     if way not in which:
                         continue
-                    ok = member & (score != 0) if way == "bm25" and shared else member
-                    for q in range(len(scorer.ids)):
+                    ok = member & (score >= least[way])
+                    if way == "bm25" and shared:
+                        ok &= score != 0
+                    for q in np.flatnonzero(ok.any(axis=0)):
                         i = np.flatnonzero(ok[:, q])
-                        old = kept.get((way, q), (np.zeros(0, ids.dtype), np.zeros(0)))
+                        old = kept[way][q]
                         a, x = np.concatenate([old[0], ids[i]]), np.concatenate([old[1], score[i, q]])
                         top = np.lexsort((a, -x))[:k]
-                        kept[way, q] = a[top], x[top]
-            yield _batch([(scorer.ids[q], int(i), way, float(x)) for (way, q), (a, s) in kept.items() for i, x in zip(a, s, strict=True)], _BEST)
+                        kept[way][q] = a[top], x[top]
+                        if len(top) == k:
+                            least[way][q] = x[top[-1]]
+            yield _batch([(scorer.ids[q], int(i), way, float(x)) for way in which for q, (a, s) in enumerate(kept[way]) for i, x in zip(a, s, strict=True)], _BEST)
 
         found = self.chunks.mapInArrow(find, "query_id long, chunk_id long, way string, score double")
         w = Window.partitionBy("query_id", "way").orderBy(F.desc("score"), "chunk_id")
@@ -244,8 +211,8 @@ class Ranker:
         return counted.groupBy("query_id", "chunk_id", "way").agg((F.sum("before") + 1).alias("rank"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
-    """query_id, chunk_id, score, rank: the best k chunks of each query's pool by fused ranks.
+def retrieve(queries: DataFrame, chunks: DataFrame | SearchIndex, k: int = 5, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank: the best k chunks of each query's pool by fused ranks; chunks may be an opened index.
 
     A chunk that is in neither score's best 2 * (rrf_k + k) has a fused score below that of the k-th chunk of either
     list, so these lists hold every answer; their chunks' exact ranks are then counted. A query without a usable vector has no rows.
@@ -285,9 +252,10 @@ def quality_flags(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("placeholder", F.coalesce(F.lower("status") == "placeholder", F.lit(False)))
 
 
-def build_corpus_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks with unit vectors of float; what has no vector, or one of zeros, is dropped. Write with .write.parquet()."""
-    return chunks.join(vectors.select("chunk_id", l2_normalize(F.col("vector")).cast("array<float>").alias("vector")), "chunk_id").filter("vector is not null")
+def build_corpus_index(chunks: DataFrame, vectors: DataFrame, path: str) -> SearchIndex:
+    """Writes the index of chunks with their unit vectors of float below path; what has no vector, or one of zeros, is dropped. See search_index.open_index()."""
+    unit = vectors.select("chunk_id", l2_normalize(F.col("vector")).cast("array<float>").alias("vector")).filter("vector is not null")
+    return write_index(chunks.drop("vector").join(unit, "chunk_id"), path)
 
 
 def bundle_guard(chunks: DataFrame, vectors: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, text
 from ..functions.catalog import CLAUSES, CONTEXT_PRIORITY, RULES
-from ..operators import analysis, inference, retrieval, rollups, rules, scoring, versions
+from ..operators import analysis, inference, retrieval, rollups, rules, scoring, search_index, versions
 from ..sources import readers
+from ..sources.store import scratch
 from . import policies as views
 from .policies import _q
 
@@ -368,8 +369,8 @@ def _asked(spark, d):
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 4) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, chunk_id) <= 5")
 def r1_bm25(spark, d):
     chunks = rules.spread(views.table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), "text", F.lit("").alias("jurisdiction"), F.lit(None).cast("array<double>").alias("vector"))
-    asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array().cast("array<string>").alias("codes"), F.lit(None).cast("array<double>").alias("vector"))
-    return retrieval.Ranker(chunks, asked, digits=4).best(5, ("bm25",)).select("query_id", "chunk_id", "score")
+    asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array().cast("array<string>").alias("codes"))
+    return search_index.write_index(chunks, scratch(spark, "index")).bm25_top(asked, 5, digits=4).select("query_id", "chunk_id", "score")
 
 
 _DENSE = """v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT label AS query_id, embedding AS qv FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),

@@ -337,13 +337,14 @@ def test_relevant_chunks(spark):
     assert retrieval.select_relevant_chunks(d, "rights", None, None, 100).filter("doc_id = 1").first()["text"] == long[:100]
 
 
-def test_bundles_and_chunks(spark):
+def test_bundles_and_chunks(spark, tmp_path):
     c = spark.createDataFrame([(1,), (2,)], "chunk_id long")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "chunk_id long, vector array<float>")
     m = lambda *x: spark.createDataFrame([x], "version string, chunks_version string, vectors_version string, n_chunks long, size int")
     reasons = [retrieval.bundle_guard(c, x, y).first()["reason"] for x, y in ((v, m("1", "1", "1", 2, 2)), (v, m("1", "2", "1", 2, 2)), (v, m("1", "1", "1", 3, 2)), (v, m("1", "1", "1", 2, 3)), (v.withColumn("chunk_id", F.col("chunk_id") + 1), m("1", "1", "1", 2, 2)))]
     assert reasons == [None, "versions differ", "counts differ", "vector sizes differ", "chunks without vectors"]
-    assert retrieval.build_corpus_index(c, v).count() == 1
+    texts = c.select("chunk_id", F.lit("some words").alias("text"), F.lit("GDPR").alias("jurisdiction"))
+    assert retrieval.build_corpus_index(texts, v, str(tmp_path / "index")).chunks.count() == 1
 
 
 def test_corpus_files(spark, tmp_path):
