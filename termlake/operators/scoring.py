@@ -106,30 +106,68 @@ def top_risks(scores: DataFrame, k: int = 3) -> DataFrame:
     return scores.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
 
 
-FINDING = (
-    "array<struct<category:string,severity:string,confidence:double,excerpt:string,explanation:string,jurisdictions:array<string>,"
-    "evidence:struct<line_start:int,line_end:int,legal_basis:array<string>>,impact:int,likelihood:int,safeguard_score:int,irp_score:double>>"
-)
+def _kind(item: Column, path: str) -> Column:
+    """The JSON type at a path as VARIANT names it; null where there is nothing, VOID for a JSON null."""
+    return F.schema_of_variant(F.try_variant_get(item, path, "variant"))
 
 
-def parse_model_findings(answers: DataFrame) -> DataFrame:
-    """Findings of answers(doc_id, body): body is JSON with `findings`, `summary` and `overall_confidence`.
+def _number(item: Column, path: str, least: float, most: float | None, default: float | None = None, whole: bool = True, optional: bool = False) -> tuple[Column, Column]:
+    """(value, whether it is one): a JSON number, numeric string or boolean in its range, without a fraction if whole.
 
-    One row per well-formed finding, in order; the others are skipped: unknown severity, a number out of its range or
-    a missing field. Without a score the impact, likelihood and safeguard give it.
+    Nothing at the path gives the default, or is wrong if there is none; a JSON null is wrong unless optional.
     """
-    body = F.from_json("body", f"findings {FINDING}")
-    each = answers.select("doc_id", F.posexplode(body["findings"]).alias("ord", "f")).select("doc_id", "ord", "f.*")
-    impact, likelihood, safeguard = F.coalesce("impact", F.lit(2)), F.coalesce("likelihood", F.lit(3)), F.coalesce("safeguard_score", F.lit(0))
-    fine = (
-        F.col("severity").isin(catalog.SEVERITIES) & F.col("confidence").between(0, 1) & impact.between(1, 5) & likelihood.between(1, 5) & safeguard.between(0, 5)
-        & F.coalesce(F.col("irp_score").between(0, 1), F.lit(True)) & F.col("category").isNotNull() & F.col("excerpt").isNotNull() & (F.col("evidence.line_start") >= 1) & (F.col("evidence.line_end") >= 1)
-    )
-    none = F.array().cast("array<string>")
-    return each.filter(fine).select(
-        "doc_id", "ord", "category", "severity", "confidence", "excerpt", F.coalesce("explanation", F.lit("")).alias("explanation"), F.coalesce("jurisdictions", none).alias("jurisdictions"),
-        F.coalesce("evidence.legal_basis", none).alias("legal_basis"), F.col("evidence.line_start").alias("line_start"), F.col("evidence.line_end").alias("line_end"), (F.col("confidence") < 0.6).alias("needs_review"),
-        impact.alias("impact"), likelihood.alias("likelihood"), safeguard.alias("safeguard_score"), F.coalesce("irp_score", irp(impact, likelihood, safeguard)).alias("irp_score"),
+    x, kind = F.try_variant_get(item, path, "double"), _kind(item, path)
+    right = (x >= least) & (F.lit(True) if most is None else x <= most) & (x == F.floor(x) if whole else F.lit(True)) & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+    missing = kind.isNull() | (kind == "VOID") if optional else kind.isNull()
+    return F.when(missing, F.lit(default).cast("double")).otherwise(x), F.when(missing, F.lit(default is not None or optional)).otherwise(F.coalesce(right, F.lit(False)))
+
+
+def _text(item: Column, path: str) -> tuple[Column, Column]:
+    return F.try_variant_get(item, path, "string"), F.coalesce(_kind(item, path) == "STRING", F.lit(False))
+
+
+def _texts(item: Column, path: str, allowed: list[str] | None = None, optional: bool = False) -> tuple[Column, Column]:
+    """(array of strings, whether it is one and every string is allowed)."""
+    each, kind = F.try_variant_get(item, path, "array<variant>"), _kind(item, path)
+    values = F.transform(each, lambda x: F.try_variant_get(x, "$", "string"))
+    right = F.forall(each, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    if allowed:
+        right = right & F.forall(values, lambda x: x.isin(allowed))
+    fine = F.coalesce(right, F.lit(False))
+    return (F.coalesce(values, F.array().cast("array<string>")), kind.isNull() | fine) if optional else (values, fine)
+
+
+def parse_model_findings(answers: DataFrame, jurisdictions: list[str] | None = catalog.JURISDICTIONS) -> DataFrame:
+    """Findings of answers(doc_id, body): body is JSON with a list `findings`.
+
+    Every item is checked by itself and only what is wrong is skipped: an item that isn't an object, a field that is
+    missing or of another type, an unknown severity or jurisdiction (None: any is fine), a number out of its range or
+    with a fraction where there can't be one. Numbers may be numeric strings or booleans. Impact, likelihood and safeguard
+    default to 2, 3 and 0, and without a score give it. Of duplicate keys the last counts (a setting of the session's JSON
+    reader, set here). A body that isn't JSON, no object, or has no list of findings has no rows. `ord` is the place in the list.
+    """
+    answers.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    items = F.try_variant_get(F.try_parse_json("body"), "$.findings", "array<variant>")
+    f = F.col("f")
+    each = answers.select("doc_id", F.posexplode(items).alias("ord", "f"))
+    texts = {c: _text(f, f"$.{c}") for c in ("category", "severity", "excerpt", "explanation")}
+    numbers = {
+        "confidence": _number(f, "$.confidence", 0, 1, whole=False), "line_start": _number(f, "$.evidence.line_start", 1, None), "line_end": _number(f, "$.evidence.line_end", 1, None),
+        "impact": _number(f, "$.impact", 1, 5, 2), "likelihood": _number(f, "$.likelihood", 1, 5, 3), "safeguard_score": _number(f, "$.safeguard_score", 0, 5, 0),
+        "irp_score": _number(f, "$.irp_score", 0, 1, whole=False, optional=True),
+    }
+    lists = {"jurisdictions": _texts(f, "$.jurisdictions", jurisdictions), "legal_basis": _texts(f, "$.evidence.legal_basis", optional=True)}
+    told = F.try_variant_get(f, "$.needs_review", "boolean")
+    fields = {**texts, **numbers, **lists}
+    fine = F.coalesce(F.schema_of_variant(f).startswith("OBJECT"), F.lit(False)) & texts["severity"][0].isin(catalog.SEVERITIES) & (_kind(f, "$.needs_review").isNull() | told.isNotNull())
+    for _, right in fields.values():
+        fine = fine & right
+    j = each.filter(fine).select("doc_id", "ord", *[v.alias(c) for c, (v, _) in fields.items()], F.coalesce(told, F.lit(False)).alias("told"))
+    whole = {c: F.col(c).cast("int") for c in ("line_start", "line_end", "impact", "likelihood", "safeguard_score")}
+    return j.select(
+        "doc_id", "ord", "category", "severity", "confidence", "excerpt", "explanation", "jurisdictions", "legal_basis", *[v.alias(c) for c, v in list(whole.items())[:2]],
+        (F.col("told") | (F.col("confidence") < 0.6)).alias("needs_review"), *[v.alias(c) for c, v in list(whole.items())[2:]],
+        F.coalesce("irp_score", irp(whole["impact"], whole["likelihood"], whole["safeguard_score"])).alias("irp_score"),
     )
 
 

@@ -110,10 +110,15 @@ def j13_catalog_guard(spark, d):
     return reports.catalog_guard(rules.rule_hits(views.policies(spark, d)), known)
 
 
-@query(f"WITH {views.SQL_MODEL} SELECT doc_id, category, confidence::DOUBLE AS confidence, excerpt, round(irp_score, 4)::DOUBLE AS irp_score, confidence < 0.6 AS needs_review, array_to_string(legal_basis, ',') AS legal_basis FROM model WHERE (doc_id + ord) % 7 <> 0")
+@query(f"""WITH {views.SQL_MODEL}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS place, (doc_id * 5 + ord) % 13 AS way FROM model)
+SELECT doc_id, place::INTEGER AS ord, category, severity, confidence::DOUBLE AS confidence, excerpt, CASE WHEN way = 4 THEN 4 ELSE 3 END::INTEGER AS impact, CASE WHEN way = 4 THEN 0.58 ELSE 0.48 END::DOUBLE AS irp_score,
+  confidence < 0.6 AS needs_review, array_to_string(jurisdictions, ',') AS jurisdictions, array_to_string(legal_basis, ',') AS legal_basis, line_start::INTEGER AS line_start
+FROM p WHERE way NOT IN (0, 1, 2, 3, 6, 7, 8) AND doc_id % 17 <> 0 AND doc_id % 19 <> 0""")
 def j2_parse_model(spark, d):
+    """Bodies with malformed items of nine kinds, some broken as a whole."""
     f = scoring.parse_model_findings(views.model_bodies(spark, d))
-    return f.select("doc_id", "category", "confidence", "excerpt", F.round("irp_score", 4).alias("irp_score"), "needs_review", F.array_join("legal_basis", ",").alias("legal_basis"))
+    both = [F.array_join(c, ",").alias(c) for c in ("jurisdictions", "legal_basis")]
+    return f.select("doc_id", "ord", "category", "severity", "confidence", "excerpt", "impact", F.round("irp_score", 4).alias("irp_score"), "needs_review", *both, "line_start")
 
 
 # --- whole analyses -----------------------------------------------------------------------------

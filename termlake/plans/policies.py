@@ -77,13 +77,27 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, body: a document's model findings as the JSON a model returns; one in seven has a number out of its range."""
-    m = model_findings(spark, sf_dir)
-    f = F.struct(
-        "category", "severity", F.when((F.col("doc_id") + F.col("ord")) % 7 == 0, 1.5).otherwise(F.col("confidence")).alias("confidence"), "excerpt", "explanation", "jurisdictions",
-        F.struct("line_start", "line_end", "legal_basis").alias("evidence"), "impact", "likelihood", "safeguard_score",
-    )
-    return m.groupBy("doc_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("ord", f.alias("f")))), lambda x: x["f"]).alias("findings"))).alias("body"))
+    """doc_id, body: a document's model findings as the JSON a model returns, with what models get wrong.
+
+    By (5 doc_id + ord) mod 13: 0 a number out of its range, 1 no object, 2 a fraction, 3 a field missing, 4 a number as
+    a string, 5 a key twice, 6 evidence that is a list, 7 another type, 8 an unknown jurisdiction. One body in 17 is cut
+    off, one in 19 is a list.
+    """
+    m, way = model_findings(spark, sf_dir), (F.col("doc_id") * 5 + F.col("ord")) % 13
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    fields = [
+        F.when(way == 7, '"category":7').otherwise(F.concat(F.lit('"category":'), quoted("category"))),
+        F.when(way == 5, '"severity":"Odd","severity":"Medium"').otherwise('"severity":"Medium"'),
+        F.concat(F.lit('"confidence":'), F.when(way == 0, "1.5").otherwise(F.col("confidence").cast("string"))),
+        F.when(way != 3, F.concat(F.lit('"excerpt":'), quoted("excerpt"))), F.lit('"explanation":"said by a model"'),
+        F.concat(F.lit('"jurisdictions":'), F.when(way == 8, '["Nowhere"]').otherwise(F.to_json("jurisdictions"))),
+        F.when(way == 6, '"evidence":[1]').otherwise(F.concat(F.lit('"evidence":{"line_start":1,"line_end":1,"legal_basis":'), F.to_json("legal_basis"), F.lit("}"))),
+        F.concat(F.lit('"impact":'), F.when(way == 2, "2.5").when(way == 4, '"4"').otherwise("3")), F.lit('"likelihood":3,"safeguard_score":1'),
+    ]
+    item = F.when(way == 1, '"nothing found"').otherwise(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("f")))), lambda x: x["f"]), ",")
+    whole = F.concat(F.when(F.col("doc_id") % 19 == 0, "[").otherwise('{"findings":['), items, F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 19 == 0, "]").otherwise("]}"))
+    return m.groupBy("doc_id").agg(whole.alias("body"))
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed cases of the policy operators, and streams against batches."""
 
 import re
+import json
 import time
 
 import pytest
@@ -91,6 +92,28 @@ def test_malformed_model_findings_are_skipped(spark):
     assert [(r["doc_id"], r["ord"], r["needs_review"], r["irp_score"]) for r in got] == [(1, 0, True, 0.44), (1, 4, False, 0.44)]
 
 
+@pytest.mark.parametrize("change,fine", [
+    ({}, True), ({"impact": 2.5}, False), ({"impact": 3.0}, True), ({"impact": "4"}, True), ({"impact": "x"}, False), ({"impact": None}, False), ({"impact": [1]}, False), ({"impact": 6}, False),
+    ({"irp_score": None}, True), ({"irp_score": 1.2}, False), ({"confidence": "0.7"}, True), ({"confidence": True}, True), ({"category": 7}, False), ({"excerpt": None}, False), ({"explanation": ...}, False),
+    ({"jurisdictions": "GDPR"}, False), ({"jurisdictions": ["GDPR", 3]}, False), ({"jurisdictions": ["Nowhere"]}, False), ({"jurisdictions": []}, True), ({"evidence": [1]}, False), ({"evidence": None}, False),
+    ({"evidence": {"line_start": 1, "line_end": 1}}, True), ({"evidence": {"line_start": 1, "line_end": 1, "legal_basis": None}}, False), ({"evidence": {"line_start": 1, "line_end": 1.5}}, False), ({"needs_review": "maybe"}, False), ({"extra": {"a": [1]}}, True),
+])
+def test_every_item_is_checked_by_itself(spark, change, fine):
+    """An item that is wrong goes alone, whatever is wrong with it."""
+    one = {"category": "ADM", "severity": "High", "confidence": 0.5, "excerpt": "x", "explanation": "e", "jurisdictions": ["GDPR"], "evidence": {"line_start": 1, "line_end": 2, "legal_basis": ["A"]}}
+    other = {k: v for k, v in (one | change).items() if v is not ...}
+    body = json.dumps({"findings": ["text", other, 7, None, [], one], "summary": "s"})
+    got = scoring.parse_model_findings(spark.createDataFrame([(1, body)], "doc_id long, body string")).collect()
+    assert sorted(r["ord"] for r in got) == [1, 5] if fine else [5]
+
+
+def test_bodies_that_are_broken_as_a_whole(spark):
+    one = '{"category":"ADM","severity":"Low","severity":"High","confidence":0.9,"excerpt":"x","explanation":"e","jurisdictions":["GDPR"],"evidence":{"line_start":1,"line_end":2}}'
+    bodies = ['{"findings":[' + one, "[" + one + "]", '{"findings":' + one + "}", '{"findings":null}', "", None, '{"findings":[' + one + "]}"]
+    got = scoring.parse_model_findings(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, body string")).collect()
+    assert [(r["doc_id"], r["severity"], r["legal_basis"]) for r in got] == [(6, "High", [])]
+
+
 FIELDS = "doc_id long, ord int, category string, severity string, confidence double, excerpt string, explanation string, jurisdictions array<string>, legal_basis array<string>, line_start int, line_end int, impact int, likelihood int, safeguard_score int, irp_score double, needs_review boolean"
 
 
