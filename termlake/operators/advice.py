@@ -34,15 +34,20 @@ def action_items(findings: DataFrame, docs: DataFrame, wording: dict = ADVICE, m
     """
     flags = findings.groupBy("doc_id").agg(*[F.bool_or(F.col("category").isin(c)).alias(k) for k, c in ADVICE_FOR.items()])
     d = docs.select("doc_id", "codes", "context").join(flags, "doc_id", "left")
-    has = lambda c: F.coalesce(F.array_contains("codes", c), F.lit(False))
+    told = advice_lines({k: F.col(k) for k in ADVICE_FOR}, F.col("codes"), F.col("context"), wording, most)
+    return d.select("doc_id", F.when(F.col("sale").isNull(), F.array().cast("array<string>")).otherwise(told).alias("action_items"))
+
+
+def advice_lines(found: dict[str, Column], codes: Column, context: Column, wording: dict = ADVICE, most: int = 5) -> Column:
+    """The lines for a document: found says for each kind of ADVICE_FOR whether a finding asks for it."""
+    has = lambda c: F.coalesce(F.array_contains(codes, c), F.lit(False))
     europe = has("GDPR") | has("UK-GDPR")
     lines = [F.lit(x) for x in wording["all"]]
     for c, own in wording["contexts"].items():
-        lines += [F.when(F.array_contains("context", c), x) for x in own]
-    lines += [F.when(F.col("sale") & has("US-CA"), wording["sale_ca"]).when(F.col("sale"), wording["sale"]), F.when(F.col("rights") & europe, wording["rights_eu"])]
-    lines += [F.when(F.col(k), wording[k]) for k in ("rights", "training", "automation", "children")]
-    told = F.slice(F.array_distinct(F.filter(F.array(*lines), lambda x: x.isNotNull())), 1, most)
-    return d.select("doc_id", F.when(F.col("sale").isNull(), F.array().cast("array<string>")).otherwise(told).alias("action_items"))
+        lines += [F.when(F.array_contains(context, c), x) for x in own]
+    lines += [F.when(found["sale"] & has("US-CA"), wording["sale_ca"]).when(found["sale"], wording["sale"]), F.when(found["rights"] & europe, wording["rights_eu"])]
+    lines += [F.when(found[k], wording[k]) for k in ("rights", "training", "automation", "children")]
+    return F.slice(F.array_distinct(F.filter(F.array(*lines), lambda x: x.isNotNull())), 1, most)
 
 
 # Parts of category names, and what to do about such a finding; severe ones come first, and something is always said.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_text, words
 from ..sources.store import scratch
-from .search_index import Search, SearchIndex, okapi_idf, write_index
+from .search_index import Block, SearchIndex, impact, okapi_idf, ranges, rows_of, write_index
 
 
 def bm25(queries: DataFrame, pool: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -74,45 +74,45 @@ def reassemble(chosen: DataFrame, key: str = "doc_id") -> DataFrame:
 class Scorer:
     """What a task needs to score chunks: the block's queries, their pools and weights; no reference to Spark."""
 
-    def __init__(self, search: Search, vectors: np.ndarray, digits: int):
-        self.ids, self.pool, self.codes, self.mean = search.ids, np.array(search.pool, np.int64), search.pools, search.mean
-        self.k1, self.b, self.vectors, self.digits = search.index.k1, search.index.b, vectors, digits
-        self.vocabulary = sorted({w for _, w in search.weight})
-        at = {w: k for k, w in enumerate(self.vocabulary)}
-        self.weights = np.zeros((len(self.vocabulary), len(self.ids)))
-        for (q, w), x in search.weight.items():
-            self.weights[at[w], q] = x
-
-    def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids, whether a chunk is in each query's pool, BM25 and dense scores (chunk x query)."""
-        ids, lengths = np.asarray(batch.column("chunk_id")), np.asarray(batch.column("len"), np.int64)
-        lists = batch.column("words")
-        word = np.asarray(pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())).fill_null(-1), np.int64)
-        row = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))[word >= 0]
-        tf = np.asarray(batch.column("tfs").flatten(), np.int64)[word >= 0]
-        word = word[word >= 0]
-        sparse = np.zeros((len(ids), len(self.ids)))
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
-        for k in range(len(self.codes)):  # a pool has one mean length
-            q = np.flatnonzero(self.pool == k)
-            part = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[row] / self.mean[k]))
-            if len(row) and len(q):
-                sparse[np.ix_(row[first], q)] = np.add.reduceat(part[:, None] * self.weights[word][:, q], first, axis=0)
-        allowed = [[not p or c in p for p in self.codes] for c in batch.column("code").to_pylist()]
-        member = np.array(allowed, bool).reshape(len(ids), len(self.codes))[:, self.pool]
-        size, vectors = self.vectors.shape[1], batch.column("vector")
-        dense = np.zeros((len(ids), len(self.ids)))
-        fine = np.flatnonzero(np.asarray(pc.list_value_length(vectors).fill_null(-1)) == size)
-        if len(fine) and size:
-            dense[fine] = np.asarray(vectors.take(pa.array(fine)).flatten(), np.float64).reshape(len(fine), size) @ self.vectors.T
-        return ids, member, np.round(sparse, self.digits), np.round(dense, self.digits)
-
-
-def _parts(batches, rows: int = 256):
-    """Smaller batches: the products of a part's words and the queries are held at once."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+    def __init__(self, block: Block, vectors: np.ndarray, digits: int):
+        self.block, self.ids, self.vectors, self.digits = block, block.ids, vectors, digits
+        self.weights = np.zeros((len(block.vocabulary), len(block.ids)))
+        for q, (terms, weights) in enumerate(zip(block.terms, block.weights, strict=True)):
+            self.weights[terms, q] = weights
+
+    def __call__(self, parts, rows: int = 256):
+        """For up to `rows` chunks at a time: ids, whether a chunk is in each query's pool, BM25 and dense scores (chunk x query)."""
+        for part in parts:
+            for batch in rows_of(part):
+                yield from self._score(batch, rows)
+
+    def _score(self, batch: dict, rows: int):
+        block, n = self.block, len(batch["chunk_id"])
+        at, members = block.places(batch["words"]), block.members(batch["code"])
+        term = np.flatnonzero(at >= 0)
+        first, entry = batch["first"].astype(np.int64), batch["entry"].astype(np.int64)
+        e, of = ranges(entry[first[at[term]]], entry[first[at[term] + 1]])
+        docs, tfs, lengths = batch["docs"][e].astype(np.int64), batch["tfs"][e].astype(np.int64), batch["len"].astype(np.int64)
+        order = np.lexsort((of, docs))  # the words of a chunk in the order of the vocabulary
+        docs, tfs, word = docs[order], tfs[order], term[of[order]]
+        size, start = batch["size"].astype(np.int64), np.concatenate([[0], np.cumsum(batch["size"], dtype=np.int64)])
+        for a in range(0, n, rows):
+            b = min(n, a + rows)
+            lo, hi = np.searchsorted(docs, [a, b])
+            sparse, dense = np.zeros((b - a, len(self.ids))), np.zeros((b - a, len(self.ids)))
+            row = docs[lo:hi] - a
+            head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+            for k in range(len(block.pools)):  # a pool has one mean length
+                q = np.flatnonzero(block.pool == k)
+                if len(row) and len(q):
+                    value = impact(tfs[lo:hi], lengths[docs[lo:hi]], block.mean[k], block.k1, block.b)
+                    sparse[np.ix_(row[head], q)] = np.add.reduceat(value[:, None] * self.weights[word[lo:hi]][:, q], head, axis=0)
+            wide = self.vectors.shape[1]
+            fine = np.flatnonzero(size[a:b] == wide) if wide else np.zeros(0, np.int64)
+            if len(fine):
+                at_ = start[a + fine][:, None] + np.arange(wide)
+                dense[fine] = batch["vectors"][at_].astype(np.float64) @ self.vectors.T
+            yield batch["chunk_id"][a:b], members[block.pool][:, a:b].T, np.round(sparse, self.digits), np.round(dense, self.digits)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -133,11 +133,11 @@ class Ranker:
 
     def __init__(self, chunks: DataFrame | SearchIndex, queries: DataFrame, most_queries: int = 1000, digits: int = 6):
         self.index = chunks if isinstance(chunks, SearchIndex) else write_index(chunks, scratch(chunks.sparkSession, "index"))
-        search = Search(self.index, queries, most_queries)
-        asked = {r["query_id"]: r["vector"] for r in queries.select("query_id", "vector").collect()}  # as many as Search allows
+        block = Block(self.index, queries, most_queries)
+        asked = {r["query_id"]: r["vector"] for r in queries.select("query_id", "vector").collect()}  # as many as a block allows
         size = max((len(v) for v in asked.values() if v), default=0)
-        vectors = np.array([v if (v := asked[i]) is not None and len(v) == size else [0.0] * size for i in search.ids], np.float64).reshape(len(search.ids), size)
-        self.scorer, self.chunks = Scorer(search, vectors, digits), self.index.chunks
+        vectors = np.array([v if (v := asked[i]) is not None and len(v) == size else [0.0] * size for i in block.ids], np.float64).reshape(len(block.ids), size)
+        self.scorer, self.chunks = Scorer(block, vectors, digits), self.index.batches
 
     def best(self, k: int, which: tuple = ("bm25", "dense"), shared: bool = True) -> DataFrame:
         """query_id, chunk_id, way, score: the best k chunks of each query by each score (ties by id); shared: chunks without a word of the query don't count for BM25."""
@@ -147,8 +147,7 @@ class Ranker:
             n = len(scorer.ids)
             kept = {way: [(np.zeros(0, np.int64), np.zeros(0))] * n for way in which}
             least = {way: np.full(n, -np.inf) for way in which}
-            for batch in _parts(batches):
-                ids, member, sparse, dense = scorer(batch)
+            for ids, member, sparse, dense in scorer(batches):
                 for way, score in (("bm25", sparse), ("dense", dense)):
                     if way not in which:
                         continue
@@ -181,8 +180,7 @@ class Ranker:
         every = sorted(set().union(*wanted.values()))
 
         def own(batches):
-            for batch in _parts(batches):
-                ids, _, sparse, dense = scorer(batch)
+            for ids, _, sparse, dense in scorer(batches):
                 yield _batch([(q, int(ids[k]), float(sparse[k, q]), float(dense[k, q])) for k in np.flatnonzero(np.isin(ids, every)) for q, w in wanted.items() if int(ids[k]) in w], _OWN)
 
         have: dict[int, list] = {}
@@ -193,8 +191,7 @@ class Ranker:
 
         def count(batches):
             total = {q: np.zeros((2, len(x)), np.int64) for q, x in have.items()}
-            for batch in _parts(batches):
-                ids, member, sparse, dense = scorer(batch)
+            for ids, member, sparse, dense in scorer(batches):
                 for q in have:
                     i = member[:, q]
                     for way, score in enumerate((sparse, dense)):

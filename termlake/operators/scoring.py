@@ -86,11 +86,16 @@ def context_weight(category: Column, contexts: Column) -> Column:
     return F.when(total > 0, F.least(total, F.lit(3.0))).otherwise(1.0)
 
 
-def surfacing_order(findings: DataFrame, contexts: str = "context") -> DataFrame:
-    """Adds place: by weight, impact and severity, ties in catalogue order."""
+def surfacing_keys(contexts: Column) -> list[Column]:
+    """What findings are shown by, ascending: weight, impact and severity, the highest first."""
     impact = F.coalesce("irp_score", lookup(catalog.SEVERITY_FALLBACK, F.col("severity"), 0.5))
     rank = lookup({s: k for k, s in enumerate(catalog.SEVERITIES, 1)}, F.col("severity"), 0)
-    w = Window.partitionBy("doc_id").orderBy(context_weight(F.col("category"), F.col(contexts)).desc(), impact.desc(), rank.desc(), "ord")
+    return [-context_weight(F.col("category"), contexts), -impact, -rank]
+
+
+def surfacing_order(findings: DataFrame, contexts: str = "context") -> DataFrame:
+    """Adds place: by weight, impact and severity, ties in catalogue order."""
+    w = Window.partitionBy("doc_id").orderBy(*surfacing_keys(F.col(contexts)), "ord")
     return findings.withColumn("place", F.row_number().over(w))
 
 
@@ -173,10 +178,16 @@ def parse_model_findings(answers: DataFrame, jurisdictions: list[str] | None = c
 
 def model_finding_filter(model: DataFrame, codes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept findings, (doc_id, dropped)): what has no legal basis goes and counts, what has no jurisdiction or none of `codes` goes."""
+    based, kept = kept_of_model(codes)
+    return model.filter(kept), model.filter(~based).groupBy("doc_id").agg(F.count("*").alias("dropped"))
+
+
+def kept_of_model(codes: list[str] | None = None) -> tuple[Column, Column]:
+    """(whether a model finding has a legal basis, whether it is kept)."""
     based = F.coalesce(F.size("legal_basis"), F.lit(0)) > 0
     claims = F.coalesce(F.size("jurisdictions"), F.lit(0)) > 0
     wanted = F.arrays_overlap("jurisdictions", F.array(*map(F.lit, codes))) if codes else F.lit(True)
-    return model.filter(based & claims & wanted), model.filter(~based).groupBy("doc_id").agg(F.count("*").alias("dropped"))
+    return based, based & claims & wanted
 
 
 def merge_findings(rules: DataFrame, model: DataFrame) -> DataFrame:
@@ -203,7 +214,7 @@ def merge_findings(rules: DataFrame, model: DataFrame) -> DataFrame:
     )
 
 
-def _squash(c) -> Column:
+def squash(c) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", ""))
 
 
@@ -222,12 +233,12 @@ def validation(findings: DataFrame, docs: DataFrame, place: str = "ord") -> Data
     Issues name the finding's number in the order of `place`. A document without findings has confidence 0 and one issue.
     """
     numbered = findings.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy(place)))
-    text = docs.select("doc_id", _squash("text").alias("_text"), line_count(F.col("text")).alias("_lines"))
+    text = docs.select("doc_id", squash("text").alias("_text"), line_count(F.col("text")).alias("_lines"))
     f = numbered.join(text, "doc_id")
     flag = lambda c: F.coalesce(c, F.lit(False))
     none = flag(F.coalesce("excerpt", F.lit("")) == "")
     has_text = flag(F.length("_text") > 0)
-    covered = has_text & ~none & flag(F.contains("_text", _squash("excerpt")))
+    covered = has_text & ~none & flag(F.contains("_text", squash("excerpt")))
     problems = [  # (is one, its words, flags a hallucination)
         (none, "missing excerpt", True),
         (flag((F.col("line_start") < 1) | (F.col("line_end") < 1) | (F.col("line_start") > F.col("line_end"))), "has invalid line numbers", True),

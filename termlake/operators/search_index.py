@@ -1,18 +1,14 @@
 """A written index of chunks, and exact BM25 that reads the part of it that can matter.
 
-write_index() tokenises every chunk once and writes three tables:
-
-* chunks: id, code, length, vector, distinct words and their counts;
-* words: how many chunks of a code hold a word, for the statistics of any pool of codes;
-* postings: a word's chunks in blocks. A block has one level of impact (24 steps, the best first) and one hash range of
-  chunk ids, some 4,096 chunks at most, so a word that all chunks have is spread over as many rows as it needs. Its most
-  occurrences and its least length per occurrence bound its scores for any mean length, that is, for any pool.
-
-A manifest tells format, counts, vector size and the codes; open_index() holds the tables against it.
-
-A search reads, for each query, the best levels of its words down to a depth at which what lies below can't make a chunk
-one of the k best any more: the bounds of all unread levels add up to less than the k-th best sum already known to be
-reached. Chunks that were met are completed from the blocks of their own hash range only. Scores are exact.
+write_index() tokenises every chunk once, in tasks that turn some thousand chunks each into one row of an inverted index
+(`batches`): for each word its chunks in blocks of one level of impact, the best first, with the most occurrences and the
+least length per occurrence of a block. These two bound a block's scores for any mean length, that is, for any pool of
+chunks. Nothing is shuffled, and a word that all chunks have is in every batch with as many entries as the batch has
+chunks. `words` tells how many chunks of a code hold a word, for the statistics of pools; a manifest tells format, counts,
+codes and vector size, and open_index() holds the tables against it.
+
+A search takes one batch after the other. For each query it reads its words' blocks by falling bound until what is unread
+adds up to less than the query's k-th best score so far; chunks that were met and may still reach it are looked up for all words. Scores are exact and don't depend on what was read. Equal scores are never cut.
 """
 
 from __future__ import annotations
@@ -29,8 +25,14 @@ from ..functions.text import words
 
 FORMAT = "1"
 LEVELS = 24
-_CHUNKS = "chunk_id long, code string, vector array<float>, len int, words array<string>, tfs array<int>"
-#: Sums and bounds are compared with this much room, as sums of doubles and rounded scores differ in the last digits.
+#: Columns of a batch, each an array: of its chunks, its words (word i has blocks first[i] to first[i + 1]), its blocks, their entries.
+_BATCH = {
+    "chunk_id": pa.int64(), "code": pa.string(), "len": pa.int32(), "size": pa.int32(), "vectors": pa.float32(),
+    "words": pa.string(), "first": pa.int32(), "most": pa.int32(), "least": pa.float64(), "entry": pa.int32(), "docs": pa.int32(), "tfs": pa.int32(),
+}
+_DDL = ", ".join(f"{c} array<{ {pa.int64(): 'long', pa.string(): 'string', pa.int32(): 'int', pa.float32(): 'float', pa.float64(): 'double'}[t]}>" for c, t in _BATCH.items())
+_HITS = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+#: Bounds are compared with this much room, as scores are rounded and sums of doubles differ in their last digits.
 ROOM = 1e-3
 
 
@@ -39,67 +41,108 @@ def okapi_idf(df, n):
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """chunk_id, code, vector, len, words (distinct), tfs of chunks(chunk_id, text, jurisdiction, vector); null text has no words."""
-
-    def count(batches):
-        for batch in batches:
-            lists = batch.column("w")
-            flat, sizes = lists.flatten().dictionary_encode(), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
-            kinds = max(1, len(flat.dictionary))
-            cell, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + np.asarray(flat.indices, np.int64), return_counts=True)
-            row, word = np.divmod(cell, kinds)
-            ptr = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk_id"), batch.column("code"), batch.column("vector"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ptr, flat.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(ptr, pa.array(tf.astype(np.int32)))],
-                ["chunk_id", "code", "vector", "len", "words", "tfs"],
-            )
-
-    cut = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("jurisdiction").alias("code"), F.col("vector").cast("array<float>").alias("vector"), words(F.coalesce("text", F.lit(""))).alias("w"))
-    return cut.mapInArrow(count, _CHUNKS)
-
-
 def impact(tf, length, mean: float, k1: float, b: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
-def write_index(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, block: int = 4096) -> SearchIndex:
-    """Writes the index of chunks(chunk_id, text, jurisdiction, vector) below path."""
+def invert(table: pa.Table, k1: float, b: float) -> pa.RecordBatch:
+    """One batch of chunks as a row of the index."""
+    lists = table["w"].combine_chunks()
+    n, lengths = len(lists), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
+    flat = lists.flatten().dictionary_encode()
+    kinds = flat.dictionary
+    order = np.asarray(pc.array_sort_indices(kinds))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    cell, tf = np.unique(rank[np.asarray(flat.indices, np.int64)] * max(1, n) + np.repeat(np.arange(n), lengths), return_counts=True)
+    word, doc = np.divmod(cell, max(1, n))
+    score = impact(tf, lengths[doc], max(1.0, lengths.mean() if n else 1.0), k1, b)
+    level = np.clip((LEVELS * (1 - score / (k1 + 1))).astype(np.int64), 0, LEVELS - 1)
+    by = np.lexsort((doc, level, word))
+    word, doc, tf, level = word[by], doc[by], tf[by], level[by]
+    start = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (level[1:] != level[:-1])])) if len(word) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(tf, start) if len(start) else start
+    least = np.minimum.reduceat(lengths[doc] / tf, start) if len(start) else np.zeros(0)
+    vectors = table["vector"].combine_chunks()
+    parts = [
+        table["chunk_id"].combine_chunks(), table["code"].combine_chunks(), lengths, pc.list_value_length(vectors).fill_null(0), vectors.flatten(),
+        kinds.take(pa.array(order)), np.searchsorted(word[start], np.arange(len(order) + 1)), most, least, np.append(start, len(word)), doc, tf,
+    ]
+    cols = [pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p.cast(t) if isinstance(p, pa.Array) else pa.array(p).cast(t)) for p, t in zip(parts, _BATCH.values(), strict=True)]
+    return pa.RecordBatch.from_arrays(cols, list(_BATCH))
+
+
+def write_index(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, batch: int = 1024, tokens: int = 2_000_000) -> SearchIndex:
+    """Writes the index of chunks(chunk_id, text, jurisdiction, vector) below path; a batch has at most so many chunks, and is closed at so many tokens."""
     spark = chunks.sparkSession
-    counted(chunks).write.parquet(f"{path}/chunks")
-    have = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
-    stats = have.groupBy("code").agg(F.count("*").alias("n"), F.sum("len").alias("total"), F.count("vector").alias("n_vectors"), F.max(F.size("vector")).alias("size")).collect()  # a row for each code
-    n, n_vectors = sum(r["n"] for r in stats), sum(r["n_vectors"] for r in stats)
-    mean = sum(r["total"] or 0 for r in stats) / n if n else 1.0
-    have.select("code", F.explode("words").alias("word")).groupBy("code", "word").agg(F.count("*").alias("df")).write.parquet(f"{path}/words")
-    each = have.select("chunk_id", "code", "len", F.explode(F.arrays_zip("words", "tfs")).alias("p")).select("chunk_id", "code", "len", F.col("p.words").alias("word"), F.col("p.tfs").alias("tf"))
-    level = F.least(F.lit(LEVELS - 1), F.floor(LEVELS * (1 - impact(F.col("tf"), F.col("len"), mean or 1.0, k1, b) / (k1 + 1)))).cast("int")
-    # hash ranges: a power of two, so many that a block of a word has about `block` chunks
-    df = spark.read.parquet(f"{path}/words").groupBy("word").agg(F.sum("df").alias("df")).filter(F.col("df") > block)
-    parts = df.select("word", F.pow(F.lit(2), F.ceil(F.log2(F.col("df") / block))).cast("long").alias("parts"))
-    dealt = each.join(parts, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    key = ["word", "parts", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).alias("part"), level.alias("level")]
-    blocks = dealt.groupBy(*key).agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min(F.col("len") / F.col("tf")).alias("least"), F.collect_list(F.struct("chunk_id", "tf", "len", "code")).alias("entries"))
-    blocks.sortWithinPartitions("word", "level").write.parquet(f"{path}/postings")
-    codes = [(r["code"], r["n"], r["total"] or 0) for r in stats]
-    row = (FORMAT, n, n_vectors, max((r["size"] for r in stats if r["n_vectors"]), default=0), k1, b, codes)
+
+    def build(parts):
+        held, n, size = [], 0, 0
+        for part in parts:
+            lengths = np.asarray(pc.list_value_length(part.column("w")).fill_null(0), np.int64)
+            at = 0
+            while at < part.num_rows:
+                # rows that fit: the batch's rest, up to the one that fills it with tokens
+                full = int(np.searchsorted(np.cumsum(lengths[at:]) + size, tokens)) + 1
+                to = min(part.num_rows, at + min(batch - n, full))
+                held.append(part.slice(at, to - at))
+                n, size, at = n + to - at, size + int(lengths[at:to].sum()), to
+                if n >= batch or size >= tokens:
+                    yield invert(pa.Table.from_batches(held), k1, b)
+                    held, n, size = [], 0, 0
+        if n:
+            yield invert(pa.Table.from_batches(held), k1, b)
+
+    def frequencies(parts):
+        for part in parts:
+            for row in rows_of(part):
+                codes = row["code"].dictionary_encode(null_encoding="encode")
+                kinds, code = codes.dictionary, np.asarray(codes.indices, np.int64)
+                word = np.repeat(np.arange(len(row["words"])), np.diff(row["entry"][row["first"]]))
+                cell, df = np.unique(word * max(1, len(kinds)) + code[row["docs"]], return_counts=True)
+                word, code = np.divmod(cell, max(1, len(kinds)))
+                yield pa.RecordBatch.from_arrays([kinds.take(pa.array(code)), row["words"].take(pa.array(word)), pa.array(df)], ["code", "word", "df"])
+
+    cut = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("jurisdiction").alias("code"), F.col("vector").cast("array<float>").alias("vector"), words(F.coalesce("text", F.lit(""))).alias("w"))
+    cut.mapInArrow(build, _DDL).write.parquet(f"{path}/batches")
+    have = spark.read.schema(_DDL).parquet(f"{path}/batches")
+    have.mapInArrow(frequencies, "code string, word string, df long").groupBy("code", "word").agg(F.sum("df").alias("df")).write.parquet(f"{path}/words")
+    stats = _codes(have)
+    row = (FORMAT, sum(r["n"] for r in stats), sum(r["n_vectors"] for r in stats), max((r["size"] for r in stats), default=0), k1, b, [(r["code"], r["n"], r["total"]) for r in stats])
     spark.createDataFrame([row], "format string, n_chunks long, n_vectors long, size int, k1 double, b double, codes array<struct<code:string,n:long,total:long>>").coalesce(1).write.parquet(f"{path}/manifest")
     return SearchIndex(spark, path)
 
 
+def _codes(batches: DataFrame) -> list:
+    """A row for each code of the chunks: n, total length, n_vectors, largest and smallest vector."""
+    each = batches.select(F.explode(F.arrays_zip("code", "len", "size")).alias("c")).select("c.*")
+    of = F.when(F.col("size") > 0, F.col("size"))
+    return each.groupBy("code").agg(F.count("*").alias("n"), F.sum("len").alias("total"), F.count(of).alias("n_vectors"), F.coalesce(F.max(of), F.lit(0)).alias("size"), F.min(of).alias("smallest")).collect()
+
+
+def rows_of(part: pa.RecordBatch):
+    """The batches of a record batch: numpy arrays, but strings as Arrow arrays."""
+    for i in range(part.num_rows):
+        out = {}
+        for c, t in _BATCH.items():
+            x = part.column(c).slice(i, 1).flatten()
+            out[c] = x if pa.types.is_string(t) else x.to_numpy()
+        yield out
+
+
 def check_index(spark: SparkSession, path: str) -> str | None:
     """What is wrong with the index at path, or None."""
     m = spark.read.parquet(f"{path}/manifest").collect()
     if len(m) != 1 or m[0]["format"] != FORMAT:
         return "formats differ"
-    have = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
-    sizes = have.agg(F.count("*").alias("n"), F.count("vector").alias("n_vectors"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most"), F.sum(F.size("words")).alias("entries")).first()
-    if (sizes["n"], sizes["n_vectors"]) != (m[0]["n_chunks"], m[0]["n_vectors"]):
+    batches = spark.read.schema(_DDL).parquet(f"{path}/batches")
+    stats = _codes(batches)
+    if (sum(r["n"] for r in stats), sum(r["n_vectors"] for r in stats)) != (m[0]["n_chunks"], m[0]["n_vectors"]):
         return "counts differ"
-    if sizes["n_vectors"] == sizes["n"] > 0 and (sizes["least"], sizes["most"]) != (m[0]["size"], m[0]["size"]):
+    if m[0]["n_vectors"] and {r["size"] for r in stats if r["n_vectors"]} | {r["smallest"] for r in stats if r["n_vectors"]} != {m[0]["size"]}:
         return "vector sizes differ"
-    told = [spark.read.parquet(f"{path}/{t}").agg(F.sum(c)).first()[0] for t, c in (("words", "df"), ("postings", F.size("entries")))]
-    if len({sizes["entries"] or 0, *(x or 0 for x in told)}) > 1:
+    entries = batches.agg(F.sum(F.size("docs"))).first()[0]
+    if (entries or 0) != (spark.read.parquet(f"{path}/words").agg(F.sum("df")).first()[0] or 0):
         return "postings differ"
     return None
 
@@ -117,10 +160,9 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         m = spark.read.parquet(f"{path}/manifest").first()
-        self.k1, self.b = m["k1"], m["b"]
+        self.k1, self.b, self.n = m["k1"], m["b"], m["n_chunks"]
         self.codes = {r["code"]: (r["n"], r["total"]) for r in m["codes"]}
-        self.chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
-        self.words, self.postings = (spark.read.parquet(f"{path}/{t}") for t in ("words", "postings"))
+        self.batches, self.words = spark.read.schema(_DDL).parquet(f"{path}/batches"), spark.read.parquet(f"{path}/words")
 
     def pool(self, codes: list[str] | None) -> frozenset:
         """The codes of the chunks that a query with these codes looks at; empty: all of them, also where no chunk has its codes."""
@@ -150,120 +192,130 @@ class SearchIndex:
 
     def bm25_top(self, queries: DataFrame, k: int, digits: int = 6, most_queries: int = 1000) -> DataFrame:
         """query_id, chunk_id, score, rank: the k chunks of the best BM25 score of each query of queries(query_id, text, codes) in its pool."""
-        return Search(self, queries, most_queries).top(k, digits)
+        block = Block(self, queries, most_queries)
+
+        def search(parts):
+            searcher = Searcher(block, k, digits)
+            for part in parts:
+                for row in rows_of(part):
+                    searcher(row)
+            yield searcher.answers()
+
+        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+        found = self.batches.mapInArrow(search, "query_id long, chunk_id long, score double")
+        return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
-class Search:
-    """One block of queries against an index."""
+class Block:
+    """One block of queries: words, pools and weights, without a reference to Spark, to be sent to tasks."""
 
     def __init__(self, index: SearchIndex, queries: DataFrame, most_queries: int = 1000):
-        self.index, spark = index, index.spark
         asked = queries.select("query_id", "codes", words(F.coalesce("text", F.lit(""))).alias("words")).limit(most_queries + 1).collect()
         if len(asked) > most_queries:
             raise ValueError(f"a block holds {most_queries} queries at most; deal them first")
-        self.ids = [r["query_id"] for r in asked]
+        self.ids, self.k1, self.b = [r["query_id"] for r in asked], index.k1, index.b
         of = [index.pool(r["codes"]) for r in asked]
         self.pools = sorted(set(of), key=lambda p: sorted(map(str, p)))
-        self.pool = [self.pools.index(p) for p in of]
-        self.n, self.mean = index.sizes(self.pools)
+        self.pool = np.array([self.pools.index(p) for p in of], np.int64)
+        self.mean = index.sizes(self.pools)[1]
         times = {(q, w): c for q, r in enumerate(asked) for w, c in Counter(r["words"]).items()}
-        idf = index.weights(self.pools, {(self.pool[q], w) for q, w in times})
-        self.weight = {(q, w): c * idf[self.pool[q], w] for (q, w), c in times.items() if (self.pool[q], w) in idf}
-
-    def _bounds(self) -> dict:
-        """(query, word): [(level, chunks, bound)] in order; the bound of a level is that of the best chunk any pool could have in it."""
-        kinds = self.index.spark.createDataFrame([(w,) for w in sorted({w for _, w in self.weight})], "word string")
-        tops = self.index.postings.join(F.broadcast(kinds), "word").groupBy("word", "level").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"), F.max("parts").alias("parts"))
-        by_word: dict[str, list] = {}
-        for r in tops.orderBy("level").collect():  # LEVELS rows for each word of a block of queries at most
-            by_word.setdefault(r["word"], []).append(r)
-        self.parts = {w: rows[0]["parts"] for w, rows in by_word.items()}
-        out, k1, b = {}, self.index.k1, self.index.b
-        for (q, w), weight in self.weight.items():
-            mean, rows, worst = self.mean[self.pool[q]], by_word.get(w, []), 0.0
-            levels = []
-            for r in reversed(rows):  # so that bounds fall with the level
-                worst = max(worst, (k1 + 1) / (1 + k1 * (1 - b) / r["most"] + k1 * b * r["least"] / mean))
-                levels.append((r["level"], r["n"], max(0.0, weight * worst)))  # a word of negative weight lifts no chunk
-            out[q, w] = levels[::-1]
-        return out
-
-    def _steps(self) -> dict[int, list[tuple[float, str, int, int, float]]]:
-        """For each query (fall of the bound for a chunk read, word, depth, chunks, fall): the words' depths worth reading to, best first.
-
-        A word's own steps are the corners of the convex hull of its bounds over the chunks read, so they come in order.
-        """
-        out: dict[int, list] = {}
-        for (q, w), levels in self.bounds.items():
-            n, bound = [0], [levels[0][2] if levels else 0.0]
-            for i, (_, c, _) in enumerate(levels):
-                n.append(n[-1] + c)
-                bound.append(levels[i + 1][2] if i + 1 < len(levels) else 0.0)
-            at = 0
-            while at < len(levels):
-                slope, to = max(((bound[at] - bound[d]) / (n[d] - n[at]), d) for d in range(at + 1, len(n)))
-                out.setdefault(q, []).append((slope, w, to, n[to] - n[at], bound[at] - bound[to]))
-                at = to
-        return {q: sorted(x, key=lambda s: (-s[0], s[1], s[2])) for q, x in out.items()}
-
-    def _depths(self, least: list[float], enough: int = 0) -> dict[tuple[int, str], int]:
-        """{(query, word): last level that is read}: until the bound of what is unread falls below the query's threshold or, where it has none, `enough` chunks are held."""
-        out = {}
-        for q, steps in self.steps.items():
-            left, held = sum(x[4] for x in steps), 0
-            for _, w, to, n, fall in steps:
-                if left < least[q] - ROOM if least[q] else held >= enough > 0:
-                    break
-                out[q, w], held, left = self.bounds[q, w][to - 1][0], held + n, left - fall
-        return out
-
-    def _entries(self, plan: DataFrame) -> DataFrame:
-        """q, chunk_id, word, score: entries of the plan's blocks with their part of the score."""
-        blocks = self.index.postings.join(F.broadcast(plan), "word").filter(F.col("level") <= F.col("to"))  # a row for each word of a block of queries
-        each = blocks.select("q", "pool", "word", "weight", F.explode("entries").alias("e"))
-        allowed = F.element_at(F.array(*[F.array(*map(F.lit, sorted(p))).cast("array<string>") for p in self.pools]), F.col("pool") + 1)
-        return each.filter((F.size(allowed) == 0) | F.array_contains(allowed, F.col("e.code"))).select("q", F.col("e.chunk_id").alias("chunk_id"), "word", self._score(F.col("e.tf"), F.col("e.len")))
-
-    def _score(self, tf, length):
-        mean = F.element_at(F.array(*[F.lit(float(m)) for m in self.mean]), F.col("pool") + 1)
-        return (F.col("weight") * impact(tf, length, mean, self.index.k1, self.index.b)).cast("decimal(28,12)").alias("score")
-
-    def _plan(self, depths: dict[tuple[int, str], int]) -> DataFrame:
-        return self.index.spark.createDataFrame([(q, self.pool[q], w, float(self.weight[q, w]), z) for (q, w), z in depths.items()], "q int, pool int, word string, weight double, to int")
-
-    def top(self, k: int, digits: int = 6) -> DataFrame:
-        """query_id, chunk_id, score, rank of the k best chunks of each query that share a word with it."""
-        spark = self.index.spark
-        names = spark.createDataFrame(list(enumerate(self.ids)), "q int, query_id long")
-        self.bounds = self._bounds()
-        self.steps, least = self._steps(), [0.0] * len(self.ids)
-        self.read, self.total = 0, sum(n for levels in self.bounds.values() for _, n, _ in levels)
-        place = Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")
-        sums = self._entries(self._plan(self._depths(least, 40 * k + 200))).groupBy("q", "chunk_id").agg(F.sum("score").alias("score"))
-        # k chunks reach the k-th best sum so far, but for what words of negative weight may take from them
-        taken = [0.0] * len(self.ids)
-        for (q, _), w in self.weight.items():
-            taken[q] += max(0.0, -w) * (self.index.k1 + 1)
-        for r in sums.withColumn("place", F.row_number().over(place)).filter(F.col("place") == k).select("q", F.col("score").cast("double").alias("score")).collect():
-            least[r["q"]] = max(0.0, r["score"] - taken[r["q"]])
-        depth = self._depths(least)
-        self.read = sum(n for x, d in depth.items() for level, n, _ in self.bounds[x] if level <= d)
-        met = self._entries(self._plan(depth)).groupBy("q", "chunk_id").agg(F.sum("score").alias("score"), F.collect_set("word").alias("seen"))
-        # what a chunk may still gain: words it wasn't met in, from the levels that were not read
-        rest: dict[int, list] = {q: [] for q in range(len(self.ids))}
-        for (q, w), levels in self.bounds.items():
-            if unread := [x for x in levels if x[0] > depth.get((q, w), -1)]:
-                rest[q].append((w, float(self.weight[q, w]), unread[0][0], float(unread[0][2]), self.parts[w]))
-        open_ = spark.createDataFrame([(q, self.pool[q], float(least[q]), x) for q, x in rest.items()], "q int, pool int, least double, rest array<struct<word:string,weight:double,from:int,bound:double,parts:long>>")
-        met = met.join(F.broadcast(open_), "q").withColumn("rest", F.filter("rest", lambda x: ~F.array_contains("seen", x["word"])))  # a row for each query
-        most = F.col("score").cast("double") + F.aggregate("rest", F.lit(0.0), lambda a, x: a + x["bound"])
-        near = met.filter((F.col("least") == 0) | (most >= F.col("least") - ROOM)).select("q", "pool", "chunk_id", "score", "rest")
-        want = near.select("q", "pool", "chunk_id", F.explode("rest").alias("r")).select("q", "pool", "chunk_id", "r.*").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
-        # only blocks of the hash ranges of wanted chunks are read for these words
-        blocks = self.index.postings.join(want.select("word", "part").distinct(), ["word", "part"], "left_semi")
-        hit = blocks.select("word", "level", F.explode("entries").alias("e")).select("word", "level", F.col("e.chunk_id").alias("chunk_id"), F.col("e.tf").alias("tf"), F.col("e.len").alias("len"))
-        more = want.join(hit, ["word", "chunk_id"]).filter(F.col("level") >= F.col("from")).select("q", "chunk_id", self._score(F.col("tf"), F.col("len")))
-        total = more.unionByName(near.select("q", "chunk_id", "score")).groupBy("q", "chunk_id").agg(F.sum("score").alias("score"))
-        total = total.filter("score <> 0").withColumn("score", F.round(F.col("score").cast("double"), digits))
-        best = total.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-        return best.join(F.broadcast(names), "q").select("query_id", "chunk_id", "score", "rank")  # a row for each query
+        idf = index.weights(self.pools, {(int(self.pool[q]), w) for q, w in times})
+        weight = {(q, w): c * idf[self.pool[q], w] for (q, w), c in times.items() if (self.pool[q], w) in idf}
+        self.vocabulary = sorted({w for _, w in weight})
+        at = {w: k for k, w in enumerate(self.vocabulary)}
+        own: dict[int, list] = {}
+        for (q, w), x in sorted(weight.items()):
+            own.setdefault(q, []).append((at[w], x))
+        self.terms = [np.array([t for t, _ in own.get(q, [])], np.int64) for q in range(len(asked))]
+        self.weights = [np.array([x for _, x in own.get(q, [])], np.float64) for q in range(len(asked))]
+
+    def members(self, codes: pa.Array) -> np.ndarray:
+        """(pool, chunk): whether the chunk belongs to the pool."""
+        return np.array([np.ones(len(codes), bool) if not p else np.asarray(pc.is_in(codes, value_set=pa.array(sorted(p), pa.string()))) for p in self.pools]).reshape(len(self.pools), len(codes))
+
+    def places(self, kinds: pa.Array) -> np.ndarray:
+        """Where each word of the vocabulary stands among a batch's words, or -1."""
+        return np.asarray(pc.index_in(pa.array(self.vocabulary, pa.string()), value_set=kinds).fill_null(-1), np.int64)
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of the ranges, the range of each)."""
+    size = last - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size), of
+
+
+class Searcher:
+    """The best k chunks of each query over the batches it is given; counts entries that the queries' words have, and those read."""
+
+    def __init__(self, block: Block, k: int, digits: int = 6):
+        self.block, self.k, self.digits = block, k, digits
+        self.least = np.full(len(block.ids), -np.inf)
+        self.kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(block.ids)
+        self.read = self.told = 0
+
+    def __call__(self, batch: dict) -> None:
+        block, n = self.block, len(batch["chunk_id"])
+        at, members = block.places(batch["words"]), block.members(batch["code"])
+        first, entry, docs, tfs, lengths = (batch[c].astype(np.int64) for c in ("first", "entry", "docs", "tfs", "len"))
+        key = np.repeat(np.repeat(np.arange(len(first) - 1), np.diff(first)), np.diff(entry)) * n + docs
+        order = np.argsort(key)  # by word and chunk
+        key, tf_of = key[order], tfs[order]
+        for q, (terms, weights) in enumerate(zip(block.terms, block.weights, strict=True)):
+            here = at[terms] >= 0
+            if not here.any():
+                continue
+            word, weight, mean = at[terms[here]], weights[here], block.mean[block.pool[q]]
+            blocks, of = ranges(first[word], first[word + 1])
+            bound = np.maximum(0.0, weight[of] * (block.k1 + 1) / (1 + block.k1 * (1 - block.b) / batch["most"][blocks] + block.k1 * block.b * batch["least"][blocks] / mean))
+            # the bound of a word's blocks from this one on: each reading lowers the word's bound to that of the next block
+            place = np.arange(len(blocks)) - np.concatenate([[0], np.cumsum(np.bincount(of))[:-1]])[of]
+            grid = np.zeros((len(word), int(place.max()) + 2))
+            grid[of, place] = bound
+            grid = np.maximum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
+            order = np.lexsort((place, of, -grid[of, place]))
+            total, left, sizes = grid[:, 0].sum(), grid[:, 0].sum() - np.cumsum((grid[of, place] - grid[of, place + 1])[order]), np.diff(entry)[blocks]
+            self.told += int(sizes.sum())
+
+            def exact(near):
+                """Scores, taken from all words in their order, so that they don't depend on what was read."""
+                wanted = word[:, None] * n + near  # noqa: B023
+                spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)  # noqa: B023
+                tf = np.where(key[spot] == wanted, tf_of[spot], 0)  # noqa: B023
+                value = weight[:, None] * impact(np.maximum(tf, 1), lengths[near], mean, block.k1, block.b) * (tf > 0)  # noqa: B023
+                return np.round(value.sum(axis=0), self.digits)
+
+            def met(chosen):
+                """(sums of the blocks' entries, whether a chunk of the pool was met)."""
+                e, j = ranges(entry[blocks[chosen]], entry[blocks[chosen] + 1])  # noqa: B023
+                score = weight[of[chosen][j]] * impact(tfs[e], lengths[docs[e]], mean, block.k1, block.b)  # noqa: B023
+                seen = np.zeros(n, bool)  # noqa: B023
+                seen[docs[e]] = True
+                return np.bincount(docs[e], score, n), seen & members[block.pool[q]]  # noqa: B023
+
+            if not np.isfinite(self.least[q]):
+                # no threshold yet: that of the chunks in the blocks with the highest bounds, some times k of them
+                some = np.flatnonzero(met(order[: int(np.searchsorted(np.cumsum(sizes[order]), 8 * self.k)) + 1])[1])
+                if len(some) >= self.k:
+                    self.least[q] = np.sort(exact(some))[-self.k]
+            enough = np.flatnonzero(left < self.least[q] - ROOM)
+            n_read = 0 if total < self.least[q] - ROOM else int(enough[0]) + 1 if len(enough) else len(blocks)
+            if not n_read:
+                continue
+            self.read += int(sizes[order[:n_read]].sum())
+            sums, seen = met(order[:n_read])
+            near = np.flatnonzero(seen & (sums + (left[n_read - 1] if n_read < len(blocks) else 0.0) >= self.least[q] - ROOM))
+            if len(near):
+                self.offer(q, batch["chunk_id"][near], exact(near))
+
+    def offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        a, s = np.concatenate([self.kept[q][0], ids]), np.concatenate([self.kept[q][1], scores])
+        top = np.lexsort((a, -s))[: self.k]
+        self.kept[q] = a[top], s[top]
+        if len(top) == self.k:
+            self.least[q] = max(self.least[q], s[top[-1]])
+
+    def answers(self) -> pa.RecordBatch:
+        q = np.concatenate([np.full(len(a), i) for i, (a, _) in enumerate(self.kept)] or [np.zeros(0)]).astype(np.int64)
+        ids, scores = (np.concatenate([x[j] for x in self.kept] or [np.zeros(0)]) for j in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(self.block.ids, pa.int64()).take(pa.array(q)), pa.array(ids, pa.int64()), pa.array(scores)], schema=_HITS)

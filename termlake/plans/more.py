@@ -175,8 +175,7 @@ placed AS (SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id ORDER
 SELECT doc_id, category, place::INT AS place FROM placed""")
 def e1_findings(spark, d):
     """The findings of whole analyses in the order in which they are shown."""
-    found, _ = analysis.merged_findings(views.policies(spark, d), views.model_findings(spark, d))
-    return found.select("doc_id", "category", "place")
+    return analysis.merged_findings(views.policies(spark, d), views.model_findings(spark, d)).select("doc_id", "category", "place")
 
 
 def _batches(spark, d):

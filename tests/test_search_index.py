@@ -43,7 +43,7 @@ def corpus():
 @pytest.fixture(scope="module")
 def index(spark, corpus, tmp_path_factory):
     df = spark.createDataFrame([(*r, None) for r in corpus], "chunk_id long, text string, jurisdiction string, vector array<double>")
-    return search_index.write_index(df, str(tmp_path_factory.mktemp("index") / "one"), block=16)
+    return search_index.write_index(df, str(tmp_path_factory.mktemp("index") / "one"), batch=64)
 
 
 QUERIES = [
@@ -63,14 +63,14 @@ def test_answers_are_exact(spark, index, corpus, k):
         assert [x for x, _ in got[i]] == [x for x, _ in want], i
         assert np.allclose([s for _, s in got[i]], [s for _, s in want], atol=1e-5)
     with pytest.raises(ValueError, match="at most"):
-        search_index.Search(index, q, most_queries=2)
+        search_index.Block(index, q, most_queries=2)
 
 
 def test_words_that_count_against_a_chunk(spark, tmp_path):
     """The mean over the vocabulary is negative, so frequent words have negative weights."""
     rows = [(i, " ".join(["a", "b", "c"][: 1 + i % 3] + (["d"] if i in (4, 7) else [])), None) for i in range(30)]
     df = spark.createDataFrame([(*r, None) for r in rows], "chunk_id long, text string, jurisdiction string, vector array<double>")
-    index = search_index.write_index(df, str(tmp_path / "index"), block=8)
+    index = search_index.write_index(df, str(tmp_path / "index"), batch=8)
     for text in ("a b d", "a c", "d"):
         got = index.bm25_top(spark.createDataFrame([(1, text, None)], "query_id long, text string, codes array<string>"), 4).orderBy("rank").collect()
         assert [(r["chunk_id"], r["score"]) for r in got] == ranking(rows, text, [], 4)
@@ -81,14 +81,16 @@ def test_little_is_read(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join([*["the", "of"] * int(rng.integers(1, 4)), *(f"r{x}" for x in rng.integers(0, 300, 12))]), None) for i in range(1500)]
     df = spark.createDataFrame([(*r, None) for r in rows], "chunk_id long, text string, jurisdiction string, vector array<double>")
-    index = search_index.write_index(df, str(tmp_path / "index"), block=100)
-    search = search_index.Search(index, spark.createDataFrame([(1, "the r5 of r9 r77", None)], "query_id long, text string, codes array<string>"))
-    got = [(r["chunk_id"], r["score"]) for r in search.top(3).orderBy("rank").collect()]
+    index = search_index.write_index(df.coalesce(1), str(tmp_path / "index"), batch=500)
+    search = search_index.Searcher(search_index.Block(index, spark.createDataFrame([(1, "the r5 of r9 r77", None)], "query_id long, text string, codes array<string>")), 3)
+    for part in index.batches.toArrow().to_batches():
+        for row in search_index.rows_of(part):
+            search(row)
     want = ranking(rows, "the r5 of r9 r77", [], 3)
-    assert [i for i, _ in got] == [i for i, _ in want]
-    assert search.read < 0.15 * search.total
-    largest = index.postings.agg(F.max(F.size("entries"))).first()[0]
-    assert largest <= 200 and index.postings.filter("word = 'the'").select("part").distinct().count() >= 15
+    assert search.kept[0][0].tolist() == [i for i, _ in want]
+    assert search.read < 0.25 * search.told
+    # a batch has no more entries of a word than chunks
+    assert index.batches.count() == 3
 
 
 def test_opened_index_and_guard(spark, tmp_path):
@@ -104,7 +106,7 @@ def test_opened_index_and_guard(spark, tmp_path):
     assert search_index.check_index(spark, path) is None
     spark.read.parquet(f"{path}/words").limit(1).write.mode("append").parquet(f"{path}/words")
     assert search_index.check_index(spark, path) == "postings differ"
-    spark.read.parquet(f"{path}/chunks").limit(1).write.mode("append").parquet(f"{path}/chunks")
+    spark.read.parquet(f"{path}/batches").limit(1).write.mode("append").parquet(f"{path}/batches")
     assert search_index.check_index(spark, path) == "counts differ"
     with pytest.raises(ValueError, match="manifest"):
         search_index.open_index(spark, path)
