@@ -15,11 +15,20 @@ from termlake.llm import decontam, near_dups, pieces, quality, repeats
 from termlake.llm.common import materialize
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model rejects go."""
-    rejected = quality.judged(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    i, k = fresh(docs, "rejected_id"), fresh(docs, "rejected_key")
+    rejected = quality.judged(docs).filter("not kept").select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col(i)) & (key == F.col(k)), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,24 +36,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = near_dups.near_duplicates(docs, width=5, percent=80, bands=25, rows=5).filter("not kept").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
     # of rows that repeat a doc_id with another text, the one with the smallest hash of its values stays, on every run
-    mark = F.xxhash64(*docs.columns)
-    least = kept.groupBy("doc_id").agg(F.min(mark).alias("_least"))
-    known = kept.join(least, "doc_id").filter(mark == F.col("_least")).dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    mark, name = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), fresh(docs, "least_mark")
+    least = kept.groupBy("doc_id").agg(F.min(mark).alias(name))
+    known = kept.join(least, "doc_id").filter(mark == F.col(name)).dropDuplicates(["doc_id"])
+    return known.select([F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes and more that occurred before are cut out of the texts."""
-    struck = repeats.remove_repeats(docs, length=100, as_text=True).select("doc_id", F.col("kept").alias("_text"))
-    text = F.coalesce("_text", "text")
-    return docs.join(struck, "doc_id", "left").withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text"))).withColumn("text", text).select(docs.columns)
+    name = fresh(docs, "struck_text")
+    struck = repeats.remove_repeats(docs, length=100, as_text=True).select("doc_id", F.col("kept").alias(name))
+    left = {"text": F.coalesce(name, "text"), "n_chars": F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length(name))}
+    return docs.join(struck, "doc_id", "left").select(*[left.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth stands in the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = decontam.contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
