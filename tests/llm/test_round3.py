@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from termlake.llm import language_id, prefix_trie, queries, ranked_search
 from termlake.llm.ordered import in_parts, neighbours, running
 
@@ -238,3 +239,22 @@ def test_blocks_are_skipped_and_nothing_is_lost():
         want = sorted((-v, i) for i, v in enumerate(s.tolist()) if v > 0)[:10]
         assert [(-v, i) for i, v in zip(*(y.tolist() for y in searcher.best.kept[q]))] == want
     assert 0 < searcher.read < 0.6 * searcher.told
+
+
+# --- pipeline -----------------------------------------------------------------------------------
+def test_stages_take_any_column_name(spark):
+    names = ["_id", "_key", "_least", "_text", "rejected_id", "REJECTED_KEY", "least_mark", "struck_text", "kept", "a.b", "component_id", "posterior"]
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(1, base), (2, base + " more"), (3, "short"), (4, " ".join(f"v{k}" for k in range(90)))]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        table = table.withColumn(n, F.lit(n))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, SF)
+        if name == "sentencepiece":
+            assert out.count() == 4
+            continue
+        assert out.columns == table.columns, name
+        assert all(r[n] == n for r in out.collect() for n in names), name
+        if name != "quality_rules":  # four rows say nothing of how rules agree
+            assert {r["doc_id"] for r in out.collect()} == ({1, 3, 4} if name == "near_duplicates" else {1, 2, 3, 4}), name
