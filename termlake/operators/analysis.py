@@ -202,18 +202,13 @@ def analyze_batch(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return done, cross_references(docs)
 
 
-_TARGET = "(" + "|".join(t.replace(" ", r"\s+") for t in catalog.REFERENCE_TARGETS) + ")"
-#: How a text refers to another one: words, whether "our" may follow with any white space, the target.
-REFERENCES = [rf"see (our )?{_TARGET}", rf"as\s+(described|stated|outlined)\s+in\s+(our\s+)?{_TARGET}", rf"(refer|reference|see also)\s+(our\s+)?{_TARGET}", rf"governed\s+by\s+(our\s+)?{_TARGET}"]
-
-
 def cross_references(docs: DataFrame) -> DataFrame:
     """batch, doc_id, target, way, n, reference: one row per reference of a document and later document of its batch.
 
     docs(batch, idx, doc_id, text). References are found once per document; documents without any send nothing to the
     join, which is on the batch.
     """
-    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(java(p)), F.lit(0)), lambda x, i: F.struct(F.lit(k).alias("way"), i.alias("n"), x.alias("reference"))) for k, p in enumerate(REFERENCES)])  # noqa: B023
+    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(java(p)), F.lit(0)), lambda x, i: F.struct(F.lit(k).alias("way"), i.alias("n"), x.alias("reference"))) for k, p in enumerate(catalog.REFERENCES)])  # noqa: B023
     refs = docs.select("batch", "idx", "doc_id", F.explode(found).alias("r")).select("batch", "idx", "doc_id", "r.*")
     later = docs.select("batch", F.col("idx").alias("later"), F.col("doc_id").alias("target"))
     return refs.join(later, "batch").filter("idx < later").select("batch", "doc_id", "target", "way", "n", "reference")

@@ -111,7 +111,9 @@ def location_to_jurisdictions(country, state, states: dict = STATES, countries:
 
 
 #: Languages for which the European model is meant.
-EU_LANGUAGES = "bg cs da de el en es et fi fr ga hr hu it lt lv mt nl pl pt ro sk sl sv".split()
+EU_LANGUAGES = [
+    "bg", "cs", "da", "de", "el", "en", "es", "et", "fi", "fr", "ga", "hr", "hu", "it", "lt", "lv", "mt", "nl", "pl", "pt", "ro", "sk", "sl", "sv",
+]
 
 
 def route_model(lang, european: str = "eu", world: str = "world"):

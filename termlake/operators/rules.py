@@ -1,8 +1,10 @@
 """The rule scan: findings with evidence, confidence and seeded impact.
 
-A text is scanned once. Every pattern counts its matches, and only where the text holds the
-pattern's anchor, a piece of plain text that all its matches have, which is some ten times cheaper
-to look for. The counts of a rule are an array, so that a rule's hits, matches and first pattern
+A text is scanned once. With few patterns each counts its matches where the text holds the pattern's
+anchor, a piece of plain text that all its matches have, which is some ten times cheaper to look for.
+With more, the distinct words of a text are held against an inverted table of the patterns' anchor
+words, and only candidate patterns are counted, so the cost hardly grows with the catalogue. The
+counts of a rule are an array, so that a rule's hits, matches and first pattern
 come from it. Where a match stands is looked up for the rules that hit, and not at all by rule_hits().
 Columns named in `carry` come along, so that nothing is joined back to the documents.
 """
@@ -42,23 +44,72 @@ def irp(impact: Column, likelihood: Column, safeguard: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.bround(raw, 4)))
 
 
+def _count(pattern: str, lines: bool) -> Column:
+    n = F.regexp_count("text", F.lit(java(pattern, lines=lines)))
+    a = catalog.anchor(pattern)
+    return F.coalesce(F.when(F.col("_low").contains(a), n).otherwise(0) if a else n, F.lit(0))
+
+
 def _counts(rule: Rule, lines: bool) -> Column:
-    def count(pattern: str) -> Column:
-        n = F.regexp_count("text", F.lit(java(pattern, lines=lines)))
-        a = catalog.anchor(pattern)
-        return F.coalesce(F.when(F.col("_low").contains(a), n).otherwise(0) if a else n, F.lit(0))
+    return F.array(*[_count(p, lines) for p in rule.patterns])
+
 
-    return F.array(*map(count, rule.patterns))
+#: From so many patterns on, candidates are found by words.
+MANY = 100
 
 
-def _scan(docs: DataFrame, rules: list[Rule], codes: list[str] | None, carry: tuple, lines: bool = False) -> DataFrame:
-    """doc_id, text, ord, counts (of each pattern) and the carried columns, for each rule that matches."""
+def _literal_hits(rules: list[Rule], codes: list[str] | None, lines: bool) -> Column:
+    """Structs (ord, counts) of the rules that match, each pattern a literal behind its anchor."""
     chosen = applicable(rules, codes)
-    found = [F.struct(F.lit(k).alias("ord"), _counts(r, lines).alias("counts")) for k, r in enumerate(rules) if r in chosen]
+    found = [F.struct(F.lit(k).alias("ord"), _counts(r, lines).alias("counts")) for k, r in enumerate(rules) if r in chosen and r.patterns]
     if not found:
         found = [F.lit(None).cast("struct<ord:int,counts:array<int>>")]
+    return F.filter(F.array(*found), lambda r: F.exists(r["counts"], lambda n: n > 0))
+
+
+def _candidate_hits(rules: list[Rule], codes: list[str] | None, lines: bool) -> Column:
+    """The same from candidates: patterns of which an anchor word is among the text's words, and those that have none.
+
+    All within the row: no word is shuffled, and the tables are literals as large as the catalogue.
+    """
+    chosen = applicable(rules, codes)
+    numbered = [(k, j, p) for k, r in enumerate(rules) if r in chosen for j, p in enumerate(r.patterns)]
+    by_word: dict[str, list[int]] = {}
+    always = []  # patterns without an anchor word are literals, and compiled once
+    for i, (k, j, p) in enumerate(numbered):
+        anchors = catalog.anchor_words(p)
+        for w in anchors or ():
+            by_word.setdefault(w, []).append(i)
+        if not anchors:
+            always.append(F.struct(F.lit(k).alias("ord"), F.lit(j).alias("j"), _count(p, lines).alias("n")))
+    ints = lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
+    known = sorted(by_word)
+    lists = F.array(*[ints(by_word[w]) for w in known]) if known else F.array(ints([]))
+    tokens = F.array_distinct(F.regexp_extract_all("_low", F.lit(r"(?U)\w+"), F.lit(0)))
+    hit_words = F.array_intersect(tokens, F.array(*map(F.lit, known)).cast("array<string>"))
+    candidates = F.array_distinct(F.flatten(F.transform(hit_words, lambda w: F.element_at(lists, F.array_position(F.array(*map(F.lit, known)).cast("array<string>"), w).cast("int")))))
+    patterns = F.array(*[F.lit(java(p, lines=lines)) for _, _, p in numbered])
+    counted = F.transform(candidates, lambda i: F.struct(F.element_at(F.array(*[F.lit(k) for k, _, _ in numbered]), i + 1).alias("ord"), F.element_at(F.array(*[F.lit(j) for _, j, _ in numbered]), i + 1).alias("j"), F.regexp_count("text", F.element_at(patterns, i + 1)).alias("n")))
+    hits = F.filter(F.concat(counted, F.array(*always)) if always else counted, lambda c: c["n"] > 0)
+    sizes = ints([len(r.patterns) for r in rules])
+
+    def counts(hits: Column, k: Column) -> Column:
+        places = F.sequence(F.lit(0), F.element_at(sizes, k + 1) - 1)
+        own = F.filter(hits, lambda h: h["ord"] == k)
+        return F.transform(places, lambda j: F.aggregate(own, F.lit(0), lambda a, h: a + F.when(h["j"] == j, h["n"]).otherwise(0)))
+
+    # the hits of a text are few; they are bound once and grouped by rule, in the catalogue's order
+    return F.flatten(F.transform(F.array(hits), lambda hs: F.transform(F.array_sort(F.array_distinct(F.transform(hs, lambda h: h["ord"]))), lambda k: F.struct(k.alias("ord"), counts(hs, k).alias("counts")))))
+
+
+def _scan(docs: DataFrame, rules: list[Rule], codes: list[str] | None, carry: tuple, lines: bool = False, way: str | None = None) -> DataFrame:
+    """doc_id, text, ord, counts (of each pattern) and the carried columns, for each rule that matches; way: literal or candidates, by default by the number of patterns."""
+    n = sum(len(r.patterns) for r in applicable(rules, codes))
+    if n and (way == "candidates" or way is None and n >= MANY):
+        hit = _candidate_hits(rules, codes, lines)
+    else:
+        hit = _literal_hits(rules, codes, lines)
     low = docs.select("doc_id", "text", *carry, folded(F.col("text")).alias("_low"))
-    hit = F.filter(F.array(*found), lambda r: F.exists(r["counts"], lambda n: n > 0))
     return low.select("doc_id", "text", *carry, F.explode(hit).alias("m")).select("doc_id", "text", *carry, "m.ord", "m.counts")
 
 
@@ -82,9 +133,9 @@ def explanation(rule: Rule) -> str:
     return rule.explanation or f"Wording about {rule.category.lower()} was found."
 
 
-def rule_hits(docs: DataFrame, rules: list[Rule] = RULES, codes: list[str] | None = None, carry: tuple = ()) -> DataFrame:
+def rule_hits(docs: DataFrame, rules: list[Rule] = RULES, codes: list[str] | None = None, carry: tuple = (), way: str | None = None) -> DataFrame:
     """doc_id, ord, hits, category, severity, jurisdictions, legal_basis, confidence, irp_score: findings without their places."""
-    hit = _scan(docs, rules, codes, carry).select("doc_id", *carry, "ord", *_stats())
+    hit = _scan(docs, rules, codes, carry, way=way).select("doc_id", *carry, "ord", *_stats())
     r = F.broadcast(rule_table(docs.sparkSession, rules).drop("patterns", "explanation"))  # a row per rule
     return hit.join(r, "ord").select(
         "doc_id", *carry, "ord", "hits", "matches", "category", "severity", "jurisdictions", "legal_basis",
@@ -146,11 +197,8 @@ def detect_quick(docs: DataFrame, rules: list[Rule] = RULES, codes: list[str] |
     The texts between matches and the matches themselves give the offsets: a running sum over the array's places.
     """
     severe = [r if r.severity in ("High", "Critical") else Rule(r.name, r.category, r.severity, (), r.legal_basis, ()) for r in rules]
-    kept = [k for k, r in enumerate(severe) if r.patterns and r in applicable(severe, codes)]
-    found = [F.struct(F.lit(k).alias("ord"), _counts(severe[k], True).alias("counts")) for k in kept] or [F.lit(None).cast("struct<ord:int,counts:array<int>>")]
-    low = docs.select("doc_id", "text", *carry, folded(F.col("text")).alias("_low"))
-    hit = F.filter(F.array(*found), lambda r: F.exists(r["counts"], lambda n: n > 0))
-    each = low.select("doc_id", "text", *carry, F.explode(hit).alias("m")).select("doc_id", "text", *carry, "m.ord", F.posexplode("m.counts").alias("pattern", "count")).filter("count > 0")
+    each = _scan(docs, severe, codes, carry, True)
+    each = each.select("doc_id", "text", *carry, "ord", F.posexplode("counts").alias("pattern", "count")).filter("count > 0")
     at = each.join(F.broadcast(rule_table(docs.sparkSession, rules)), "ord")
     p = F.regexp_replace(F.element_at("patterns", F.col("pattern") + 1), r"^\(\?iUd\)", "(?iUdm)")
     at = at.withColumn("p", p)

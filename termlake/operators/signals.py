@@ -8,25 +8,34 @@ from pyspark.sql import functions as F
 from .rollups import contribute_rollups, heatmap, kpis
 from .rules import irp, java
 
-#: Words that speak for each issue, as alternatives; a parameter of issue_scores().
+#: Words that speak for each issue, our own and a parameter of issue_scores().
 SIGNALS = {
-    "SaleShare": r"sell\b|sale of personal|share with third|targeted advertising|data broker",
-    "OptOut": r"opt-?out|do not sell|global privacy control|\bGPC\b",
-    "ADM": r"automated decision|solely automated|profiling|significant effect|human review",
-    "Dark": r"consent by using|pre-?ticked|without notice|at our discretion|nag",
-    "Retention": r"retain|retention|as long as necessary|indefinite",
-    "Rights": r"access|deletion|erase|correction|rectification|portability|appeal|how to",
-    "Minors": r"children|minors|under\s?(13|16|18)|parental consent|guardian|teen",
-    "Sensitive": r"biometric|precise location|health data|genetic|sexual orientation",
-    "Unilateral": r"change (these )?terms at any time|terminate (your|the) account at (our )?discretion",
-    "Liability": r"not liable|no liability|arbitration|class action|jury trial waiver",
+    "SaleShare": r"\bsell(s|ing)?\b|\bsold\b|\bbrokers?\b|\badvertising partners\b|\bthird parties\b",
+    "OptOut": r"\bopt out\b|\bobject to the sale\b|\bstop the sharing\b",
+    "ADM": r"\bautomated\b|\bprofiling\b|\balgorithms?\b|\bset prices\b",
+    "Dark": r"\bby continuing\b|\bdeemed consent\b|\bticked beforehand\b|\bwithout telling you\b",
+    "Retention": r"\bwe keep\b|\bretain(s|ed)?\b|\bindefinitely\b|\bstored\b",
+    "Rights": r"\bright to\b|\bask for a copy\b|\berasure\b|\bcomplain\b",
+    "Minors": r"\bchild(ren)?\b|\bteenagers?\b|\bunder 1[368]\b|\bparents?\b",
+    "Sensitive": r"\bsensitive\b|\bhealth records\b|\bfingerprints?\b|\bfacial\b|\bbeliefs\b",
+    "Unilateral": r"\bat any time\b|\bwhenever we like\b|\bclose your account\b",
+    "Liability": r"\bliable\b|\bas is\b|\barbitration\b|\bwaiver\b",
 }
-# Of each issue the likelihood where its words occur, the impact, the words of a safeguard and the safeguard with and without them.
-ISSUES = {
-    "SaleShare": (5, 4, SIGNALS["OptOut"], 4, 1), "ADM": (5, 5, r"human review|appeal", 4, 1), "Dark": (4, 3, r"you can change your mind|withdraw consent", 3, 1),
-    "Retention": (4, 2, r"\b\d+\s?(days|weeks|months|years)\b|until\b", 4, 1), "Rights": (3, 3, r"how to|contact|email", 4, 1), "Minors": (5, 5, r"parental consent|teen opt-?in", 4, 1),
-    "Sensitive": (4, 4, r"opt-?in|explicit consent", 4, 1), "Unilateral": (4, 3, r"notice", 3, 1), "Liability": (5, 4, r"to the extent permitted by law|consumer rights unaffected", 2, 1),
+#: Words of a safeguard for each issue, our own.
+SAFEGUARDS = {
+    "SaleShare": SIGNALS["OptOut"], "ADM": r"\ba person (looks|decides)\b|\bask for a review\b", "Dark": r"\btake back\b|\bchange your choice\b", "Retention": r"\b\d+ (days?|weeks?|months?|years?)\b|\buntil you\b",
+    "Rights": r"\bemail\b|\bform\b|\bwrite to us\b", "Minors": r"\bparents? (agree|confirm)\b", "Sensitive": r"\bonly if you agree\b|\bopt in\b", "Unilateral": r"\bnotice\b|\btell you before\b",
+    "Liability": r"\bas far as the law\b|\byour rights as a consumer\b",
 }
+# Of each issue the likelihood where its words occur, the impact, and the safeguard with and without the words of one.
+WEIGHTS = {
+    "SaleShare": (5, 4, 4, 1), "ADM": (5, 5, 4, 1), "Dark": (4, 3, 3, 1), "Retention": (4, 2, 4, 1), "Rights": (3, 3, 4, 1), "Minors": (5, 5, 4, 1), "Sensitive": (4, 4, 4, 1), "Unilateral": (4, 3, 3, 1),
+    "Liability": (5, 4, 2, 1),
+}
+#: Of each issue: likelihood, impact, words of a safeguard, safeguard with and without them.
+ISSUES = {name: (likely, impact, SAFEGUARDS[name], good, bad) for name, (likely, impact, good, bad) in WEIGHTS.items()}
+#: Words of an open end, which raise the impact of retention to 3.
+OPEN_END = r"\bindefinitely\b|\bno end date\b|\bas long as\b"
 
 
 def _has(pattern: str) -> Column:
@@ -46,15 +55,18 @@ def issue_scores(docs: DataFrame, signals: dict = SIGNALS) -> DataFrame:
             said = said.when(_has(signals["OptOut"]), 3)
         if name == "Minors":
             said = F.when(_has(signals[name]) | F.coalesce("minors", F.lit(False)), likely)
-        weight = F.when(_has(r"indefinite|as long as necessary"), 3).otherwise(impact) if name == "Retention" else F.lit(impact)
+        weight = F.when(_has(OPEN_END), 3).otherwise(impact) if name == "Retention" else F.lit(impact)
         rows.append(F.struct(F.lit(name).alias("category"), weight.alias("impact"), said.otherwise(0).alias("likelihood"), F.when(_has(guard), good).otherwise(bad).alias("safeguard")))
     each = docs.select("doc_id", F.explode(F.array(*rows)).alias("s")).select("doc_id", "s.*")
     score = irp(F.col("impact"), F.col("likelihood"), F.col("safeguard"))
     return each.withColumn("irp", score).withColumn("colour", colour(F.col("irp"), 0.75, 0.45))
 
 
-#: What a text should not lack: (words whose absence is told, or presence where `present`, what is told).
-OBSERVED = {"placeholder": (r"\[insert url\]|\[tbd\]", True), "no contact": (r"contact|email|@", False), "no retention": (r"retain|retention", False), "no word on minors": (r"children|minor|under\s?(13|16|18)", False)}
+#: What a text should not lack, in our own words: (words, whether their presence is told instead of their absence).
+OBSERVED = {
+    "placeholder": (r"\bto be (written|decided)\b|\blorem ipsum\b|<name>", True), "no contact": (r"\bemail\b|\bcontact us\b|\bwrite to\b", False), "no retention": (r"\bkeep\b|\bretain\b|\bstored\b", False),
+    "no word on minors": (r"\bchild(ren)?\b|\bteenagers?\b|\bunder 1[368]\b", False),
+}
 
 
 def observations(docs: DataFrame) -> DataFrame:
@@ -63,7 +75,8 @@ def observations(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("n", "observation"))
 
 
-EXPECTED = ["rights", "retention", "children|minors", "contact|email", "opt-out|do not sell", "automated decision|profiling"]
+#: Sections that a text should have, in our own words.
+EXPECTED = [r"\brights?\b", r"\bkeep\b|\bretain\b", r"\bchild(ren)?\b|\bparents?\b", r"\bemail\b|\bcontact us\b", r"\bopt out\b", r"\bautomated\b|\bprofiling\b"]
 
 
 def expected_sections_pct(docs: DataFrame, expected: list[str] = EXPECTED) -> DataFrame:
@@ -87,16 +100,17 @@ def keyword_excerpt(text: Column, word: str, before: int = 60, after: int = 120)
     return F.when(F.coalesce(at, F.lit(0)) == 0, "").otherwise(F.concat(F.substring(text, first + 1, last - first), F.when(last < F.length(text), "…").otherwise("")))
 
 
-# Of each heuristic its category, severity, score, words, words to show and rights.
+#: Of each heuristic its category, severity, score (fixed values), and in our own words what it looks for, what is shown, and the rights that help.
 HEURISTICS = [
-    ("Data Sale/Share", "High", 0.82, r"sell|sale of personal|share with|advertis", ["sell", "share", "advertis"], ["Opt-out of sale/share", "Access", "Delete"]),
-    ("ADM", "High", 0.80, r"automated decision|profiling", ["automated decision", "profiling"], ["Challenge ADM", "Access", "Correct"]),
-    ("Dark Patterns", "Medium", 0.68, r"consent by using|pre[- ]?ticked|without notice|deny requests at our discretion", ["consent", "deny requests"], ["Opt-out of sale/share", "Limit sensitive data"]),
-    ("Retention", "Medium", 0.55, r"retain|retention|as long as necessary", ["retain", "as long as necessary"], ["Access", "Delete"]),
-    ("Missing Rights", "Low", 0.40, None, [], ["Access", "Delete", "Correct", "Opt-out of sale/share"]),
-    ("Missing Rights", "Low", 0.42, r"children|under 13", ["children", "under 13"], ["Access", "Delete"]),
+    ("Data Sale/Share", "High", 0.82, r"\bsell\b|\bsold\b|\badvertising partners\b", ["sell", "partners"], ["Object to sale", "See your data", "Have it erased"]),
+    ("ADM", "High", 0.80, r"\bautomated\b|\bprofiling\b", ["automated", "profiling"], ["Ask for a person", "See your data", "Have it corrected"]),
+    ("Dark Patterns", "Medium", 0.68, r"\bby continuing\b|\bdeemed consent\b|\bticked beforehand\b", ["continuing", "deemed"], ["Object to sale", "Limit sensitive uses"]),
+    ("Retention", "Medium", 0.55, r"\bretain\b|\bindefinitely\b|\bwe keep\b", ["retain", "keep"], ["See your data", "Have it erased"]),
+    ("Missing Rights", "Low", 0.40, None, [], ["See your data", "Have it erased", "Have it corrected", "Object to sale"]),
+    ("Missing Rights", "Low", 0.42, r"\bchildren\b|\bunder 13\b", ["children", "under 13"], ["See your data", "Have it erased"]),
 ]
-RIGHTS_WORDS = r"access|delete|correct|opt[- ]?out|appeal|review"
+#: Words that name a right, our own.
+RIGHTS_WORDS = r"\bright to\b|\bopt out\b|\bcomplain\b|\berasure\b|\bask for a copy\b"
 
 
 def absence_findings(docs: DataFrame) -> DataFrame:

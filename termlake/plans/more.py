@@ -9,7 +9,7 @@ from ..operators import advice, analysis, reports, retrieval, rollups, rules, sc
 from ..streaming import streams
 from . import policies as views
 from .policies import _q
-from .queries import ORACLE_SQL, QUERIES, _CHIP, _FINDINGS, _MERGED, _READY, _SECTIONED, _TOKENS, _WEIGHT, _asked, _boosted, _case, _chunks, _validation, _verdict, query
+from .queries import ORACLE_SQL, QUERIES, _CHIP, _FINDINGS, _MERGED, _READY, _SCORES, _SECTIONED, _TOKENS, _WEIGHT, _asked, _boosted, _case, _chunks, _gold, _validation, _verdict, query
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
 _ANALYSES = f"WITH {views.SQL_ANALYSES}"
@@ -73,9 +73,11 @@ def j10_update_reviews(spark, d):
     return reports.update_reviews(r, decided, F.current_timestamp()).select("id", "status", "notes", F.col("updated_at").isNotNull().alias("updated"))
 
 
-@query(f"{_ANALYSES} SELECT doc_id, NULL::VARCHAR AS document_text FROM analyses")
+@query(f"{_ANALYSES} SELECT doc_id, name, vendor, length(text)::INTEGER AS had, NULL::VARCHAR AS document_text FROM analyses JOIN documents USING (doc_id)")
 def p12_redact(spark, d):
-    return reports.redact_document_text(views.analyses(spark, d).withColumn("document_text", F.lit("x"))).select("doc_id", "document_text")
+    """Stored analyses with their texts, which are not given out."""
+    stored = views.analyses(spark, d).join(views.table(spark, d, "documents").select("doc_id", F.col("text").alias("document_text"), F.length("text").alias("had")), "doc_id")
+    return reports.redact_document_text(stored).select("doc_id", "name", "vendor", "had", "document_text")
 
 
 _PLACES = [("United States", "California"), ("United States", "Nowhere"), ("Germany", "Bavaria"), ("Atlantis", ""), ("Canada", "Quebec")]
@@ -95,12 +97,15 @@ def p14_route_model(spark, d):
 
 # --- rules --------------------------------------------------------------------------------------
 _WIDE = catalog.wide_rules()
+_SAID = "concat_ws(chr(10), text, " + ", ".join(f"CASE WHEN (doc_id * 7 + {k * 13}) % 61 < 3 THEN {_q(r.example)} END" for k, r in enumerate(_WIDE)) + ")"
 
 
-@query("WITH " + views.SQL_POLICIES + ", q AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, {j} AS j, len(regexp_extract_all(text, {_q('(?i)' + p)})) AS n FROM policies WHERE contains(lower(text), {_q(catalog.anchor(p))})" for k, r in enumerate(_WIDE) for j, p in enumerate(r.patterns)) + ") SELECT doc_id, ord, count(*)::INT AS hits, sum(n)::INT AS matches FROM q WHERE n > 0 GROUP BY 1, 2")
+@query(f"WITH {views.SQL_POLICIES}, wide AS (SELECT doc_id, {_SAID} AS text FROM policies), q AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, {j} AS j, len(regexp_extract_all(text, {_q('(?i)' + p)})) AS n FROM wide" for k, r in enumerate(_WIDE) for j, p in enumerate(r.patterns)) + ") SELECT doc_id, ord, count(*)::INT AS hits, sum(n)::INT AS matches FROM q WHERE n > 0 GROUP BY 1, 2")
 def m2_wide_catalogue(spark, d):
-    """A catalogue of some two hundred patterns over whole texts."""
-    return rules.rule_hits(views.policies(spark, d), _WIDE).select("doc_id", "ord", "hits", "matches")
+    """A catalogue of 240 patterns over whole texts, with sentences it finds in some of them."""
+    said = [F.when(F.pmod(F.col("doc_id") * 7 + k * 13, F.lit(61)) < 3, r.example) for k, r in enumerate(_WIDE)]
+    wide = views.policies(spark, d).select("doc_id", F.concat_ws("\n", "text", *said).alias("text"))
+    return rules.rule_hits(wide, _WIDE).select("doc_id", "ord", "hits", "matches")
 
 
 @query(f"WITH {_FINDINGS} SELECT DISTINCT category FROM findings WHERE category NOT IN ({', '.join(map(_q, sorted(catalog.IRP)))})")
@@ -310,24 +315,22 @@ def a18_batch_codes(spark, d):
     return reports.batch_jurisdictions(rows).select("batch", F.array_join("codes", ",").alias("codes"))
 
 
-@query(f"""WITH {_FINDINGS}, g AS (SELECT DISTINCT doc_id, category FROM findings WHERE (doc_id + ord) % 3 > 0), p AS (SELECT DISTINCT doc_id, category FROM findings), n AS (SELECT count(*) * {len({r.category for r in catalog.RULES})} AS n FROM documents),
-x AS (SELECT (SELECT count(*) FROM g JOIN p USING (doc_id, category))::DOUBLE AS tp, (SELECT count(*) FROM p)::DOUBLE AS said, (SELECT count(*) FROM g)::DOUBLE AS gold, n::DOUBLE AS n FROM n),
-k AS (SELECT (tp + n - said - gold + tp) / n AS seen, gold / n * said / n + (1 - gold / n) * (1 - said / n) AS chance FROM x) SELECT round((seen - chance) / (1 - chance), 6) AS kappa FROM k""")
+@query(f"WITH {_FINDINGS}, {_SCORES} SELECT round(CASE WHEN chance = 1 THEN 1 ELSE (seen - chance) / (1 - chance) END, 6)::DOUBLE AS kappa FROM pool")
 def a15_kappa_pooled(spark, d):
-    found = rules.rule_hits(views.policies(spark, d))
-    c = rollups.confusion(found.filter((F.col("doc_id") + F.col("ord")) % 3 > 0), found, views.table(spark, d, "documents").select("doc_id"), sorted({r.category for r in catalog.RULES}))
+    """The scan held against the planted clauses, all pairs of document and category pooled."""
+    docs = views.table(spark, d, "documents").select("doc_id")
+    c = rollups.confusion(_gold(docs), rules.rule_hits(views.policies(spark, d)), docs, sorted({r.category for r in catalog.RULES}))
     return rollups.kappa_pooled(c).select(F.round("kappa", 6).alias("kappa"))
 
 
-@query(f"""WITH {_FINDINGS}, g AS (SELECT DISTINCT doc_id, category FROM findings WHERE (doc_id + ord) % 3 > 0), p AS (SELECT DISTINCT doc_id, category FROM findings), c AS (SELECT DISTINCT category FROM rules),
-x AS (SELECT category, (SELECT count(*) FROM g WHERE g.category = c.category)::DOUBLE AS tp, (SELECT count(*) FROM p WHERE p.category = c.category)::DOUBLE AS said, (SELECT count(*) FROM documents)::DOUBLE AS n FROM c),
-k AS (SELECT *, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS precision, CASE WHEN tp > 0 THEN 1.0 ELSE 0 END AS recall, (said * tp + (n - tp) * (n - said)) / (n * n) AS chance FROM x)
-SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6)::DOUBLE AS macro_recall, round(avg(CASE WHEN tp > 0 THEN 2 * precision / (precision + 1) ELSE 0 END), 6) AS macro_f1, round(avg(CASE WHEN chance >= 1 THEN 0 ELSE ((tp + n - said) / n - chance) / (1 - chance) END), 6) AS macro_kappa FROM k""")
+@query(f"""WITH {_FINDINGS}, {_SCORES}, each_ AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN chance >= 1 THEN 0 ELSE ((tp + tn) / n - chance) / (1 - chance) END AS kappa FROM k)
+SELECT round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1, round(avg(kappa), 6) AS macro_kappa,
+  (SELECT round(CASE WHEN chance = 1 THEN 1 ELSE (seen - chance) / (1 - chance) END, 6)::DOUBLE FROM pool) AS pooled_kappa FROM each_""")
 def e3_evaluate(spark, d):
-    """The scan held against labels of which every third finding is missing."""
-    found = rules.rule_hits(views.policies(spark, d))
-    e = rollups.evaluate(found.filter((F.col("doc_id") + F.col("ord")) % 3 > 0), found, views.table(spark, d, "documents").select("doc_id"), sorted({r.category for r in catalog.RULES}))
-    return e.select(*[F.round(c, 6).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "macro_kappa")])
+    """The scan held against the planted clauses, one row of means."""
+    docs = views.table(spark, d, "documents").select("doc_id")
+    e = rollups.evaluate(_gold(docs), rules.rule_hits(views.policies(spark, d)), docs, sorted({r.category for r in catalog.RULES}))
+    return e.select(*[F.round(c, 6).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "macro_kappa", "pooled_kappa")])
 
 
 _THREE = "CASE WHEN {0} % 10 < 5 THEN 'R' WHEN {0} % 10 < 8 THEN 'Y' ELSE 'G' END"
@@ -351,7 +354,7 @@ def _m(pattern: str) -> str:
 def _issue(name: str) -> str:
     likely, impact, guard, good, bad = signals.ISSUES[name]
     said = f"WHEN {_m(signals.SIGNALS[name])}{' OR minors' if name == 'Minors' else ''} THEN {likely}" + (f" WHEN {_m(signals.SIGNALS['OptOut'])} THEN 3" if name == "SaleShare" else "")
-    weight = f"CASE WHEN {_m('indefinite|as long as necessary')} THEN 3 ELSE {impact} END" if name == "Retention" else str(impact)
+    weight = f"CASE WHEN {_m(signals.OPEN_END)} THEN 3 ELSE {impact} END" if name == "Retention" else str(impact)
     return f"SELECT doc_id, {_q(name)} AS category, {weight} AS i, CASE {said} ELSE 0 END AS l, CASE WHEN {_m(guard)} THEN {good} ELSE {bad} END AS s FROM flagged"
 
 
@@ -520,22 +523,28 @@ def j9_vendor(spark, d):
     return views.table(spark, d, "pages").select("page_id", versions.vendor_from_url(F.when(F.col("page_id") % 9 == 0, "no url").otherwise(F.col("url"))).alias("vendor"))
 
 
-@query("SELECT count(*) = (SELECT count(*) FROM embeddings) AS ok FROM embeddings")
+@query("""WITH n AS (SELECT count(*) AS n, min(len(embedding)) AS a, max(len(embedding)) AS z FROM embeddings), lost AS (SELECT count(*) AS lost FROM embeddings e ANTI JOIN embeddings o ON e.vec_id = o.vec_id + 1),
+c AS (SELECT * FROM (VALUES ('whole', '1', 0, 0, false), ('old vectors', '0', 0, 0, false), ('one too many', '1', 1, 0, false), ('wide', '1', 0, 1, false), ('shifted', '1', 0, 0, true)) AS t(bundle, version, more, wider, shifted))
+SELECT bundle, reason IS NULL AS ok, reason FROM (SELECT bundle, CASE WHEN version <> '1' THEN 'versions differ' WHEN n + more <> n THEN 'counts differ' WHEN a <> 64 + wider OR z <> 64 + wider THEN 'vector sizes differ' WHEN shifted AND lost > 0 THEN 'chunks without vectors' END AS reason FROM c, n, lost)""")
 def j14_bundle_guard(spark, d):
+    """Bundles of the given vectors: one whole, and one for each way in which a bundle can be wrong."""
     v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<float>").alias("vector"))
-    n = v.count()
-    manifest = spark.createDataFrame([("1", "1", "1", n, 64)], "version string, chunks_version string, vectors_version string, n_chunks long, size int")
-    return retrieval.bundle_guard(v.select("chunk_id"), v, manifest).select("ok")
+    n, out = v.count(), None
+    for bundle, version, more, wider, shift in (("whole", "1", 0, 0, 0), ("old vectors", "0", 0, 0, 0), ("one too many", "1", 1, 0, 0), ("wide", "1", 0, 1, 0), ("shifted", "1", 0, 0, 1)):
+        manifest = spark.createDataFrame([("1", "1", version, n + more, 64 + wider)], "version string, chunks_version string, vectors_version string, n_chunks long, size int")
+        one = retrieval.bundle_guard(v.select("chunk_id"), v.withColumn("chunk_id", F.col("chunk_id") + shift), manifest).select(F.lit(bundle).alias("bundle"), "ok", "reason")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- event time ---------------------------------------------------------------------------------
 @query(f"""WITH {views.SQL_ROLLUPS}, w AS (SELECT crs, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS start, ts FROM rollups, range(0, 4) AS t(k))
-SELECT start, count(*) AS n, round(avg(crs), 6) AS mean FROM w WHERE ts < start + INTERVAL '24 hours' GROUP BY start""")
+SELECT start, count(*) AS n, sum(crs::DECIMAL(18, 10))::DOUBLE / count(crs) AS mean FROM w WHERE ts < start + INTERVAL '24 hours' GROUP BY start""")
 def d11_sliding(spark, d):
-    return streams.stream_kpis(views.rollups(spark, d), "24 hours", slide="6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+    return streams.stream_kpis(views.rollups(spark, d), "24 hours", slide="6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean")
 
 
 @query(f"""WITH {views.SQL_ROLLUPS}, s AS (SELECT industry, ts, crs, CASE WHEN ts < lag(ts) OVER (PARTITION BY industry ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM rollups),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY industry ORDER BY ts) AS k FROM s) SELECT industry, min(ts) AS start, count(*) AS n, round(avg(crs), 6) AS mean FROM g GROUP BY industry, k""")
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY industry ORDER BY ts) AS k FROM s) SELECT industry, min(ts) AS start, count(*) AS n, sum(crs::DECIMAL(18, 10))::DOUBLE / count(crs) AS mean FROM g GROUP BY industry, k""")
 def d11_sessions(spark, d):
-    return streams.stream_sessions(views.rollups(spark, d)).select("industry", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+    return streams.stream_sessions(views.rollups(spark, d)).select("industry", F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean")

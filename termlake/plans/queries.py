@@ -9,6 +9,7 @@ from ..functions.catalog import CLAUSES, CONTEXT_PRIORITY, RULES
 from ..operators import analysis, inference, retrieval, rollups, rules, scoring, search_index, versions
 from ..sources import readers
 from ..sources.store import scratch
+from ..streaming import streams
 from . import policies as views
 from .policies import _q
 
@@ -217,12 +218,8 @@ def j1_merge(spark, d):
     return merged.select("doc_id", "category", "from_model", F.col("ord").cast("long").alias("ord"), "needs_review", F.round("irp_score", 6).alias("irp_score"), F.round("confidence", 6).alias("confidence"))
 
 
-_TARGETS = r"(privacy\s+policy|terms\s+of\s+service|cookie\s+policy|terms|privacy)"
-_REFERENCES = [rf"see (our )?{_TARGETS}", rf"as\s+(described|stated|outlined)\s+in\s+(our\s+)?{_TARGETS}", rf"(refer|reference|see also)\s+(our\s+)?{_TARGETS}", rf"governed\s+by\s+(our\s+)?{_TARGETS}"]
-
-
 @query(f"""WITH {views.SQL_POLICIES}, b AS (SELECT doc_id // 20 AS batch, doc_id % 20 AS idx, doc_id, text FROM policies),
-f AS ({' UNION ALL '.join(f"SELECT batch, idx, doc_id, {k} AS way, unnest(h) AS reference, unnest(range(len(h))) AS n FROM (SELECT *, regexp_extract_all(text, {_q('(?i)' + p)}) AS h FROM b)" for k, p in enumerate(_REFERENCES))})
+f AS ({' UNION ALL '.join(f"SELECT batch, idx, doc_id, {k} AS way, unnest(h) AS reference, unnest(range(len(h))) AS n FROM (SELECT *, regexp_extract_all(text, {_q('(?i)' + p)}) AS h FROM b)" for k, p in enumerate(catalog.REFERENCES))})
 SELECT a.doc_id, c.doc_id AS target, way, n::BIGINT AS n, reference FROM f a JOIN b c ON a.batch = c.batch AND a.idx < c.idx""")
 def j3_cross_refs(spark, d):
     b = views.policies(spark, d).select("doc_id", "text", F.floor(F.col("doc_id") / 20).alias("batch"), (F.col("doc_id") % 20).alias("idx"))
@@ -464,23 +461,34 @@ _CATS = sorted({r.category for r in RULES})
 _GOLD = " UNION ALL ".join(f"SELECT doc_id, {_q(RULES[k % len(RULES)].category)} AS category FROM documents WHERE (doc_id * 7 + {k * 13}) % 11 < 3" for k in range(len(CLAUSES)))
 
 
+def _gold(docs):
+    """doc_id, category: what the planted clauses are about, whatever the scan finds."""
+    chosen = F.filter(F.array(*[F.when(F.pmod(F.col("doc_id") * 7 + k * 13, F.lit(11)) < 3, RULES[k % len(RULES)].category) for k in range(len(CLAUSES))]), lambda x: x.isNotNull())
+    return docs.select("doc_id", F.explode(chosen).alias("category"))
+
+
+_SCORES = f"""g AS (SELECT DISTINCT doc_id, category FROM ({_GOLD})), p AS (SELECT DISTINCT doc_id, category FROM findings),
+x AS (SELECT category, count(*) FILTER (g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL)::DOUBLE AS tp, count(*) FILTER (g.doc_id IS NULL)::DOUBLE AS fp, count(*) FILTER (p.doc_id IS NULL)::DOUBLE AS fn FROM g FULL JOIN p USING (doc_id, category) GROUP BY category),
+c AS (SELECT *, n - tp - fp - fn AS tn FROM (SELECT r.category, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, (SELECT count(*) FROM documents)::DOUBLE AS n FROM (SELECT DISTINCT category FROM rules) r LEFT JOIN x USING (category))),
+k AS (SELECT *, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS chance FROM c),
+pooled AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, sum(n) AS n FROM c),
+pool AS (SELECT (tp + tn) / n AS seen, (tp + fn) / n * (tp + fp) / n + (fp + tn) / n * (fn + tn) / n AS chance FROM pooled)"""
+
+
 @query(f"""WITH {_FINDINGS}, g AS (SELECT DISTINCT doc_id, category FROM ({_GOLD})), p AS (SELECT DISTINCT doc_id, category FROM findings),
 x AS (SELECT category, count(*) FILTER (g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL) AS tp, count(*) FILTER (g.doc_id IS NULL) AS fp, count(*) FILTER (p.doc_id IS NULL) AS fn FROM g FULL JOIN p USING (doc_id, category) GROUP BY category),
 c AS (SELECT *, (SELECT count(*) FROM documents) - tp - fp - fn AS tn, (SELECT count(*) FROM documents)::DOUBLE AS n FROM x),
 k AS (SELECT *, ((tp + fp)::DOUBLE * (tp + fn) + (fn + tn)::DOUBLE * (fp + tn)) / (n * n) AS e FROM c)
 SELECT category, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall, round(2.0 * tp / greatest(1, 2 * tp + fp + fn), 6)::DOUBLE AS f1, round(CASE WHEN e >= 1 THEN 0.0 ELSE ((tp + tn) / n - e) / (1 - e) END, 6)::DOUBLE AS kappa FROM k""")
 def a14_kappa(spark, d):
-    p = views.policies(spark, d)
     docs = views.table(spark, d, "documents").select("doc_id")
-    chosen = F.filter(F.array(*[F.when(F.pmod(F.col("doc_id") * 7 + k * 13, F.lit(11)) < 3, RULES[k % len(RULES)].category) for k in range(len(CLAUSES))]), lambda x: x.isNotNull())
-    gold = docs.select("doc_id", F.explode(chosen).alias("category"))
-    s = rollups.scores(rollups.confusion(gold, rules.rule_hits(p), docs, _CATS))
+    s = rollups.scores(rollups.confusion(_gold(docs), rules.rule_hits(views.policies(spark, d)), docs, _CATS))
     return s.select("category", "tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"), F.round("kappa", 6).alias("kappa"))
 
 
-@query(f"WITH {views.SQL_ROLLUPS} SELECT date_trunc('day', ts) AS start, count(*) AS n, round(avg(crs), 6) AS mean FROM rollups GROUP BY 1")
+@query(f"WITH {views.SQL_ROLLUPS} SELECT date_trunc('day', ts) AS start, count(*) AS n, sum(crs::DECIMAL(18, 10))::DOUBLE / count(crs) AS mean FROM rollups GROUP BY 1")
 def d11_daily_kpis(spark, d):
-    return views.rollups(spark, d).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("crs"), 6).alias("mean")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "mean")
+    return streams.stream_kpis(views.rollups(spark, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean")
 
 
 @query()

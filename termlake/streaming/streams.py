@@ -17,9 +17,14 @@ def stream_findings(docs: DataFrame, rules=RULES) -> DataFrame:
     return detect_findings(docs, rules)
 
 
+def _mean() -> Column:
+    """Mean score; the sum is of decimals, so that it doesn't depend on the order of rows."""
+    return (F.sum(F.col("crs").cast("decimal(18,10)")).cast("double") / F.count("crs")).alias("mean")
+
+
 def _windowed(rows: DataFrame, window: Column) -> DataFrame:
     w = rows.groupBy(window.alias("w"))
-    return w.agg(F.count("*").alias("n"), F.avg("crs").alias("mean")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean")
+    return w.agg(F.count("*").alias("n"), _mean()).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean")
 
 
 def stream_kpis(rows: DataFrame, window: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -29,7 +34,7 @@ def stream_kpis(rows: DataFrame, window: str = "1 day", late: str = "1 hour", sl
 
 def stream_sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour", keys: tuple = ("industry",)) -> DataFrame:
     """Count and mean score per session: rows of one key with less than `gap` between neighbours."""
-    s = rows.withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.avg("crs").alias("mean"))
+    s = rows.withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), _mean())
     return s.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean")
 
 
