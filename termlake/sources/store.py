@@ -1,11 +1,12 @@
-"""Where intermediate and kept tables go: below the folder that the session names in spark.checkpoint.dir."""
+"""Where intermediate tables go, and tables that are changed in place by buckets of their key."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,65 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class BucketedTable:
+    """A Parquet table whose rows lie in folders by a hash of their key, so that a change reads and rewrites only the folders it touches.
+
+    Writes go through Spark's dynamic partition overwrite: the folders of one change are staged and then replaced. Writing a
+    change again leaves the same rows. One writer at a time; there is no log of changes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def create(self, rows: DataFrame) -> None:
+        """Writes a new table; an error if there is one."""
+        self._write(rows.withColumn("bucket", self.bucket()), "errorifexists")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets of these keys; `buckets` numbers at most."""
+        return sorted(r[0] for r in keys.select(self.bucket().alias("bucket")).distinct().collect())
+
+    def of_buckets(self, buckets: list[int]) -> DataFrame:
+        """The rows of these buckets; the other folders aren't opened."""
+        return self.spark.read.parquet(self.path).filter(F.col("bucket").isin(buckets))
+
+    def change(self, keys: DataFrame, how) -> list[int]:
+        """Rewrites the buckets of the keys as how(their rows) tells; the buckets that were rewritten.
+
+        A bucket that is left without rows is emptied.
+        """
+        buckets = self.touched(keys)
+        if not buckets:
+            return []
+        old = self.of_buckets(buckets)
+        # the new rows are told before any folder is replaced
+        new = written(how(old.drop("bucket")).select(old.drop("bucket").columns).withColumn("bucket", self.bucket()), "change")
+        full = {r[0] for r in new.select("bucket").distinct().collect()}
+        if full:
+            self._write(new, "overwrite")
+        for b in set(buckets) - full:
+            self._empty(b)
+        return buckets
+
+    def upsert(self, rows: DataFrame) -> list[int]:
+        """Takes these rows in place of those with their keys, and adds the others; rows has one row a key and all columns."""
+        return self.change(rows, lambda old: old.join(rows.select(self.key), self.key, "left_anti").unionByName(rows.select(old.columns)))
+
+    def delete(self, keys: DataFrame) -> list[int]:
+        return self.change(keys, lambda old: old.join(keys.select(self.key), self.key, "left_anti"))
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        rows.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode(mode).parquet(self.path)
+
+    def _empty(self, bucket: int) -> None:
+        schema = self.spark.read.parquet(self.path).drop("bucket").schema
+        self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bucket={bucket}")
+

@@ -38,17 +38,25 @@ def stream_sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hou
     return s.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean")
 
 
-def stream_snapshots(stream: DataFrame, store: str, checkpoint: str):
+def stream_snapshots(stream: DataFrame, store: str, checkpoint: str, buckets: int = 64):
     """Appends snapshots whose (url, hash) the store never had; the store itself is the only state.
 
+    The store lies in folders by a hash of the url and by batch. A batch reads the folders of its own urls only, and
+    writes folders of its own number: when it is played again it replaces them, whatever of it was written before.
     An empty part is added first, so that there is a store to read, and a store that can't be read is an error and never taken for a new one.
     """
-    fields = stream.withColumn("content_hash", F.lit("")).select("url", "content_hash", *[c for c in stream.columns if c != "url"]).schema
-    stream.sparkSession.createDataFrame([], fields).write.mode("append").parquet(store)
-
-    def append(batch: DataFrame, _: int) -> None:
-        seen = batch.sparkSession.read.schema(fields).parquet(store)
-        dedup_snapshots(batch, seen).write.mode("append").parquet(store)
+    key = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    fields = stream.withColumn("content_hash", F.lit("")).select("url", "content_hash", *[c for c in stream.columns if c != "url"]).withColumns({"bucket": F.lit(-1), "batch": F.lit(-1).cast("long")}).schema
+    stream.sparkSession.createDataFrame([], fields).write.partitionBy("bucket", "batch").mode("append").parquet(store)
+
+    def append(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("bucket", key)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # as many as buckets at most
+        if not touched:
+            return
+        seen = batch.sparkSession.read.schema(fields).parquet(store).filter(F.col("bucket").isin(touched) & (F.col("batch") != number))
+        fresh = dedup_snapshots(rows, seen).withColumn("batch", F.lit(number).cast("long")).select(*fields.names)
+        fresh.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").mode("overwrite").parquet(store)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
