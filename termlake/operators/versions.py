@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +51,56 @@ def tokenize_with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("doc_id", (F.col("at") + 1).alias("line"), F.posexplode(F.regexp_extract_all("row", F.lit("(?U)" + TOKEN), F.lit(0))).alias("n", "token"))
 
 
+_ROLL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint32)
+
+
+def content_chunks(text: str | None) -> list[bytes]:
+    """The text in pieces of some 32 words that end at white space, where a hash of the eight bytes up to there says so.
+
+    Where a piece ends depends on what stands there only, so what two versions share is cut alike, wherever it moved.
+    """
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    h = np.zeros(len(raw), np.uint32)
+    for j, w in enumerate(_ROLL):
+        h[j:] += raw[: max(0, len(raw) - j)] * w
+    cuts = (np.flatnonzero(((raw == 0x20) | (raw == 0x0A)) & ((h * np.uint32(0x9E3779B1)) >> np.uint32(27) == 0)) + 1).tolist()
+    whole = raw.tobytes()
+    return [whole[i:j] for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True) if i < j]
+
+
+def changed_parts(pairs: DataFrame) -> DataFrame:
+    """url, version, old_part, new_part: pieces of the old and the new text that the other doesn't have, or not as often; pairs that share all pieces send nothing.
+
+    Pieces are compared within the row, so what didn't change goes no further.
+    """
+
+    def differ(batches):
+        for batch in batches:
+            url, version, *texts = (batch.column(c) for c in ("url", "version", "old_text", "text"))
+            rows, parts = [], ([], [])
+            for i, (old, new) in enumerate(zip(*(t.to_pylist() for t in texts), strict=True)):
+                a, b = Counter(content_chunks(old)), Counter(content_chunks(new))
+                less, more = (b"".join(x.elements()).decode() for x in (a - b, b - a))
+                if less or more:
+                    rows.append(i)
+                    parts[0].append(less)
+                    parts[1].append(more)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([url.take(at), version.take(at), *(pa.array(p, pa.string()) for p in parts)], ["url", "version", "old_part", "new_part"])
+
+    slim = pairs.select("url", F.col("version").cast("long").alias("version"), "old_text", "text").filter(~F.col("text").eqNullSafe(F.col("old_text")))
+    return slim.mapInArrow(differ, "url string, version long, old_part string, new_part string").withColumn("version", F.col("version").cast(pairs.schema["version"].dataType))
+
+
 def token_bag_diff(pairs: DataFrame) -> DataFrame:
     """url, version, token, delta, severity: tokens that a version has more or less of than the one before.
 
-    Pairs with equal texts send nothing.
+    Only tokens of changed_parts() are shuffled: pieces end at white space, which no token holds, so what both versions have
+    adds nothing to a difference.
     """
-    changed = pairs.filter(~F.col("text").eqNullSafe(F.col("old_text")))
-    tokens = lambda c: F.explode(F.regexp_extract_all(c, F.lit("(?U)" + TOKEN), F.lit(0)))
-    new = changed.select("url", "version", tokens("text").alias("token"), F.lit(1).alias("n"))
-    old = changed.select("url", "version", tokens("old_text").alias("token"), F.lit(-1).alias("n"))
-    delta = new.unionByName(old).groupBy("url", "version", "token").agg(F.sum("n").alias("delta")).filter("delta <> 0")
+    marked = changed_parts(pairs).select("url", "version", F.explode(F.array(F.struct(F.col("new_part").alias("part"), F.lit(1).alias("n")), F.struct(F.col("old_part").alias("part"), F.lit(-1).alias("n")))).alias("p"))
+    each = marked.select("url", "version", F.explode(F.regexp_extract_all("p.part", F.lit("(?U)" + TOKEN), F.lit(0))).alias("token"), "p.n")
+    delta = each.groupBy("url", "version", "token").agg(F.sum("n").alias("delta")).filter("delta <> 0")
     return delta.withColumn("severity", token_severity(F.lower("token")))
 
 
