@@ -3,15 +3,15 @@
 Rules look at a document's statistics and vote good (1), bad (-1) or abstain (0). Votes are
 counted per distinct pattern (at most 3 ** rules rows, whatever the corpus), and
 expectation-maximisation on that table estimates, for each rule and class, how often it votes good
-or bad. A document's posterior probability of being good, in
-which an abstaining rule has no say, then decides, instead of having to pass every rule.
+or bad. A document's posterior probability of being good, in which an abstaining rule has no say,
+then decides, instead of having to pass every rule.
 
 Words are runs of anything but ASCII white space. A word stands in a repeated window if a window
-of `window` words that covers it occurs at least twice in the text. Windows are compared by
-64-bit hash. Only texts that have such windows at all are exploded, keyed by document and hash.
+of `width` words that covers it occurs at least twice in the text. Windows are compared by 64-bit
+hash, within the document's row.
 
 Defined cases: null or blank text has no words, every count is 0 and it fails the base rule;
-repeated rows are judged each for itself; other columns pass through `apply_rules` untouched.
+repeated rows are judged each for itself; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ pre-tokens' counts. Three steps, none of which makes a token id:
    pre-tokens are counted once each.
 3. Counts are joined to the frequencies and summed per document.
 
-The table of step 2 holds rare pre-tokens only, so its join keys have no hot value.
+The table of step 2 holds what stands less than `repeats` times in a block. A pre-token that stands twice in every block
+still is one key with two rows a block; the counted side has one row for it, so the join can be split.
 Defined cases: null text counts as empty (0 bytes, 0 tokens); a repeated row gives a repeated
 result; a null doc_id stays null; other columns are ignored.
 """
