@@ -59,7 +59,7 @@ def scanned_classes(docs: DataFrame, quick: bool = False, rules: list[Rule] = RU
     known = texts.select(F.col("text_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), scoring.squash(F.coalesce("text", F.lit(""))).alias("_text"), scoring.line_count(F.coalesce("text", F.lit(""))).alias("_lines"))
     each = _rule_findings(known, quick, rules, codes, ("_text", "_lines"))
     found = each.groupBy(F.col("doc_id").alias("text_key")).agg(F.collect_list(_finding(*_checks(F.col("excerpt"), F.col("line_start"), F.col("line_end")))).alias("found"))
-    return texts.join(found, "text_key", "left").select("text_key", completeness(F.coalesce("text", F.lit(""))).alias("completeness"), F.coalesce(F.length(scoring.squash(F.col("text"))) > 0, F.lit(False)).alias("has_text"), "found")
+    return texts.join(found, "text_key", "left").select("text_key", completeness(F.coalesce("text", F.lit(""))).alias("completeness"), F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)).alias("has_text"), "found")
 
 
 def text_key(text: Column) -> Column:
