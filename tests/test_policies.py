@@ -18,9 +18,9 @@ SF = "/root/testdata/sf0.001"
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else round(v, 9) + 0.0
     if hasattr(v, "quantize"):
-        return round(float(v), 5)
+        return round(float(v), 9)
     if hasattr(v, "tzinfo"):
         return v.replace(tzinfo=None)
     return v

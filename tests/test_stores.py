@@ -102,3 +102,21 @@ def test_a_batch_played_again_changes_nothing(spark, tmp_path):
     streams.stream_snapshots(s(), store, str(tmp_path / "c"), 16).start().awaitTermination(120)
     assert len(rows()) == 61 and ("u5", "c", 9) in rows()
     assert len(rewritten(before, files(store)) - {"-1"}) == 1  # only u5's folder got a file
+
+
+def test_legacy_watches_in_place(spark, tmp_path):
+    now = F.lit("2024-01-01").cast("timestamp")
+    site = lambda c: F.concat(F.lit("https://site"), c.cast("string"), F.lit(".com"))
+    none = F.lit(None).cast("timestamp")
+    watch = spark.range(60).select("id", F.lit("own").alias("vendor"), site(F.col("id")).alias("source_url"), F.lit("New").alias("status"), F.lit(None).cast("string").alias("user_id"), F.lit(86400).alias("check_frequency"), F.lit(True).alias("enabled"), none.alias("created_at"))
+    legacy = spark.createDataFrame([(1, "https://site7.com", "u1", 600, "off"), (2, "https://new.org", "u2", 900, "yes"), (3, "", "u3", 1, "yes")], "id long, url string, user_id string, check_frequency int, enabled string").withColumn("created_at", none)
+    t = BucketedTable(spark, str(tmp_path / "w"), "source_url", 16)
+    t.create(watch)
+    before = files(t.path)
+    touched = rounds.take_over_legacy(t, legacy, now)
+    assert rewritten(before, files(t.path)) == {str(b) for b in touched} and len(touched) <= 2
+    key = lambda r: str(r["source_url"])
+    want = sorted(versions.merge_legacy_watch(legacy, watch, now)[0].select(watch.columns).collect(), key=key)
+    assert sorted(t.read().select(watch.columns).collect(), key=key) == want and len(want) == 61
+    rounds.take_over_legacy(t, legacy, now)
+    assert sorted(t.read().select(watch.columns).collect(), key=key) == want
