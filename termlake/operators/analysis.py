@@ -163,7 +163,8 @@ def analyze(docs: DataFrame, model: DataFrame | None = None, answers: DataFrame
     """One row per document of docs(doc_id, text, doc_type, industry, context), with findings, scores, verdict and advice.
 
     model: findings of a language model, as parse_model_findings() gives them; answers(doc_id, summary, overall_confidence).
-    doc_id tells documents apart; rows that repeat it are one document. Equal texts are scanned once.
+    doc_id tells documents apart; rows that repeat it are one document. Equal texts are scanned once. Without findings
+    there is null for them and for the domains.
     """
     rows = _ordered(docs, model, quick, rules, codes)
     if answers is not None:
@@ -189,8 +190,8 @@ def analyze(docs: DataFrame, model: DataFrame | None = None, answers: DataFrame
     return rows.select(
         "doc_id", "doc.doc_type", "doc.industry", "doc.context", F.lit("quick" if quick else "full").alias("mode"), scoring.review_status(F.col("confidence")).alias("status"), (F.col("confidence") < 0.8).alias("review_required"),
         "confidence", "risk_score", scoring.grade(F.col("risk_score")).alias("grade"), "completeness", "action_readiness", v["label"].alias("verdict_label"), v["headline"].alias("verdict_headline"),
-        n.cast("long").alias("n_findings"), *map(count, ("Critical", "High", "Medium", "Low")), "n_issues", "issues", F.transform(f, lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias("findings"),
-        top.alias("top_by_domain"), F.when(n > 0, lines).otherwise(F.array().cast("array<string>")).alias("action_items"), "summary",
+        n.cast("long").alias("n_findings"), *map(count, ("Critical", "High", "Medium", "Low")), "n_issues", "issues", F.when(n > 0, F.transform(f, lambda x: F.struct(*[x[c].alias(c) for c in shown]))).alias("findings"),
+        F.when(F.exists(f, lambda x: F.coalesce(x["category"].isin(list(catalog.DOMAINS)), F.lit(False))), top).alias("top_by_domain"), F.when(n > 0, lines).otherwise(F.array().cast("array<string>")).alias("action_items"), "summary",
     )
 
 
