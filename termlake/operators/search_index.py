@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.store import small_batches
 
 FORMAT = "1"
 LEVELS = 24
+#: Batches a file: a writer holds the rows of a file and a reader those of a file at once, however large they are, as both count rows.
+PER_FILE = 4
 #: Columns of a batch, each an array: of its chunks, its words (word i has blocks first[i] to first[i + 1]), its blocks, their entries.
 _BATCH = {
     "chunk_id": pa.int64(), "code": pa.string(), "len": pa.int32(), "size": pa.int32(), "vectors": pa.float32(),
@@ -72,9 +75,10 @@ def invert(table: pa.Table, k1: float, b: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, list(_BATCH))
 
 
-def write_index(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, batch: int = 1024, tokens: int = 2_000_000) -> SearchIndex:
+def write_index(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, batch: int = 1024, tokens: int = 500_000) -> SearchIndex:
     """Writes the index of chunks(chunk_id, text, jurisdiction, vector) below path; a batch has at most so many chunks, and is closed at so many tokens."""
     spark = chunks.sparkSession
+    small_batches(spark)
 
     def build(parts):
         held, n, size = [], 0, 0
@@ -104,7 +108,7 @@ def write_index(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75,
                 yield pa.RecordBatch.from_arrays([kinds.take(pa.array(code)), row["words"].take(pa.array(word)), pa.array(df)], ["code", "word", "df"])
 
     cut = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("jurisdiction").alias("code"), F.col("vector").cast("array<float>").alias("vector"), words(F.coalesce("text", F.lit(""))).alias("w"))
-    cut.mapInArrow(build, _DDL).write.parquet(f"{path}/batches")
+    cut.mapInArrow(build, _DDL).write.option("maxRecordsPerFile", PER_FILE).parquet(f"{path}/batches")
     have = spark.read.schema(_DDL).parquet(f"{path}/batches")
     have.mapInArrow(frequencies, "code string, word string, df long").groupBy("code", "word").agg(F.sum("df").alias("df")).write.parquet(f"{path}/words")
     stats = _codes(have)
@@ -159,6 +163,7 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        small_batches(spark)
         m = spark.read.parquet(f"{path}/manifest").first()
         self.k1, self.b, self.n = m["k1"], m["b"], m["n_chunks"]
         self.codes = {r["code"]: (r["n"], r["total"]) for r in m["codes"]}

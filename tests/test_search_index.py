@@ -117,3 +117,23 @@ def test_empty_index(spark, tmp_path):
     index = search_index.write_index(df, str(tmp_path / "index"))
     q = spark.createDataFrame([(1, "a", [])], "query_id long, text string, codes array<string>")
     assert index.bm25_top(q, 3).count() == 0 and search_index.check_index(spark, index.path) is None
+
+
+def test_files_and_slices_are_bounded(spark, corpus, index, tmp_path, monkeypatch):
+    """A file has few batches, and scoring takes fewer chunks at once where they have many words; the scores are the same."""
+    df = spark.createDataFrame([(*r, None) for r in corpus], "chunk_id long, text string, jurisdiction string, vector array<double>")
+    many = search_index.write_index(df.coalesce(1), str(tmp_path / "index"), batch=8)
+    per_file = [r["count"] for r in many.batches.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) > 1 and max(per_file) <= search_index.PER_FILE
+    q = spark.createDataFrame(QUERIES, "query_id long, text string, codes array<string>")
+    block, taken = search_index.Block(index, q), []
+    scorer = retrieval.Scorer(block, np.zeros((len(block.ids), 0)), 6)
+    parts = index.batches.toArrow().to_batches()
+    plain = retrieval.impact
+    monkeypatch.setattr(retrieval, "impact", lambda tf, *rest: (taken.append(len(tf)), plain(tf, *rest))[1])
+    wide, most_wide = list(scorer(parts)), max(taken)
+    taken.clear()
+    narrow = list(scorer(parts, cells=60 * len(block.ids)))
+    assert max(taken) <= 60 < most_wide
+    for one, other in zip(wide, narrow, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(one, other, strict=True))
