@@ -13,9 +13,13 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 def heatmap(rollups: DataFrame) -> DataFrame:
     """Mean score and sample count of each industry and jurisdiction on the axes; an empty cell is 0."""
-    axes = rollups.select("industry").distinct().crossJoin(rollups.select("jurisdiction").distinct())  # two short axes
     cells = rollups.groupBy("industry", "jurisdiction").agg(F.avg("crs").alias("mean"), F.count("*").alias("n"))
-    return axes.join(cells, ["industry", "jurisdiction"], "left").select("industry", "jurisdiction", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
+    # the roll-ups are read once: their cells, few, come as one row, and the axes are taken from it
+    one = cells.agg(F.collect_list(F.struct("industry", "jurisdiction", "mean", "n")).alias("cells"))
+    axis = lambda c: F.explode(F.array_distinct(F.transform("cells", lambda x: x[c]))).alias(c)
+    axes = one.select("cells", axis("industry")).select("cells", "industry", axis("jurisdiction"))
+    cell = F.get(F.filter("cells", lambda x: (x["industry"] == F.col("industry")) & (x["jurisdiction"] == F.col("jurisdiction"))), 0)
+    return axes.select("industry", "jurisdiction", F.coalesce(cell["mean"], F.lit(0.0)).alias("mean"), F.coalesce(cell["n"], F.lit(0)).alias("n"))
 
 
 def kpis(rollups: DataFrame, category: str = "category") -> DataFrame:

@@ -216,6 +216,22 @@ def test_reports(spark):
     assert reports.remove_items(r, r.filter("id = 1")).count() == 1
 
 
+def test_portfolio_reads_texts_once(spark, tmp_path):
+    """The same rows as by joined scores, an empty cell 0, one scan for the heat map."""
+    t = ["We sell data. Automated profiling.", "You have rights; email us. We keep it for 30 days.", "", None, "Children and parents. By continuing you agree.", "as is"]
+    rows = [(k, x, k % 3 == 0, ["a", "b", None][k % 3], ["x", "y"][k // 3], k != 5) for k, x in enumerate(t)]
+    spark.createDataFrame(rows, "doc_id long, text string, minors boolean, industry string, jurisdiction string, optin boolean").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    told, heat, _ = signals.portfolio(d)
+    scores = signals.issue_scores(d)
+    top = {r["doc_id"]: r["category"] for r in scoring.top_risks(scores, 1).collect()}
+    want = {r["doc_id"]: (r["crs"], r["colour"], r["action"], top[r["doc_id"]]) for r in signals.composite_risk(scores, signals.expected_sections_pct(d)).collect() if r["doc_id"] != 5}
+    assert {r["doc_id"]: (r["crs"], r["colour"], r["action"], r["category"]) for r in told.collect()} == want
+    got = {(r["industry"], r["jurisdiction"]): (r["mean"], r["n"]) for r in heat.collect()}
+    assert len(got) == 6 and got["a", "x"] == (want[0][0], 1) and got[None, "y"] == (0.0, 0)
+    assert heat._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 def test_signals_know_ascii_boundaries(spark):
     """As in SQL, a word ends before a letter that isn't ASCII; letters that fold to ASCII count as SQL takes them."""
     import duckdb
