@@ -64,3 +64,11 @@ def test_checks_agree_with_the_table_of_findings(spark):
     want = {r["doc_id"]: r for r in scoring.validation(found, d, "place").collect()}
     for i, r in want.items():
         assert (got[i]["n_issues"], got[i]["issues"]) == (r["n_issues"], r["issues"])
+
+
+def test_stored_analyses_are_written_once(spark):
+    """Reviews and stored rows come from one written table of analyses."""
+    done = spark.createDataFrame([(1, "completed", False), (2, "needs_review", True)], "doc_id long, status string, review_required boolean")
+    rows, reviews = analysis.stored(done, spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string"))
+    assert all("/analyses-" in f for f in reviews.inputFiles()) and [r["analysis_id"] for r in reviews.collect()] == [2]
+    assert [(r["doc_id"], r["document_text"]) for r in rows.orderBy("doc_id").collect()] == [(1, "a\nb"), (2, None)]
