@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_severity
+from ..sources.store import small_batches
 
 
 def version_pairs(snapshots: DataFrame) -> DataFrame:
@@ -51,6 +52,11 @@ def tokenize_with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("doc_id", (F.col("at") + 1).alias("line"), F.posexplode(F.regexp_extract_all("row", F.lit("(?U)" + TOKEN), F.lit(0))).alias("n", "token"))
 
 
+#: Bytes of texts that a task sends its Python worker at once, and characters of what the worker holds before it sends it back.
+_HELD = 2 << 20
+#: Rows that it holds.
+_ROWS = 20_000
+
 _ROLL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint32)
 
 
@@ -76,18 +82,27 @@ def changed_parts(pairs: DataFrame) -> DataFrame:
 
     def differ(batches):
         for batch in batches:
-            url, version, *texts = (batch.column(c) for c in ("url", "version", "old_text", "text"))
-            rows, parts = [], ([], [])
-            for i, (old, new) in enumerate(zip(*(t.to_pylist() for t in texts), strict=True)):
-                a, b = Counter(content_chunks(old)), Counter(content_chunks(new))
+            url, version, olds, news = (batch.column(c) for c in ("url", "version", "old_text", "text"))
+            rows, parts, size = [], ([], []), 0
+
+            def made():
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([url.take(at), version.take(at), *(pa.array(p, pa.string()) for p in parts)], ["url", "version", "old_part", "new_part"])
+
+            for i in range(batch.num_rows):
+                a, b = Counter(content_chunks(olds[i].as_py())), Counter(content_chunks(news[i].as_py()))
                 less, more = (b"".join(x.elements()).decode() for x in (a - b, b - a))
                 if less or more:
                     rows.append(i)
                     parts[0].append(less)
                     parts[1].append(more)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([url.take(at), version.take(at), *(pa.array(p, pa.string()) for p in parts)], ["url", "version", "old_part", "new_part"])
+                    size += len(less) + len(more)
+                if size >= _HELD:
+                    yield made()
+                    rows, parts, size = [], ([], []), 0
+            yield made()
 
+    small_batches(pairs.sparkSession, _HELD)
     slim = pairs.select("url", F.col("version").cast("long").alias("version"), "old_text", "text").filter(~F.col("text").eqNullSafe(F.col("old_text")))
     return slim.mapInArrow(differ, "url string, version long, old_part string, new_part string").withColumn("version", F.col("version").cast(pairs.schema["version"].dataType))
 
@@ -122,6 +137,8 @@ def token_diff(pairs: DataFrame) -> DataFrame:
     text. Pairs with equal texts give no rows and no work.
     """
 
+    names = ["url", "version", "n", "token", "line", "type"]
+
     def align(frames):
         for f in frames:
             rows = []
@@ -134,8 +151,12 @@ def token_diff(pairs: DataFrame) -> DataFrame:
                             for t, line in part:
                                 rows.append((url, version, n, t, line, kind))
                                 n += 1
-            yield pd.DataFrame(rows, columns=["url", "version", "n", "token", "line", "type"])
+                                if len(rows) >= _ROWS:
+                                    yield pd.DataFrame(rows, columns=names)
+                                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
+    small_batches(pairs.sparkSession, _HELD)
     changed = pairs.filter(~F.col("text").eqNullSafe(F.col("old_text"))).select("url", "version", "old_text", "text")
     return changed.mapInPandas(align, "url string, version int, n int, token string, line int, type string").withColumn("severity", token_severity(F.lower("token")))
 
@@ -159,6 +180,7 @@ def line_diff(pairs: DataFrame, max_lines: int = 8) -> DataFrame:
                 rows.append((url, version, n, "\n".join([x for x in signs if x[1:].strip()][:max_lines]).strip()))
             yield pd.DataFrame(rows, columns=["url", "version", "change_count", "summary"])
 
+    small_batches(pairs.sparkSession, _HELD)
     return pairs.select("url", "version", "old_text", "text").mapInPandas(compare, "url string, version int, change_count int, summary string")
 
 
