@@ -7,9 +7,10 @@ table of zstandard's seekable format: compressed and raw size and a 32-bit check
 then the number of frames, a flag byte and the magic number. A reader takes the footer, the table
 and only the frames it needs.
 
-Words are encoded once per task while they last in a bounded cache: the tokenizer never merges
-across white space, nor between plain letters and plain signs. Texts for which that may not hold
-(special strings, control separators) go to the library whole.
+Pre-tokens are encoded once per worker while they last in a bounded cache: the tokenizer never merges
+across white space, nor between letters, digits and signs. Words with characters for which that may not
+hold (apostrophes, beyond Latin-1) are encoded as words; texts with special strings, and all texts where the
+tokenizer's normalizer or pre-tokenizer is another than the one this was checked with, go to the library whole.
 
 Files are written by tasks to a folder that all executors share, under a name of the attempt's
 own, and a written manifest lists the ones that count, so that lost and repeated tasks do no harm.
@@ -19,25 +20,50 @@ order; null doc_ids come first; no rows make no files; other columns are ignored
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, materialize, scratch
+from .common import chunks, columns, materialize, scratch, utf8
 from .token_counts import tokenizer
 
 _SKIP_IDS, _SKIP_SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _NULL_ID = -(1 << 63)
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-_ODD = re.compile("[\x1c-\x1f]")
+
+#: The normalizer and the pre-tokenizer that allow to cut texts into words, and plain words by kinds of characters.
+_SPLITS_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+_ODD, _SPACE, _LETTER, _DIGIT, _SIGN = range(5)
+
+
+def _table(dtype, values: dict) -> np.ndarray:
+    table = np.zeros(256, dtype)
+    for v, codes in values.items():
+        table[list(codes)] = v
+    return table
+
+
+#: The kind of a byte by itself. The apostrophe is odd, as 's and the like are pre-tokens; so is what isn't ASCII, but for Latin-1's letters.
+_KINDS = _table(np.uint8, {_SPACE: [0x20, *range(0x09, 0x0E)], _LETTER: [*range(0x41, 0x5B), *range(0x61, 0x7B)], _DIGIT: range(0x30, 0x3A), _SIGN: [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]})
+#: The second bytes, after 0xC3, of the letters from U+00C0 to U+00FF.
+_LATIN = _table(bool, {True: [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]})
+_LOWER, _LOWER_LATIN = (np.arange(256, dtype=np.uint8) for _ in range(2))
+_LOWER[0x41:0x5B] += 0x20
+_LOWER_LATIN[0x80:0x9F] += 0x20
 
 
 def file_system(uri: str):
@@ -47,55 +73,135 @@ def file_system(uri: str):
 
 
 class WordEncoder:
-    """Ids of whole texts, by way of a cache of words, and one of their parts, that start anew beyond `most` entries."""
+    """Ids of whole texts, by way of a cache of their units, which starts anew beyond `most` entries.
+
+    A unit is a pre-token of plain characters in lower case, else a word, else a text that may not be cut. They are found
+    with numpy over the bytes of a block and told apart by Arrow, so that only the block's distinct units become Python
+    objects; new ones go to the library, those of plain characters many at once, as it marks each pre-token's last id.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.library, self.most, self.parts = tokenizer(path), most, {}
-        self.special = tuple(a.content for a in self.library.get_added_tokens_decoder().values())
+    def __init__(self, path: str, most: int = 800_000):
+        self.library, self.most = tokenizer(path), most
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, added = spec["model"], spec["added_tokens"]
+        self.splits = (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"], model["type"], model.get("end_of_word_suffix"), model.get("dropout")) == (*_SPLITS_WORDS, None, "BPE", "</w>", None)
+        self.splits = self.splits and not any(t["normalized"] for t in added)
+        self.special = [t["content"].encode() for t in added]
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces = Tokenizer.from_str(self.library.to_str())
+        self.pieces.normalizer = None
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        if len(self.parts) > 2 * self.most:
-            self.parts: dict[str, bytes] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        split = []
-        for w in new:
-            m = _PLAIN.fullmatch(w)
-            split.append((m[1].lower(), m[2]) if m else (w, ""))
-        missing = list({p for pair in split for p in pair if p and p not in self.parts})
-        for i in range(0, len(missing), 8192):
-            part = missing[i : i + 8192]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        ids = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > self.most:
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def _whole(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit) as the library gives them for each by itself."""
+        ids, sizes, a = [], [], 0
+        while a < len(units):
+            b, size = a, 0
+            while b < len(units) and b - a < 4096 and (b == a or size < 1 << 16):
+                size += len(units[b])
+                b += 1
+            for e in self.library.encode_batch_fast(units[a:b], add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                sizes.append(len(ids[-1]))
+            a = b
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(sizes, np.int32)
+
+    def _plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for short pre-tokens of plain characters in lower case: nothing is left to normalise in them."""
+        joined = (" ".join(units[i : i + 256]) for i in range(0, len(units), 256))
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(self.pieces.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in joined)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(units):  # a vocabulary that lacks a character's last form
+            return self._whole(units)
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
+
+    def _units(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with plain units in lower case, where units begin, their kinds); they cover all bytes, white space too."""
+        n = len(raw)
+        kind = _KINDS[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[_LATIN[raw[lead + 1]]]
+        kind[lead] = kind[lead + 1] = _LETTER
+        at = np.zeros(n, bool)
+        at[off[off < n]] = True
+        begins = at | (kind == _DIGIT)
+        begins[1:] |= kind[1:] != kind[:-1]
+        begin = np.flatnonzero(begins).astype(np.int32)  # a text of Spark's has less than 2^31 bytes
+        kinds, first = kind[begin], at[begin]
+        head = first | (kinds == _SPACE)
+        head[1:] |= kinds[:-1] == _SPACE
+        word = np.cumsum(head, dtype=np.int32) - 1
+        odd = np.zeros(int(word[-1]) + 1, bool)
+        odd[word[kinds == _ODD]] = True
+        odd = odd[word]
+        if self.splits:
+            whole = np.zeros(len(off) - 1, bool)
+            text = raw.tobytes()
+            for s in self.special:
+                if s in text:
+                    whole |= [s in text[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            del text
+        else:
+            whole = np.ones(len(off) - 1, bool)
+        if whole.any():
+            inside = whole[np.searchsorted(off, begin, side="right") - 1]
+            odd, head = odd | inside, np.where(inside, first, head)
+        kinds[odd] = _ODD
+        kept = head | ~odd
+        begin, kinds = begin[kept], kinds[kept]
+        low = _LOWER[raw]
+        low[lead + 1] = _LOWER_LATIN[raw[lead + 1]]
+        if odd.any():
+            low = np.where(np.repeat(kinds == _ODD, np.diff(begin, append=n)), raw, low)
+        return low, begin, kinds
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end) of texts with these bytes and offsets into them."""
+        if len(self.known) > self.most:
             self.clear()
-        whole = {i for i, t in enumerate(texts) if _ODD.search(t) or any(s in t for s in self.special)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(list(new))
-        out = []
-        for i, words in enumerate(split):
-            if i in whole:
-                out.append(np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[k]
-            total = int(sizes.sum())
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[k] - (np.cumsum(sizes) - sizes), sizes)])
-        return out
+        raw, off = raw[off[0] : off[-1]], off - off[0]
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        low, begin, kinds = self._units(raw, off)
+        ends = np.append(begin, np.int32(len(raw)))
+        found = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(low)).dictionary_encode()
+        codes, units = found.indices.to_numpy(), found.dictionary.to_pylist()
+        del low, ends
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int32, len(units))
+        kind = np.empty(len(units), np.uint8)
+        kind[codes] = kinds
+        short = np.fromiter(map(len, units), np.int64, len(units)) <= 64
+        new = place < 0
+        blank, odd = kind == _SPACE, kind == _ODD
+        plain, odd, long = (np.flatnonzero(new & ~blank & x) for x in (short & ~odd, short & odd, ~short))
+        parts = [self._plain([units[i] for i in plain.tolist()]), self._whole([units[i] for i in [*odd.tolist(), *long.tolist()]])]
+        flat, sizes = np.concatenate([self.flat, *(p[0] for p in parts)]), np.concatenate([self.sizes, *(p[1] for p in parts), np.zeros(1, np.int32)])
+        order = np.concatenate([plain, odd, long])
+        place[order] = len(self.sizes) + np.arange(len(order))
+        place[blank] = len(sizes) - 1
+        kept = len(self.sizes) + len(plain) + len(odd)  # long units are forgotten with the block
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        k = place[codes]
+        lengths = sizes[k]
+        before = np.zeros(len(k) + 1, np.int64)
+        np.cumsum(lengths, out=before[1:])
+        take = np.repeat(starts[k] - before[:-1], lengths)
+        take += np.arange(len(take))
+        ids = flat[take]
+        del take
+        self.known.update(zip([units[i] for i in order[: len(plain) + len(odd)].tolist()], range(len(self.sizes), kept), strict=True))
+        self.flat, self.sizes = flat[: starts[kept]].copy(), sizes[:kept].copy()
+        return ids, before[np.searchsorted(begin, off)]
 
 
 @lru_cache(maxsize=2)
@@ -186,26 +292,22 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None, folder: st
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "file": [uri], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in columns(batch, "doc_id", "text"))
-            a = 0
-            while a < len(ids):
-                b, size = a, 0
-                while b < len(ids) and (b == a or size < block):
-                    size += len(texts[b] or "")
-                    b += 1
-                for i, x in zip(ids[a:b], encode([t or "" for t in texts[a:b]]), strict=True):
+            doc_ids, texts = columns(batch, "doc_id", "text")
+            doc_ids, (raw, off) = doc_ids.to_pylist(), utf8(texts)
+            for a, b in chunks(off, block):
+                tokens, places = encode(raw, off[a : b + 1])
+                for i, begin, stop in zip(doc_ids[a:b], places[:-1].tolist(), places[1:].tolist(), strict=True):
                     if writer is None:
                         uri, n_tokens = f"{folder}/tokens-{shard:06d}-{part:05d}-{run}.zst", 0
                         fs, p = file_system(uri)
                         fs.create_dir(p.rpartition("/")[0], recursive=True)
                         writer = Writer(fs.open_output_stream(p, compression=None))
-                    x = np.append(x, end).astype("<u4")
+                    x = np.append(tokens[begin:stop], end).astype("<u4")
                     n_tokens += len(x)
                     writer.add(i, x.tobytes())
                     if 4 * n_tokens >= file_bytes:
                         yield entry()
                         part, writer = part + 1, None
-                a = b
         if writer:
             yield entry()
 
