@@ -32,11 +32,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/termlake-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    group_rows: rows of a row group at most, for rows of some MB; Spark's reader holds a row group of such rows at once.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.row.count.limit": group_rows} if group_rows else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,6 +26,7 @@ of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -182,7 +183,7 @@ def build_shard(rows: Rows, batch: Batch, block: int, sketch: np.ndarray) -> dic
     terms, of = rows.terms[order], rows.of[order]
     cut = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
     block_term, sizes, listed, maxima = [], [], [], []
-    for a, b in zip(cut, np.append(cut[1:], len(terms)), strict=True):
+    for a, b in itertools.pairwise(np.append(cut, len(terms))):  # none, if no document of the shard has an asked term
         axes = batch.axes.get(int(terms[a]))
         if axes is None:
             continue
@@ -217,9 +218,9 @@ class Searcher:
         x = np.zeros((len(ids), batch.size), np.int32)
         x[np.repeat(np.arange(len(ids)), np.diff(ptr)), shard["terms"]] = shard["vals"]
         terms, first = np.unique(shard["block_term"], return_index=True)
-        last = np.append(first[1:], len(shard["block_term"]))
+        ends = np.append(first, len(shard["block_term"])).tolist()  # the shard may have no list that an item needs
         lists, at = {}, 0
-        for t, a, b in zip(terms.tolist(), first.tolist(), last.tolist(), strict=True):
+        for t, (a, b) in zip(terms.tolist(), itertools.pairwise(ends), strict=True):
             axes = batch.axes[t]
             lists[t] = (a, b, axes, shard["maxima"][at : at + (b - a) * len(axes)].reshape(b - a, len(axes)))
             at += (b - a) * len(axes)
@@ -265,9 +266,9 @@ def _thresholds(sample: DataFrame, shared, k: int, n_items: int) -> np.ndarray:
 
 
 def search_batch(docs: DataFrame, batch: Batch, k: int, sample: int, pivots: int, shard_docs: int, block: int, coordinates: int) -> DataFrame:
-    """item (its place in the batch), doc_id, score, rank."""
+    """item_id, item (its place in the batch), doc_id, score, rank."""
     spark = docs.sparkSession
-    empty = spark.createDataFrame([], _HITS_DDL + ", rank int")
+    empty = spark.createDataFrame([], f"item_id long, {_HITS_DDL}, rank int")
     table = materialize(vectors(docs, batch.vocabulary), "search-vectors")
     sums = table.agg(F.count("*").alias("n"), F.sum("n").alias("length")).first()
     if not sums["n"]:
@@ -325,17 +326,19 @@ def search_batch(docs: DataFrame, batch: Batch, k: int, sample: int, pivots: int
     coded = table.mapInArrow(near, "doc_id long, n long, terms array<int>, tfs array<int>, code int, code2 int")
     # tasks of 16 shards each; past 20,000 tasks they hold more shards instead
     dealt = coded.repartitionByRange(min(max(8, n // (16 * shard_docs)), 20_000), "code", "code2", "doc_id").sortWithinPartitions("code", "code2", "doc_id")
-    shards = materialize(dealt.mapInArrow(index, ", ".join(f"{c} array<{kinds[t]}>" for c, t in _INDEX)), "search-index")
+    shards = materialize(dealt.mapInArrow(index, ", ".join(f"{c} array<{kinds[t]}>" for c, t in _INDEX)), "search-index", group_rows=2)
 
     def search(parts):
         searcher = Searcher(shared.value, k)
         for part in parts:
             for i in range(part.num_rows):
                 searcher({c: part.column(j).slice(i, 1).flatten().to_numpy() for j, (c, _) in enumerate(_INDEX)})
-        yield searcher.best.batch()
+        found = searcher.best.batch()
+        # named here: a join with the names would be a broadcast that may wait for all of the search, longer than Spark lets it
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value.ids, pa.int64()).take(found.column(0)), *found.columns], ["item_id", *_HITS.names])
 
     w = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
-    return shards.select(*[c for c, _ in _INDEX]).mapInArrow(search, _HITS_DDL).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return shards.select(*[c for c, _ in _INDEX]).mapInArrow(search, f"item_id long, {_HITS_DDL}").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def ranked_search(
@@ -347,6 +350,5 @@ def ranked_search(
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     for batch in batches_of(items, most_items, most_terms):
         found = search_batch(docs, batch, k, sample, pivots, max(16, min(shard_docs, (1 << 23) // batch.size)), block, coordinates)
-        names = spark.createDataFrame(list(enumerate(batch.ids)), "item int, item_id long")  # at most most_items rows
-        out = out.unionByName(found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
+        out = out.unionByName(found.select("item_id", "rank", "doc_id", "score"))
     return out

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,18 @@ def test_ranked_search_of_nothing(spark):
     assert [tuple(r)[:3] for r in ranked_search.ranked_search(docs, items).collect()] == [(1, 1, 1)]
 
 
+@pytest.mark.parametrize("asked,other", [("w1 w5 w9", "nothing of it here"), ("w1 w5 w9", "w1 and x y z"), ("w5000 w5001", "nothing of it here")])
+def test_shards_without_lists(spark, asked, other):
+    """In a large table some shards have no asked term at all, or only such as can't lift a document over the threshold."""
+    docs = [(i, f"w1 w5 w9 w{i}") for i in range(10, 110)] + [(1000 + i, other) for i in range(200)]
+    items = [(1, asked), (None, "w7000"), (1, asked)]
+    found = ranked_search.ranked_search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), k=5, shard_docs=16)
+    assert sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0] is not None, r)) == ranking(docs, items, 5)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()  # it might wait behind the whole search
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in found.inputFiles() if "search-index" in f]
+    assert sum(g.num_rows for g in groups) >= 16 and max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 2
+
+
 def test_blocks_are_skipped_and_nothing_is_lost():
     """Documents of a few topics: blocks of other topics aren't read, and the answers are those of all documents."""
     rng, n, topics = np.random.default_rng(3), 1200, 12
